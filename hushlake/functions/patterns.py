@@ -57,6 +57,11 @@ DELIVERY_LABELS = ("deliver to", "ship to")
 PHONE_PREFIXES = ("phone", "mobile", "tel")
 KINDS = ("EMAIL", "NAME", "ADDRESS", "PHONE", "SECRET")
 VALUE_TRIM = " :：\t\n"
+# White space that is stripped from both ends of a text.
+SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Line ends of a text: the universal set, with CR LF counted once.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 LINE_PIECE = (
@@ -71,7 +76,7 @@ REGISTRY = (("EMAIL", EMAIL), ("PHONE", PHONE), ("SECRET", SECRET))
 
 def strip(text: Column) -> Column:
     """Unicode-aware trim on both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACE))
 
 
 def matches(text: Column, pattern: str) -> Column:
