@@ -55,13 +55,14 @@ MISSING = """missing AS (
     AND NOT EXISTS (SELECT 1 FROM bundle b WHERE b.recording_id = a.recording_id AND b.event_id = a.before_event_id)
   UNION ALL SELECT recording_id, event_id, 'after', after_event_id::VARCHAR FROM bundle a WHERE after_event_id IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM bundle b WHERE b.recording_id = a.recording_id AND b.event_id = a.after_event_id)
-  UNION ALL SELECT recording_id, event_id, 'frame', frame_id FROM bundle WHERE frame_id NOT IN (SELECT concat('frame-', p_partkey) FROM part WHERE p_partkey % 200 < 190))"""
+  UNION ALL SELECT recording_id, event_id, 'frame', frame_id FROM bundle WHERE frame_id NOT IN (SELECT concat('frame-', p_partkey + (p_partkey % 200) // 190 * 100000000) FROM part))"""
 
 
 def _frames(spark, sf):
-    """Frames present in the bundles."""
-    parts = table(spark, sf, "part").filter(F.col("p_partkey") % 200 < 190)
-    return parts.select(F.concat(F.lit("frame-"), X.text(F.col("p_partkey"))).alias("frame_id"))
+    """Frames present in the bundles; some carry a number no event refers to."""
+    k = F.col("p_partkey")
+    number = k + F.floor((k % 200) / 190) * 100000000
+    return table(spark, sf, "part").select(F.concat(F.lit("frame-"), X.text(number)).alias("frame_id"))
 
 
 @query("evidence_refs", S.with_ctes(S.BUNDLE, MISSING) + "SELECT * FROM missing")
@@ -69,18 +70,26 @@ def evidence_refs(spark, sf):
     return U.missing_evidence(X.bundle_events(spark, sf), _frames(spark, sf))
 
 
+LISTED = """listed AS (SELECT concat(CASE WHEN p_partkey % 23 = 0 THEN 'old/' ELSE 'frames/' END, p_partkey, '.png') AS path, sha256(p_name) AS h FROM part),
+  files AS (SELECT concat('frames/', p_partkey, CASE WHEN p_partkey % 19 = 0 THEN '.tmp' ELSE '.png' END) AS path,
+    sha256(CASE WHEN p_partkey % 17 = 0 THEN p_name || '!' ELSE p_name END) AS h FROM part)"""
+
+
 @query(
     "frame_hash_check",
-    """SELECT concat('frames/', p_partkey, '.png') AS path, CASE WHEN p_partkey % 23 = 0 THEN 'unlisted' WHEN p_partkey % 19 = 0 THEN 'missing_file'
-      WHEN p_partkey % 17 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM part WHERE NOT (p_partkey % 23 = 0 AND p_partkey % 19 = 0)""",
+    S.with_ctes(LISTED)
+    + """SELECT path, CASE WHEN l.h IS NULL THEN 'unlisted' WHEN f.h IS NULL THEN 'missing_file' WHEN l.h <> f.h THEN 'mismatch' ELSE 'ok' END AS status
+      FROM listed l FULL JOIN files f USING (path)""",
 )
 def frame_hash_check(spark, sf):
+    """Some files are listed under another folder, some have another suffix, some were altered."""
     k = F.col("p_partkey")
     part = table(spark, sf, "part").select("p_partkey", "p_name")
-    path = F.concat(F.lit("frames/"), X.text(k), F.lit(".png")).alias("path")
-    listed = part.filter(k % 23 != 0).select(path, F.sha2("p_name", 256).alias("sha256"))
+    folder = F.when(k % 23 == 0, "old/").otherwise("frames/")
+    suffix = F.when(k % 19 == 0, ".tmp").otherwise(".png")
     content = F.when(k % 17 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
-    files = part.filter(k % 19 != 0).select(path, F.sha2(content, 256).alias("sha256"))
+    listed = part.select(F.concat(folder, X.text(k), F.lit(".png")).alias("path"), F.sha2("p_name", 256).alias("sha256"))
+    files = part.select(F.concat(F.lit("frames/"), X.text(k), suffix).alias("path"), F.sha2(content, 256).alias("sha256"))
     return U.frame_hashes(listed, files)
 
 

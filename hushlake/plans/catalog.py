@@ -6,7 +6,7 @@ import importlib
 
 from hushlake.plans.registry import ORACLES, QUERIES
 
-MODULES = ("text_queries", "vault_queries", "region_queries", "record_queries", "policy_queries", "history_queries", "pixel_queries", "bundle_queries")
+MODULES = ("text_queries", "vault_queries", "region_queries", "record_queries", "policy_queries", "history_queries", "pixel_queries", "bundle_queries", "stream_queries")
 
 for _module in MODULES:
     importlib.import_module(f"hushlake.plans.{_module}")

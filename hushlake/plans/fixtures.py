@@ -35,7 +35,11 @@ def pick(key: Column, cases: dict, default) -> Column:
 
 def doc_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document as a screen region; session = source, frame = document."""
-    lines = spread(table(spark, sf, "documents")).select(
+    return regions_of(spread(table(spark, sf, "documents")))
+
+
+def regions_of(documents: DataFrame) -> DataFrame:
+    lines = documents.select(
         F.col("source").alias("session_id"),
         F.col("doc_id").alias("frame_id"),
         F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"),
@@ -95,15 +99,19 @@ def contact_cards(spark: SparkSession, sf: str) -> DataFrame:
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """Captured frames of 50 sessions in time order."""
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    size = F.floor(F.abs("value")).cast("long")
     base = events.withColumn("session_id", (F.col("user_id") % 50).cast("long"))
     seq = ordered(base, ["session_id"], ["ts", "event_id"], time_chunk(events, "ts"), number="seq")
+    return observed(seq, "seq")
+
+
+def observed(events: DataFrame, *extra: str) -> DataFrame:
+    size = F.floor(F.abs("value")).cast("long")
     reason = pick(
         F.col("event_type"), {"click": "navigate", "view": "idle", "purchase": "agent", "signup": "open"}, "error"
     )
-    out = seq.select(
-        "session_id",
-        "seq",
+    out = events.select(
+        (F.col("user_id") % 50).cast("long").alias("session_id"),
+        *extra,
         "event_id",
         "ts",
         "event_type",
@@ -118,13 +126,17 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """One audited request per conversation turn, with known faults."""
+    return requests_of(spread(table(spark, sf, "conversations")))
+
+
+def requests_of(conversations: DataFrame) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     mixed = conv + turn
     ids = lambda prefix, step: F.concat(F.lit(prefix), text(conv), F.lit("-"), text(step))
     failed, prepared = mixed % 13 == 12, mixed % 11 == 10
     half = lambda t: F.floor(t / 2.0).cast("long")
     shot = lambda t: F.sha2(F.concat(text(conv), F.lit("/"), text(half(t))), 256)
-    return spread(table(spark, sf, "conversations")).select(
+    return conversations.select(
         conv.alias("run_id"),
         turn.alias("step"),
         ids("req-", F.when((mixed % 29 == 28) & (turn > 0), turn - 1).otherwise(turn)).alias("request_id"),
@@ -204,13 +216,15 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 def sightings(spark: SparkSession, sf: str) -> DataFrame:
     """Private values as they are seen, four per customer; session = nation."""
+    return sightings_of(spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+
+
+def sightings_of(customers: DataFrame) -> DataFrame:
     key, name = F.col("c_custkey"), F.col("c_name")
     kinds = F.array(
         *[F.struct(F.lit(o).alias("ord"), F.lit(n).alias("kind")) for o, n in enumerate(("NAME", "EMAIL", "NAME", "SECRET"))]
     )
-    rows = spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")).select(
-        "*", F.inline(kinds)
-    )
+    rows = customers.select("*", F.inline(kinds))
     value = pick(
         F.col("ord"),
         {
