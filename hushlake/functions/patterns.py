@@ -28,6 +28,12 @@ LABEL = (
     r"|email(?: address)?|phone(?: number)?|mobile(?: number)?|tel(?:ephone)?)"
     r"(?=[:：\s]|$)\s*[:：]?\s*(?<value>.*)$"
 )
+# Words a label can start with, at the start of any line of a text.
+LABEL_WORDS = (
+    r"full name|first name|last name|customer name|recipient|account holder name|name|contact name"
+    r"|shipping address|billing address|delivery address|home address|street address|address"
+    r"|deliver to|ship to|password|passcode|api key|access token|secret|email|phone|mobile|tel"
+)
 STREET = (
     r"(?Ui)\b\d{1,6}\s+[\p{L}\p{N}_ .'-]+\s(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr"
     r"|boulevard|blvd|court|ct|way|place|pl|terrace|trail|parkway|pkwy)\b"
@@ -63,13 +69,17 @@ SPACE = (
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # Line ends of a text: the universal set, with CR LF counted once.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LINE_PIECE = (
-    r"[^\n\r\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
-    r"|[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+"
+    r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+    r"|[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+"
 )
 # ---- end of fixed values ----------------------------------------------------
 
+# Cheap necessary conditions: a text without them cannot match the costly pattern.
+LABEL_HINT = r"(?Ui)(?:^|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[\s\x1c-\x1f]*(?:" + LABEL_WORDS + ")"
+DIGITS = r"(?U)\d{3}"
+
 # Ordered kind -> pattern registry; redaction runs in this order.
 REGISTRY = (("EMAIL", EMAIL), ("PHONE", PHONE), ("SECRET", SECRET))
 
@@ -79,9 +89,21 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACE))
 
 
+def may_match(text: Column, pattern: str) -> Column:
+    """False only for texts in which a costly pattern cannot occur."""
+    if pattern == EMAIL:
+        return text.contains("@")
+    if pattern == PHONE:
+        return text.rlike(DIGITS)
+    return text.isNotNull()
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern, left to right."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if pattern in (EMAIL, PHONE):
+        return F.when(may_match(text, pattern), found).otherwise(F.array().cast("array<string>"))
+    return found
 
 
 def label_of(line: Column) -> Column:
@@ -150,7 +172,8 @@ def kind_title(kind: Column) -> Column:
 def redact(text: Column, registry=REGISTRY) -> Column:
     """Replace every registered pattern by its ``[KIND_REDACTED]`` marker, in order."""
     for kind, pattern in registry:
-        text = F.regexp_replace(text, pattern, f"[{kind}_REDACTED]")
+        clean = F.regexp_replace(text, pattern, f"[{kind}_REDACTED]")
+        text = F.when(may_match(text, pattern), clean).otherwise(text) if pattern in (EMAIL, PHONE) else clean
     return text
 
 
@@ -173,8 +196,9 @@ def pattern_scrub(text: Column, registry=REGISTRY, extra=()) -> Column:
 
     ``extra`` is a list of ``Column -> Column`` stages applied afterwards.
     """
-    pieces = matches(redact(text, registry), LINE_PIECE)
-    out = F.array_join(F.transform(pieces, _clean_line), "")
+    plain = redact(text, registry)
+    lines = F.array_join(F.transform(matches(plain, LINE_PIECE), _clean_line), "")
+    out = F.when(plain.rlike(LABEL_HINT) | plain.rlike(STREET), lines).otherwise(plain)
     for stage in extra:
         out = stage(out)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import patterns as P
 from hushlake.operators.contains import present_values
 from hushlake.operators.ordered import ROWS_PER_CHUNK, ordered, seq_chunk
+from hushlake.plans.storage import materialize
 
 
 def vault_build(sightings: DataFrame, width: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -64,7 +65,7 @@ def vault_scrub(texts: DataFrame, vault: DataFrame, row_id: str = "text_id", tex
     Adds ``scrubbed`` and ``hits`` (number of distinct known values found).  Only the
     values present in a text travel to it, so the vault may be larger than any task.
     """
-    names = scrub_names(vault)
+    names = materialize(scrub_names(vault), "names")
     found = present_values(texts, names, ["session_id"], [row_id], text=text).join(names, ["session_id", "value"])
     entry = F.struct((-F.length("value")).alias("n"), "value", "token")
     per_text = found.groupBy("session_id", row_id).agg(F.array_sort(F.collect_list(entry)).alias("_known"))
@@ -149,6 +150,7 @@ def vault_rematch(regions: DataFrame, known: DataFrame, min_fragment: int = 4) -
         F.col("value").alias("_known"),
         F.explode(F.array_distinct(F.concat(F.array("value"), lines))).alias("_fragment"),
     ).withColumn("_fragment", P.compact_key(F.col("_fragment")))
+    fragments = materialize(fragments, "fragments")
     compact = regions.select(
         "session_id", "frame_id", "region_id", P.compact_key(P.strip(F.col("text"))).alias("_compact")
     )

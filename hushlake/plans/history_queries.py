@@ -11,7 +11,11 @@ from hushlake.plans.registry import query
 from hushlake.plans.text_queries import scrub_sql
 
 OBS = S.with_ctes(S.OBSERVATIONS)
-MASKS = F.col("latency_ms") % 7
+
+
+def _masks():
+    return F.col("latency_ms") % 7
+
 
 
 @query(
@@ -21,7 +25,7 @@ MASKS = F.col("latency_ms") % 7
       FROM observations WHERE status = 'ready' WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
 )
 def observation_steps(spark, sf):
-    return H.observation_steps(X.observations(spark, sf), MASKS).select("session_id", "seq", "step", "masks")
+    return H.observation_steps(X.observations(spark, sf), _masks()).select("session_id", "seq", "step", "masks")
 
 
 @query(
@@ -101,7 +105,7 @@ def _session_requests(spark, sf):
     SELECT session_id, coalesce(frames, 0) AS frames, coalesce(masks, 0) AS masks, coalesce(model_calls, 0) AS model_calls, coalesce(resolved, 0) AS resolved FROM o FULL JOIN r USING (session_id)""",
 )
 def run_stats(spark, sf):
-    return H.run_stats(X.observations(spark, sf), _session_requests(spark, sf), MASKS, F.col("output_tokens") % 3)
+    return H.run_stats(X.observations(spark, sf), _session_requests(spark, sf), _masks(), F.col("output_tokens") % 3)
 
 
 @query(

@@ -99,11 +99,10 @@ def phone_extract_pages(spark, sf):
 
 
 _KEYED = "concat(session_id, '/', frame_id, '/', region_id)"
-_CARD_KEY = F.concat_ws("/", "session_id", "frame_id", "region_id")
 
 
 def _cards(spark, sf):
-    return X.contact_cards(spark, sf).withColumn("region", _CARD_KEY)
+    return X.contact_cards(spark, sf).withColumn("region", F.concat_ws("/", "session_id", "frame_id", "region_id"))
 
 
 def cards_sql(body: str) -> str:
