@@ -83,15 +83,23 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     ``masked_right`` is the first masked one.
     """
     tallest = regions.agg(F.max("height").cast("double").alias("h")).scalar()
-    a, n = F.col("a.start"), F.col("n")
+    a, n = F.col("s"), F.col("n")
     gap = F.greatest(F.lit(MIN_GAP), a["height"] * GAP_RATIO)
     reach = a["y"] + a["height"] + limit * gap + (limit - 1) * F.col("_tall")
     above = 0.5 * F.greatest(a["height"].cast("double"), F.col("_tall")) if sideways else F.lit(0.0)
     band = lambda c: F.floor(c / F.lit(BAND)).cast("long")
+    secret = F.coalesce(F.col("label_kind") == "SECRET", F.lit(False)) if sideways else F.lit(False)
+    slim = F.struct(*[F.col("start")[c].alias(c) for c in ("y", "x", "width", "height", "region_id")], secret.alias("secret"))
+    # One row without a band carries the whole start row; the rows that look around are slim.
+    bands = F.concat(
+        F.array(F.lit(None).cast("long")),
+        F.coalesce(F.sequence(band(a["y"] - above), band(reach)), F.array().cast("array<long>")),
+    )
     left = (
-        starts.select(*KEY, F.struct(*[c for c in starts.columns if c not in KEY]).alias("a"))
+        starts.select(*KEY, "region_id", slim.alias("s"), F.struct(*[c for c in starts.columns if c not in KEY]).alias("a"))
         .withColumn("_tall", tallest)
-        .withColumn("_band", F.explode_outer(F.sequence(band(a["y"] - above), band(reach))))
+        .withColumn("_band", F.explode(bands))
+        .withColumn("a", F.when(F.col("_band").isNull(), F.col("a")))
         .drop("_tall")
     )
     right = regions.select(*KEY, band(F.col("y")).alias("_band"), own_item().alias("n"))
@@ -104,25 +112,26 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
         & (F.abs(n["y"] - a["y"]) <= F.greatest(a["height"], n["height"]) * 0.5)
         & (n["x"] - a["x"] - a["width"] <= RIGHT_GAP)
     )
-    pairs = left.join(
-        right.withColumnsRenamed({"session_id": "_s", "frame_id": "_f", "_band": "_b"}),
-        (F.col("session_id") == F.col("_s"))
-        & (F.col("frame_id") == F.col("_f"))
-        & (F.col("_band") == F.col("_b"))
-        & (n["region_id"] != a["region_id"])
-        & (is_below | beside),
-        "left",
-    ).select(*KEY, "a", "n", F.col("a.region_id").alias("region_id"))
-    roles = F.when(is_below, F.array(F.lit("below"))).otherwise(F.array().cast("array<string>"))
-    if sideways:
-        secret = F.coalesce(F.col("a.label_kind") == "SECRET", F.lit(False))
-        wanted = beside & (P.label_of(n["text"]) == "") & ~(secret & P.is_helper(n["text"]))
-        roles = F.concat(
-            roles,
-            F.when(wanted, F.array(F.lit("right"))).otherwise(F.array().cast("array<string>")),
-            F.when(wanted & secret & P.is_masked(n["text"]), F.array(F.lit("masked"))).otherwise(F.array().cast("array<string>")),
+    pairs = (
+        left.join(
+            right.withColumnsRenamed({"session_id": "_s", "frame_id": "_f", "_band": "_b"}),
+            (F.col("session_id") == F.col("_s"))
+            & (F.col("frame_id") == F.col("_f"))
+            & (F.col("_band") == F.col("_b"))
+            & (n["region_id"] != a["region_id"])
+            & (is_below | beside),
+            "left",
         )
-    ranked_rows = pairs.select("*", F.explode_outer(roles).alias("role"))
+        .filter(F.col("a").isNotNull() | n.isNotNull())
+        .select(*KEY, "region_id", "s", "a", "n")
+    )
+    some = lambda cond, role: F.when(cond, F.array(F.lit(role))).otherwise(F.array().cast("array<string>"))
+    roles = some(is_below, "below")
+    if sideways:
+        wanted = beside & (P.label_of(n["text"]) == "") & ~(a["secret"] & P.is_helper(n["text"]))
+        roles = F.concat(roles, some(wanted, "right"), some(wanted & a["secret"] & P.is_masked(n["text"]), "masked"))
+    roles = F.when(n.isNull(), F.array(F.lit("self"))).otherwise(roles)
+    ranked_rows = pairs.select(*KEY, "region_id", "a", "n", F.explode(roles).alias("role"))
     by_x = F.col("role") == "right"
     near = Window.partitionBy(*KEY, "region_id", "role").orderBy(
         F.when(by_x, n["x"]).otherwise(n["y"]), F.when(by_x, n["y"]).otherwise(n["x"]), n["region_id"]
@@ -130,11 +139,12 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     few = ranked_rows.withColumn("_rank", F.row_number().over(near)).filter(F.col("_rank") <= limit)
     first = lambda role: F.first(F.when((F.col("role") == role) & (F.col("_rank") == 1), n), ignorenulls=True)
     grouped = few.groupBy(*KEY, "region_id").agg(
-        F.first("a").alias("a"),
+        F.first("a", ignorenulls=True).alias("a"),
         F.array_sort(F.collect_list(F.when(F.col("role") == "below", n))).alias("_below"),
         *([first("right").alias("right"), first("masked").alias("masked_right")] if sideways else []),
     )
-    chain = F.when(a.isNotNull(), _chain(F.col("_below"), a["height"], a["y"] + a["height"], limit))
+    start = F.col("a.start")
+    chain = F.when(start.isNotNull(), _chain(F.col("_below"), start["height"], start["y"] + start["height"], limit))
     out = [F.col(c) if c in KEY else F.col("a")[c].alias(c) for c in starts.columns]
     return grouped.select(*out, chain.alias("below"), *(["right", "masked_right"] if sideways else []))
 
