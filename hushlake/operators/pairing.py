@@ -82,25 +82,29 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     region on the same line; for a secret label helper text is no candidate, and
     ``masked_right`` is the first masked one.
     """
-    tallest = regions.agg(F.max("height").cast("double").alias("h")).scalar()
+    extent = F.struct(*[f("y").cast("double").alias(n) for f, n in ((F.min, "top"), (F.max, "bottom"))], F.max("height").cast("double").alias("tall"))
+    page = regions.agg(extent.alias("e")).scalar()
     a, n = F.col("s"), F.col("n")
     gap = F.greatest(F.lit(MIN_GAP), a["height"] * GAP_RATIO)
-    reach = a["y"] + a["height"] + limit * gap + (limit - 1) * F.col("_tall")
-    above = 0.5 * F.greatest(a["height"].cast("double"), F.col("_tall")) if sideways else F.lit(0.0)
+    reach = a["y"] + a["height"] + limit * gap + (limit - 1) * F.col("_page.tall")
+    above = 0.5 * F.greatest(a["height"].cast("double"), F.col("_page.tall")) if sideways else F.lit(0.0)
     band = lambda c: F.floor(c / F.lit(BAND)).cast("long")
     secret = F.coalesce(F.col("label_kind") == "SECRET", F.lit(False)) if sideways else F.lit(False)
     slim = F.struct(*[F.col("start")[c].alias(c) for c in ("y", "x", "width", "height", "region_id")], secret.alias("secret"))
+    # Bands above the first or below the last region of the table hold nothing.
+    first = band(F.greatest(a["y"] - above, F.col("_page.top")))
+    last = F.greatest(first, band(F.least(reach, F.col("_page.bottom"))))
     # One row without a band carries the whole start row; the rows that look around are slim.
     bands = F.concat(
         F.array(F.lit(None).cast("long")),
-        F.coalesce(F.sequence(band(a["y"] - above), band(reach)), F.array().cast("array<long>")),
+        F.when(a["y"].isNotNull(), F.sequence(first, last)).otherwise(F.array().cast("array<long>")),
     )
     left = (
         starts.select(*KEY, "region_id", slim.alias("s"), F.struct(*[c for c in starts.columns if c not in KEY]).alias("a"))
-        .withColumn("_tall", tallest)
+        .withColumn("_page", page)
         .withColumn("_band", F.explode(bands))
         .withColumn("a", F.when(F.col("_band").isNull(), F.col("a")))
-        .drop("_tall")
+        .drop("_page")
     )
     right = regions.select(*KEY, band(F.col("y")).alias("_band"), own_item().alias("n"))
     is_below = (n["y"] >= a["y"] + a["height"] * 0.5) & (

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) a local folder is used.
+    Only a single-machine session without that setting (tests) falls back to a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="hushlake-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
