@@ -12,6 +12,7 @@ HISTORY_ENTRIES = 128
 HISTORY_BYTES = 64 * 1024 * 1024
 EVENT_TAIL = 15
 ALWAYS_KEPT = ("agent", "navigate", "open")
+TERMINAL = ("completed", "stopped", "error")
 # -----------------------------------------------------------------------------
 SESSION = ["session_id"]
 
@@ -108,12 +109,15 @@ def trace_review(events: DataFrame, halt_at: int = 3) -> DataFrame:
 
 def run_outcome(events: DataFrame) -> DataFrame:
     """Latest terminal status of each run and the step it was reached; NULL while it is open."""
-    terminal = F.when(F.col("kind") == "completed", "completed").when(F.col("kind") == "stopped", "stopped").when(
-        F.col("kind") == "error", "error"
-    )
-    latest = F.max(F.when(terminal.isNotNull(), F.struct("seq", terminal.alias("status"))))
-    return events.groupBy(*SESSION).agg(latest.alias("_l")).select(
-        *SESSION, F.coalesce("_l.status", F.lit("open")).alias("status"), F.col("_l.seq").alias("seq")
+    # Position and status as one number, so that the aggregation stays a hash aggregation.
+    names = F.array(*[F.lit(n) for n in TERMINAL])
+    code = F.array_position(names, F.col("kind"))
+    latest = F.max(F.when(code > 0, F.col("seq") * (len(TERMINAL) + 1) + code))
+    ended = events.groupBy(*SESSION).agg(latest.alias("_l"))
+    return ended.select(
+        *SESSION,
+        F.coalesce(F.get(names, (F.col("_l") % (len(TERMINAL) + 1) - 1).cast("int")), F.lit("open")).alias("status"),
+        F.floor(F.col("_l") / (len(TERMINAL) + 1)).alias("seq"),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 MASK_RGB = 0x182435
 MINIMUM_PIXELS = 50
 # -----------------------------------------------------------------------------
+LINE = 1 << 24  # more columns than any image has
 
 
 def inside(x: Column, y: Column, box: dict) -> Column:
@@ -58,26 +59,33 @@ def mask_coverage(pixels: DataFrame, covered: Column, box: dict, minimum: int =
     true under a mask of the right kind.
     """
     x, y = F.col("x"), F.col("y")
-    field = pixels.filter(inside(x, y, box) & (F.col("entered_rgb") != F.col("empty_rgb")))
-    retained = F.col("entered_rgb") == F.col("protected_rgb")
-    first = lambda cond: F.min(F.when(cond, F.struct("y", "x")))
-    counts = field.groupBy("frame_id").agg(
-        F.count(F.lit(1)).alias("changed"),
-        F.count_if(~covered).alias("uncovered"),
+    changed = inside(x, y, box) & (F.col("entered_rgb") != F.col("empty_rgb"))
+    uncovered, retained = changed & ~covered, changed & (F.col("entered_rgb") == F.col("protected_rgb"))
+    # First offender by row, then column, as one number: fixed-width buffers keep this a hash aggregation.
+    first = lambda cond: F.min(F.when(cond, y.cast("long") * LINE + x))
+    out = pixels.groupBy("frame_id").agg(
+        F.count_if(changed).alias("changed"),
+        F.count_if(uncovered).alias("uncovered"),
         F.count_if(retained).alias("retained"),
-        first(~covered).alias("_u"),
+        first(uncovered).alias("_u"),
         first(retained).alias("_r"),
     )
-    frames = pixels.select("frame_id").distinct()
-    point = lambda c: F.concat_ws(",", F.col(c + ".x"), F.col(c + ".y"))
-    out = frames.join(counts, "frame_id", "left").fillna(0, ["changed", "uncovered", "retained"])
+    point = lambda c: F.coalesce(
+        F.concat((F.col(c) % LINE).cast("string"), F.lit(","), F.floor(F.col(c) / LINE).cast("string")), F.lit("")
+    )
     verdict = (
         F.when(F.col("changed") < minimum, "insufficient_pixels")
         .when((F.col("uncovered") > 0) | (F.col("retained") > 0), "not_masked")
         .otherwise("ok")
     )
     return out.select(
-        "frame_id", "changed", "uncovered", "retained", point("_u").alias("first_uncovered"), point("_r").alias("first_retained"), verdict.alias("verdict")
+        "frame_id",
+        "changed",
+        "uncovered",
+        "retained",
+        point("_u").alias("first_uncovered"),
+        point("_r").alias("first_retained"),
+        verdict.alias("verdict"),
     )
 
 

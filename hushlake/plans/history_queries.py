@@ -21,7 +21,7 @@ def _masks():
 @query(
     "observation_steps",
     OBS
-    + """SELECT session_id, seq, row_number() OVER w AS step, sum(latency_ms % 7) OVER (w ROWS UNBOUNDED PRECEDING) AS masks
+    + """SELECT session_id, seq, row_number() OVER w AS step, (sum(latency_ms % 7) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS masks
       FROM observations WHERE status = 'ready' WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
 )
 def observation_steps(spark, sf):
@@ -41,7 +41,7 @@ def frame_reuse(spark, sf):
 DEDUP = """kept AS (
   SELECT *, reason IN ('agent', 'navigate', 'open') OR frame_hash IS DISTINCT FROM lag(frame_hash) OVER (PARTITION BY session_id ORDER BY seq) AS kept
   FROM observations WHERE status = 'ready'),
-history AS (SELECT *, sum(kept::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS entry FROM kept)"""
+history AS (SELECT *, (sum(kept::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS entry FROM kept)"""
 
 
 @query("history_dedup", S.with_ctes(S.OBSERVATIONS, DEDUP) + "SELECT session_id, seq, kept, entry FROM history")
@@ -51,7 +51,7 @@ def history_dedup(spark, sf):
 
 RETAIN = """ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS age, count(*) OVER (PARTITION BY session_id) AS n FROM observations WHERE status = 'ready'),
   fresh AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY session_id, frame_hash ORDER BY age) = 1 THEN n_bytes ELSE 0 END AS nb FROM ranked),
-  run AS (SELECT *, sum(nb) OVER (PARTITION BY session_id ORDER BY age ROWS UNBOUNDED PRECEDING) AS unique_bytes FROM fresh),
+  run AS (SELECT *, (sum(nb) OVER (PARTITION BY session_id ORDER BY age ROWS UNBOUNDED PRECEDING))::BIGINT AS unique_bytes FROM fresh),
   fit AS (SELECT * FROM run WHERE age <= 128 AND unique_bytes <= 67108864)"""
 
 
@@ -102,7 +102,7 @@ def _session_requests(spark, sf):
     S.with_ctes(S.OBSERVATIONS, S.REQUESTS)
     + """, o AS (SELECT session_id, count(*) FILTER (status = 'ready') AS frames, sum(latency_ms % 7) FILTER (status = 'ready') AS masks FROM observations GROUP BY 1),
     r AS (SELECT run_id % 50 AS session_id, count(*) AS model_calls, sum(output_tokens % 3) AS resolved FROM requests GROUP BY 1)
-    SELECT session_id, coalesce(frames, 0) AS frames, coalesce(masks, 0) AS masks, coalesce(model_calls, 0) AS model_calls, coalesce(resolved, 0) AS resolved FROM o FULL JOIN r USING (session_id)""",
+    SELECT session_id, coalesce(frames, 0) AS frames, coalesce(masks, 0)::BIGINT AS masks, coalesce(model_calls, 0) AS model_calls, coalesce(resolved, 0)::BIGINT AS resolved FROM o FULL JOIN r USING (session_id)""",
 )
 def run_stats(spark, sf):
     return H.run_stats(X.observations(spark, sf), _session_requests(spark, sf), _masks(), F.col("output_tokens") % 3)
@@ -113,7 +113,7 @@ def run_stats(spark, sf):
     OBS
     + """, u AS (SELECT *, coalesce(frame_hash = last_value(CASE WHEN status = 'ready' THEN frame_hash END IGNORE NULLS)
       OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS reused FROM observations)
-    SELECT session_id, reused, count(*) AS frames, sum(latency_ms) AS total_ms, max(latency_ms) AS max_ms, quantile_cont(latency_ms, 0.5) AS p50_ms, quantile_cont(latency_ms, 0.9) AS p90_ms FROM u GROUP BY ALL""",
+    SELECT session_id, reused, count(*) AS frames, sum(latency_ms)::BIGINT AS total_ms, max(latency_ms) AS max_ms, quantile_cont(latency_ms, 0.5) AS p50_ms, quantile_cont(latency_ms, 0.9) AS p90_ms FROM u GROUP BY ALL""",
 )
 def detector_latency(spark, sf):
     return H.detector_latency(H.frame_reuse(X.observations(spark, sf)))

@@ -243,8 +243,8 @@ def private_field_scan(spark, sf):
     + """, r AS (SELECT *, CASE WHEN page_id % 31 = 30 THEN 0 ELSE 1200 END AS vw FROM fields),
     q AS (SELECT *, CASE WHEN vw <= 0 THEN 'missing_viewport' WHEN width <= 0 OR height <= 0 THEN 'invalid_geometry'
       WHEN x < 0 OR y < 0 OR x + width > vw OR y + height > 900 THEN 'partly_outside' ELSE 'ok' END AS reason FROM r)
-    SELECT page_id, CASE WHEN reason = 'ok' THEN floor(x * 2) END AS left, CASE WHEN reason = 'ok' THEN floor(y * 2) END AS top,
-      CASE WHEN reason = 'ok' THEN ceil((x + width) * 2) END AS right, CASE WHEN reason = 'ok' THEN ceil((y + height) * 2) END AS bottom, reason FROM q""",
+    SELECT page_id, CASE WHEN reason = 'ok' THEN floor(x * 2)::BIGINT END AS left, CASE WHEN reason = 'ok' THEN floor(y * 2)::BIGINT END AS top,
+      CASE WHEN reason = 'ok' THEN ceil((x + width) * 2)::BIGINT END AS right, CASE WHEN reason = 'ok' THEN ceil((y + height) * 2)::BIGINT END AS bottom, reason FROM q""",
 )
 def css_to_pixel_box(spark, sf):
     view = F.when(F.col("page_id") % 31 == 30, 0).otherwise(1200)

@@ -344,7 +344,7 @@ def audit_verdict(spark, sf):
 
 @query(
     "usage_totals",
-    REQ + f"SELECT run_id, {MODEL} AS model, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, count(*) AS requests FROM requests GROUP BY ALL",
+    REQ + f"SELECT run_id, {MODEL} AS model, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) AS requests FROM requests GROUP BY ALL",
 )
 def usage_totals(spark, sf):
     model = F.concat(F.lit("model-"), (F.col("run_id") % 3).cast("string"))
