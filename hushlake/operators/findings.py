@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import patterns as P
 from hushlake.operators import pairing as G
 from hushlake.operators.vault import known_kind, vault_rematch
+from hushlake.plans.storage import materialize
 
 KEY = G.KEY
 # Order in which one region's sources are read.
@@ -198,7 +199,8 @@ def detect_sessions(regions: DataFrame) -> DataFrame:
 
     A value counts as known after the first frame it was found in.
     """
-    direct = classify_frames(regions)
+    # Read three times below: the classifier runs once.
+    direct = materialize(classify_frames(regions), "findings")
     at = direct.withColumn("seq", F.struct("frame_id", "order"))
     since = direct.groupBy("session_id", "value").agg(F.min("frame_id").alias("_since"))
     known = known_kind(at)

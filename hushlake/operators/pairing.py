@@ -197,19 +197,17 @@ def label_blocks(cleaned: DataFrame) -> DataFrame:
     """Pairs plus ``street_block`` and ``address_block`` = ``(value, items)``, NULL where there is none.
 
     An address runs from its first line to the postal code, four lines or the next
-    label.  When its first line stands apart from the label, the following lines are
-    looked up from that line; all other rows pass through that second lookup untouched.
+    label.  The following lines are looked up from that first line, which may stand
+    apart from the label; rows without an address pass the second lookup untouched.
     """
     paired = pair_labels(cleaned)
     address = (F.col("label_kind") == "ADDRESS") & F.col("selected").isNotNull()
-    apart = address & (F.col("label_value") == "")
-    inline = F.when(address & ~apart, _address(F.col("label_value"), F.col("selected"), F.col("below")))
     ready = (
         paired.withColumn("street_block", street_block())
-        .withColumn("inline_block", inline)
-        .withColumn("start", F.when(apart, F.col("selected")))
+        .withColumn("start", F.when(address, F.col("selected")))
         .drop("below", "right", "masked_right")
     )
     looked = neighbours(ready, cleaned, ADDRESS_CHAIN, sideways=False)
-    moved = F.when(F.col("start").isNotNull(), _address(F.col("selected.text"), F.col("selected"), F.col("below")))
-    return looked.withColumn("address_block", F.coalesce("inline_block", moved)).drop("start", "below", "inline_block")
+    text = F.when(F.col("label_value") != "", F.col("label_value")).otherwise(F.col("selected.text"))
+    block = F.when(F.col("start").isNotNull(), _address(text, F.col("selected"), F.col("below")))
+    return looked.withColumn("address_block", block).drop("start", "below")

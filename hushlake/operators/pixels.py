@@ -41,14 +41,17 @@ def frame_pixels(images: DataFrame) -> DataFrame:
     """Image rows ``(frame_id, width, height, channels, data)`` to pixel rows; bytes are B, G, R."""
     at = F.posexplode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
     rows = images.filter(F.col("width") * F.col("height") > 0).select("*", at.alias("pos", "_i"))
-    byte = lambda n: F.conv(F.hex(F.substring(F.col("data"), F.col("pos") * F.col("channels") + n, F.lit(1))), 16, 10).cast("int")
     gray = F.col("channels") == 1
-    blue, green, red = byte(1), F.when(gray, byte(1)).otherwise(byte(2)), F.when(gray, byte(1)).otherwise(byte(3))
+    bytes_of = F.substring(F.col("data"), F.col("pos") * F.col("channels") + 1, F.when(gray, 1).otherwise(3))
+    # One number per pixel: a single level, or blue, green and red from high to low.
+    rows = rows.withColumn("_v", F.conv(F.hex(bytes_of), 16, 10).cast("int"))
+    level = F.col("_v")
+    swapped = level.bitwiseAND(255) * 65536 + level.bitwiseAND(65280) + F.shiftright(level, 16)
     return rows.select(
         "frame_id",
         (F.col("pos") % F.col("width")).alias("x"),
         F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"),
-        (red * 65536 + green * 256 + blue).alias("rgb"),
+        F.when(gray, level * 65793).otherwise(swapped).alias("rgb"),
     )
 
 

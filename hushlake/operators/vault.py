@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import patterns as P
-from hushlake.operators.contains import present_values
+from hushlake.operators.contains import candidate_values, present_values
 from hushlake.operators.ordered import ROWS_PER_CHUNK, ordered, seq_chunk
 from hushlake.plans.storage import materialize
 
@@ -66,18 +66,19 @@ def vault_scrub(texts: DataFrame, vault: DataFrame, row_id: str = "text_id", tex
     values present in a text travel to it, so the vault may be larger than any task.
     """
     names = materialize(scrub_names(vault), "names")
-    found = present_values(texts, names, ["session_id"], [row_id], text=text).join(names, ["session_id", "value"])
+    found = candidate_values(texts, names, ["session_id"], [row_id], text=text).join(names, ["session_id", "value"])
     entry = F.struct((-F.length("value")).alias("n"), "value", "token")
     per_text = found.groupBy("session_id", row_id).agg(F.array_sort(F.collect_list(entry)).alias("_known"))
+    joined = (
+        texts.join(per_text, ["session_id", row_id], "left")
+        .withColumn("_known", F.filter("_known", lambda k: F.contains(F.col(text), k["value"])))
+        .withColumn("hits", F.coalesce(F.size("_known"), F.lit(0)))
+    )
     known = F.col("_known")
     pattern = F.array_join(F.transform(known, lambda k: quoted(k["value"])), "|")
     names_map = F.map_from_entries(F.transform(known, lambda k: F.struct(k["value"], k["token"])))
-    joined = texts.join(per_text, ["session_id", row_id], "left")
-    return joined.select(
-        *[F.col(c) for c in texts.columns],
-        F.when(known.isNotNull(), interleave(F.col(text), pattern, names_map)).otherwise(F.col(text)).alias("scrubbed"),
-        F.coalesce(F.size(known), F.lit(0)).alias("hits"),
-    )
+    replaced = F.when(F.col("hits") > 0, interleave(F.col(text), pattern, names_map)).otherwise(F.col(text))
+    return joined.select(*[F.col(c) for c in texts.columns], replaced.alias("scrubbed"), "hits")
 
 
 def full_scrub(texts: DataFrame, vault: DataFrame, row_id: str = "text_id", text: str = "text", extra=()) -> DataFrame:

@@ -270,7 +270,29 @@ def classify_documents(spark, sf):
     return found.select(*[c for c in FINDING_COLS if c != "value"], F.sha2("value", 256).alias("value_hash"))
 
 
-@query("detect_sessions")
+AGAIN = """known AS (
+  SELECT session_id, value, CASE WHEN bool_or(kind = 'SECRET') THEN 'SECRET' ELSE arg_max(kind, frame_id * 1e18 + oy * 1e12 + ox * 1e6 + aid * 10 + s) END AS kind,
+    bool_or(explicit_secret) AS explicit_secret, min(frame_id) AS since FROM flagged WHERE pick = 1 GROUP BY ALL),
+fragments AS (
+  SELECT session_id, kind, value, since, unnest([value] || list_filter(list_transform(string_split(value, chr(10)), lambda v: trim(v)), lambda v: length(v) >= 4)) AS fragment
+  FROM known WHERE NOT (kind = 'SECRET' AND NOT explicit_secret AND regexp_matches(trim(value), '""" + T.HELPER + """'))),
+again AS (
+  SELECT DISTINCT c.session_id, c.frame_id, f.kind, f.value, c.x, c.y, c.width, c.height, c.confidence, 'local-vault' AS source, false AS explicit_secret,
+    c.y AS oy, c.x AS ox, c.region_id AS aid, 1 AS s, 0 AS n0
+  FROM scanned c JOIN fragments f ON f.session_id = c.session_id AND c.frame_id > f.since
+    AND contains(lower(regexp_replace(c.text, '\\s+', '', 'g')), lower(regexp_replace(f.fragment, '\\s+', '', 'g')))),
+every AS (
+  SELECT session_id, frame_id, kind, value, x, y, width, height, confidence, source, explicit_secret, oy, ox, aid, s, n0 FROM flagged WHERE pick = 1
+  UNION ALL SELECT * FROM again),
+sessions AS (
+  SELECT * REPLACE (bool_or(explicit_secret) OVER (PARTITION BY session_id, frame_id, kind, value, x, y, width, height) AS explicit_secret),
+    row_number() OVER (PARTITION BY session_id, frame_id, kind, value, x, y, width, height ORDER BY oy, ox, aid, s, n0) AS first FROM every)"""
+
+
+@query(
+    "detect_sessions",
+    S.with_ctes(S.CARDS, scan_sql("cards"), FOUND, AGAIN) + f"SELECT {', '.join(FINDING_COLS)} FROM sessions WHERE first = 1",
+)
 def detect_sessions(spark, sf):
     """Findings with values of earlier frames re-found in later ones."""
     return D.detect_sessions(X.contact_cards(spark, sf)).select(*FINDING_COLS)

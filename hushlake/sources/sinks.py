@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import boxes as B
 from hushlake.functions import patterns as P
 from hushlake.operators.ordered import ordered
-from hushlake.plans.storage import work_dir
+from hushlake.plans.storage import materialize, work_dir
 
 PROTECTED = (
     "frame_id BIGINT, status STRING, count INT, "
@@ -22,6 +22,8 @@ def protect_frames(findings: DataFrame, frame_width: int, frame_height: int, fra
 
     A frame with one invalid finding gets ``status = 'error'`` and no output.
     """
+    # Read twice below: the classifier behind it runs once.
+    findings = materialize(findings, "findings")
     checked = findings.withColumn("_reason", B.box_reason("kind", "value", frame_width, frame_height)).withColumn(
         "_at", F.struct("frame_id", "order")
     )
