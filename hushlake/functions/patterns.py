@@ -79,6 +79,10 @@ LINE_PIECE = (
 # Cheap necessary conditions: a text without them cannot match the costly pattern.
 LABEL_HINT = r"(?Ui)(?:^|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[\s\x1c-\x1f]*(?:" + LABEL_WORDS + ")"
 DIGITS = r"(?U)\d{3}"
+HOUSE_NUMBER = r"(?U)\d\s"
+KEY_PREFIX = r"sk[-_]|gh[pousr]_|github_pat_|AKIA|AIza|eyJ"
+
+GUARDED = (EMAIL, PHONE, SECRET, STREET)
 
 # Ordered kind -> pattern registry; redaction runs in this order.
 REGISTRY = (("EMAIL", EMAIL), ("PHONE", PHONE), ("SECRET", SECRET))
@@ -93,15 +97,18 @@ def may_match(text: Column, pattern: str) -> Column:
     """False only for texts in which a costly pattern cannot occur."""
     if pattern == EMAIL:
         return text.contains("@")
-    if pattern == PHONE:
-        return text.rlike(DIGITS)
-    return text.isNotNull()
+    hints = {PHONE: DIGITS, SECRET: KEY_PREFIX, STREET: HOUSE_NUMBER}
+    return text.rlike(hints[pattern]) if pattern in hints else text.isNotNull()
+
+
+def has_street(text: Column) -> Column:
+    return may_match(text, STREET) & text.rlike(STREET)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern, left to right."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if pattern in (EMAIL, PHONE):
+    if pattern in GUARDED:
         return F.when(may_match(text, pattern), found).otherwise(F.array().cast("array<string>"))
     return found
 
@@ -173,7 +180,7 @@ def redact(text: Column, registry=REGISTRY) -> Column:
     """Replace every registered pattern by its ``[KIND_REDACTED]`` marker, in order."""
     for kind, pattern in registry:
         clean = F.regexp_replace(text, pattern, f"[{kind}_REDACTED]")
-        text = F.when(may_match(text, pattern), clean).otherwise(text) if pattern in (EMAIL, PHONE) else clean
+        text = F.when(may_match(text, pattern), clean).otherwise(text) if pattern in GUARDED else clean
     return text
 
 
@@ -198,7 +205,7 @@ def pattern_scrub(text: Column, registry=REGISTRY, extra=()) -> Column:
     """
     plain = redact(text, registry)
     lines = F.array_join(F.transform(matches(plain, LINE_PIECE), _clean_line), "")
-    out = F.when(plain.rlike(LABEL_HINT) | plain.rlike(STREET), lines).otherwise(plain)
+    out = F.when(plain.rlike(LABEL_HINT) | has_street(plain), lines).otherwise(plain)
     for stage in extra:
         out = stage(out)
     return out

@@ -43,7 +43,7 @@ def anchors_of(cleaned: DataFrame) -> DataFrame:
     text = F.col("text")
     rows = (
         cleaned.withColumn("label", P.label_of(text))
-        .withColumn("street", text.rlike(P.STREET))
+        .withColumn("street", P.has_street(text))
         .filter((F.col("label") != "") | F.col("street"))
         .withColumn("is_label", F.col("label") != "")
         .withColumn("label_kind", F.when(F.col("is_label"), P.kind_of_label(F.col("label"))))
