@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushlake.llm.host_rules import MOST_FAILING, ORDER, quality
+from hushlake.llm.language import identify
 from hushlake.llm.simhash import simhash_components
 from hushlake.sources.tables import table
 
@@ -26,3 +28,49 @@ def query(name: str, sql: str | None = None):
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_components(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+OP4_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), numbered AS (SELECT row_number() OVER () AS r, * FROM w),
+win AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i+7], ' ')) AS seen
+  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM numbered WHERE len(words) >= 8)
+), rep AS (
+  SELECT r, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM win WHERE seen > 1) GROUP BY r
+), lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM numbered)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), base AS (
+  SELECT n.doc_id, n.source AS host, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM numbered n LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)
+), judged AS (
+  SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM base
+), hosts AS (
+  SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM judged GROUP BY host
+), prior AS (SELECT avg(bad / n) AS mu, var_pop(bad / n) AS v FROM hosts),
+verdict AS (
+  SELECT host, CASE WHEN v = 0 OR mu <= 0 OR mu >= 1 THEN mu
+    ELSE (bad + mu * greatest(mu * (1 - mu) / v - 1, 0)) / (n + greatest(mu * (1 - mu) / v - 1, 0)) END <= {MOST_FAILING} AS ok
+  FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ok) AS kept
+FROM judged j JOIN verdict v ON j.host IS NOT DISTINCT FROM v.host
+"""
+
+
+@query("op4_host_rules", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents")).select("doc_id", *ORDER, "base_failed", "kept")
+
+
+@query("op9_language")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
