@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushlake.llm.host_rules import MOST_FAILING, ORDER, quality
 from hushlake.llm.language import identify
 from hushlake.llm.simhash import simhash_components
+from hushlake.llm.suffixes import without_repeats
 from hushlake.sources.tables import table
 
 QUERIES: dict = {}
@@ -74,3 +75,36 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_language")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pos AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS i FROM d WHERE length(h) >= 200),
+dup AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i - 1, 200)) ORDER BY doc_id, i) AS nth FROM pos
+  ) WHERE nth > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM dup
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b
+  FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS begin FROM runs
+), cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
+    string_agg(substr(h, 2 * begin - 1, 2 * (a - begin)), '' ORDER BY a) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(stop, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op6_suffix_dedup", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    cut = without_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
