@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushlake.llm.best_fit import matrices
+from hushlake.llm.cost_packing import packed
 from hushlake.llm.host_rules import MOST_FAILING, ORDER, quality
 from hushlake.llm.language import identify
 from hushlake.llm.simhash import simhash_components
@@ -108,3 +110,14 @@ FROM d LEFT JOIN cut USING (doc_id)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     cut = without_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_cost_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packed(table(spark, folder, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op2_best_fit_matrices")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return matrices(table(spark, folder, "documents"))
