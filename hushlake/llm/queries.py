@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm.best_fit import matrices
+from hushlake.llm.bpe import digests
 from hushlake.llm.cost_packing import packed
 from hushlake.llm.host_rules import MOST_FAILING, ORDER, quality
 from hushlake.llm.language import identify
 from hushlake.llm.simhash import simhash_components
 from hushlake.llm.suffixes import without_repeats
+from hushlake.llm.warc import archive
 from hushlake.sources.tables import table
 
 QUERIES: dict = {}
@@ -121,3 +123,31 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_best_fit_matrices")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return matrices(table(spark, folder, "documents"))
+
+
+@query("op5_bpe")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(table(spark, folder, "documents"))
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, coalesce(html, '') AS payload FROM pages
+), first AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload)
+SELECT page_id, payload_bytes, base32 AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN first USING (payload) JOIN (
+  SELECT payload, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', digit + 1, 1), '' ORDER BY nth) AS base32
+  FROM (
+    SELECT payload, nth,
+      CAST(((CAST('0x' || substr(sha1(payload), 5 * (nth // 4) + 1, 5) AS BIGINT)) >> (15 - 5 * (nth % 4))) & 31 AS INTEGER) AS digit
+    FROM first, range(32) AS r(nth)
+  ) GROUP BY payload
+) USING (payload)
+"""
+
+
+@query("op7_warc", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return archive(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
