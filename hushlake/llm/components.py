@@ -55,16 +55,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def cell_links(rows: DataFrame, links: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def cell_links(
+    rows: DataFrame,
+    links: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
+    attach: Callable[[DataFrame], DataFrame] = lambda shared: shared,
+) -> DataFrame:
     """Edges ``a, b`` (long) that span the components which ``links`` finds in every cell.
 
-    ``rows``: ``cell`` and ``id`` (long, at most one row of an id in a cell) and whatever ``links`` needs.
-    ``links`` gets the rows of one block and returns positions of linked rows. Cells of one row go first. A
-    cell of over ``2 * BLOCK`` rows is dealt into chunks, and each pair of chunks is compared in a group of its own, so
-    that no task holds a cell and every pair of rows still meets. A block returns a spanning forest, never its pairs.
+    ``rows``: ``cell`` and ``id`` (long). Cells of one id go first, by a partial aggregate; ``attach`` adds to what is
+    left (distinct ``cell, id``) the columns that ``links`` needs. ``links`` gets the rows of one block and returns
+    positions of linked rows. A cell of over ``2 * BLOCK`` rows is dealt into chunks, and each pair of chunks is compared
+    in a group of its own, so that no task holds a cell and every pair of rows still meets. A block returns a spanning
+    forest, never its pairs.
     """
-    sizes = rows.groupBy("cell").count().filter("count > 1")
-    shared = rows.join(sizes, "cell")
+    many = rows.groupBy("cell").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("cell")
+    shared = materialize(rows.join(many, "cell").distinct(), "cells")
+    shared = attach(shared).join(shared.groupBy("cell").count(), "cell")
     k = F.when(F.col("count") > 2 * BLOCK, F.ceil(F.col("count") / BLOCK)).otherwise(F.lit(1))
     own = F.pmod(F.xxhash64("id"), F.col("chunks"))
     dealt = (

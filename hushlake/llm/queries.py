@@ -10,6 +10,8 @@ from hushlake.llm.bpe import digests
 from hushlake.llm.cost_packing import packed
 from hushlake.llm.host_rules import MOST_FAILING, ORDER, quality
 from hushlake.llm.language import identify
+from hushlake.llm.onebit import nearest
+from hushlake.llm.paragraphs import repeated_paragraphs
 from hushlake.llm.simhash import simhash_components
 from hushlake.llm.suffixes import without_repeats
 from hushlake.llm.warc import archive
@@ -151,3 +153,30 @@ FROM p JOIN first USING (payload) JOIN (
 @query("op7_warc", OP7_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return archive(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(min(embedding) AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+  GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 20
+"""
+
+
+@query("op10_onebit_search", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
+@query("op1_repeated_paragraphs")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, folder, "documents"))
