@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from hushlake.llm.token_ids import TOKENIZER
 
@@ -20,16 +20,8 @@ SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter of each byte in byte-level vocabularies: itself, or one from 256 on for the others."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in shown]
-    letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(others)}
-    return [letters[b] for b in range(256)]
-
-
 class Codec:
-    """Word-level BPE as the vocabulary file describes it: normalised and lowered, cut by a pattern, a mark on word ends."""
+    """Word-level BPE as the vocabulary file describes it; the merges of a word and the way back are made here."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -42,15 +34,18 @@ class Codec:
         self._merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (left, right) in enumerate(model["merges"]):
             self._merges[self._ids[left], self._ids[right]] = (rank, self._ids[left + right])
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._word = regex.compile(pattern)
-        self._marks = regex.compile("|".join(map(regex.escape, self._special)))
-        self._letters = _byte_letters()
+        self._marks = re.compile("|".join(map(re.escape, self._special)))
+        #: Only cuts texts into words: which characters are letters depends on the library's edition of Unicode.
+        self._library = Tokenizer.from_file(path)
+
+    def _words(self, text: str) -> list[str]:
+        """Normalised words, a printable letter for each byte."""
+        normal = self._library.normalizer.normalize_str(text)
+        return [word for word, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _merge(self, word: str) -> list[int]:
         """Ids of one word: the pair of the lowest rank is merged first, of equal ranks the leftmost."""
-        letters = [self._letters[b] for b in word.encode()]
-        letters[-1] += self._end
+        letters = [*word[:-1], word[-1] + self._end]
         symbol = [self._ids[x] for x in letters if x in self._ids]
         after, before = [*range(1, len(symbol)), -1], list(range(-1, len(symbol) - 1))
         queue: list[tuple[int, int, int, int, int]] = []
@@ -76,17 +71,12 @@ class Codec:
             offer(left)
         return [s for s in symbol if s >= 0]
 
-    def _normal(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        return "".join(c.lower() for c in unicodedata.normalize("NFC", text))  # no letter looks at its neighbours
-
     def encode(self, piece: str) -> list[int]:
         """Ids of a text; strings of special tokens in it are those tokens."""
         ids, at = [], 0
         for mark in [*self._marks.finditer(piece), None]:
             plain = piece[at : mark.start() if mark else len(piece)]
-            for word in self._word.findall(self._normal(plain)):
+            for word in self._words(plain):
                 ids += self._merge(word)
             if mark:
                 ids.append(self._special[mark.group()])
