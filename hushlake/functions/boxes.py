@@ -22,19 +22,12 @@ def all_finite(*cols: Column) -> Column:
     return reduce(lambda a, b: a & b, [finite(c) for c in cols])
 
 
-def _whole(col: Column) -> Column:
-    return F.when(F.abs(col) < 1e15, col)
-
-
 def edges(frame_width, frame_height) -> tuple[Column, Column, Column, Column]:
-    """Box rounded outwards and clamped to the frame."""
+    """Box rounded outwards and clamped to the frame, while it is still DOUBLE: no coordinate is too far off."""
     x, y, w, h = (F.col(c).cast("double") for c in ("x", "y", "width", "height"))
     fw, fh = (c if isinstance(c, Column) else F.lit(c) for c in (frame_width, frame_height))
-    left = F.greatest(F.lit(0), F.floor(_whole(x)))
-    top = F.greatest(F.lit(0), F.floor(_whole(y)))
-    right = F.least(fw.cast("long"), F.ceil(_whole(x + w)))
-    bottom = F.least(fh.cast("long"), F.ceil(_whole(y + h)))
-    return left, top, right, bottom
+    within = lambda c, high: F.greatest(F.lit(0.0), F.least(high.cast("double"), c))
+    return F.floor(within(x, fw)), F.floor(within(y, fh)), F.ceil(within(x + w, fw)), F.ceil(within(y + h, fh))
 
 
 def box_reason(kind: str, value: str, frame_width, frame_height) -> Column:
@@ -61,11 +54,12 @@ def round_clip(frame_width, frame_height) -> Column:
 def pad_polygon(points: Column, frame_width: int, frame_height: int) -> Column:
     """Bounding box of a text polygon, padded and clamped; ``status`` names an empty result."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    whole = lambda c, high: F.greatest(F.lit(-PAD - 1.0), F.least(F.lit(high + PAD + 1.0), c))  # before it is cast
     clamp = lambda c, high: F.greatest(F.lit(0), F.least(F.lit(high), c))
-    left = clamp(F.floor(F.array_min(xs)) - PAD, frame_width)
-    top = clamp(F.floor(F.array_min(ys)) - PAD, frame_height)
-    right = F.greatest(left, F.least(F.lit(frame_width), F.ceil(F.array_max(xs)) + PAD))
-    bottom = F.greatest(top, F.least(F.lit(frame_height), F.ceil(F.array_max(ys)) + PAD))
+    left = clamp(F.floor(whole(F.array_min(xs), frame_width)) - PAD, frame_width)
+    top = clamp(F.floor(whole(F.array_min(ys), frame_height)) - PAD, frame_height)
+    right = F.greatest(left, F.least(F.lit(frame_width), F.ceil(whole(F.array_max(xs), frame_width)) + PAD))
+    bottom = F.greatest(top, F.least(F.lit(frame_height), F.ceil(whole(F.array_max(ys), frame_height)) + PAD))
     return F.struct(
         left.alias("x"),
         top.alias("y"),

@@ -16,7 +16,7 @@ ALLOWED_KEYS = (
     "DELETE", "HOME", "END", "PAGEUP", "PAGEDOWN", "SHIFT",
 )
 KEY_NAMES = {
-    "CTRL": "Control", "CONTROL": "Control", "CMD": "Meta", "ESC": "Escape", "ENTER": "Enter", "TAB": "Tab",
+    "CTRL": "Control", "CONTROL": "Control", "CMD": "Meta", "META": "Meta", "ESC": "Esc", "ENTER": "Enter", "TAB": "Tab",
     "BACKSPACE": "Backspace", "ESCAPE": "Escape", "SPACE": "Space", "ARROWDOWN": "ArrowDown", "ARROWUP": "ArrowUp",
     "ARROWLEFT": "ArrowLeft", "ARROWRIGHT": "ArrowRight", "DELETE": "Delete", "HOME": "Home", "END": "End",
     "PAGEUP": "PageUp", "PAGEDOWN": "PageDown", "SHIFT": "Shift",
@@ -173,6 +173,7 @@ def destination_reason(field: dict[str, Column], tokens: Column, authorized: Col
         | yes("search")
         | identity.rlike(SEARCH_WORDS)
         | (text("form_method") == "get")
+        | field["form_origin"].isNull()
         | ((text("form_origin") != "") & (text("form_origin") != field["origin"]))
     )
     words = F.filter(F.split(F.lower(text("autocomplete")), r"\s+"), lambda w: w != "")

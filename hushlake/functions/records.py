@@ -84,8 +84,8 @@ def answer_text(output: Column, scrub, default: str) -> Column:
 
 
 def redact_images(json_text: Column) -> Column:
-    """JSON text whose image strings are replaced by a marker."""
-    body = r'(?:[^"\\]|\\.)*'
+    """JSON text whose image strings are replaced by a marker. Possessive, so the matcher's stack does not grow with them."""
+    body = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
     out = F.regexp_replace(json_text, rf'("image_url"\s*:\s*)"data:image/{body}"', f'$1"{IMAGE_MARKER}"')
     return F.regexp_replace(out, rf'("image_base64"\s*:\s*)"{body}"', f'$1"{IMAGE_MARKER}"')
 

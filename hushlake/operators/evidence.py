@@ -27,10 +27,12 @@ def chain_link(requests: DataFrame) -> DataFrame:
     """Each follow-up must name the receipt just before it; a root must name none."""
     linked = with_previous(requests, ["response_id"])
     root = F.col("previous").isNull()
+    named = F.nullif(F.col("previous_response_id"), F.lit(""))  # an empty name is none
+    before = F.nullif(F.col("previous.response_id"), F.lit(""))
     reason = (
-        F.when(root & F.col("previous_response_id").isNotNull(), "unaudited_history")
+        F.when(root & named.isNotNull(), "unaudited_history")
         .when(root & F.col("result_call_id").isNotNull(), "root_has_results")
-        .when(~root & ~F.col("previous_response_id").eqNullSafe(F.col("previous.response_id")), "broken_link")
+        .when(~root & (named.isNull() | ~named.eqNullSafe(before)), "broken_link")
         .otherwise("ok")
     )
     return linked.withColumn("reason", reason)
@@ -39,21 +41,22 @@ def chain_link(requests: DataFrame) -> DataFrame:
 def tool_result_match(requests: DataFrame) -> DataFrame:
     """Results of a follow-up must be exactly the calls of the record before it.
 
-    ``calls`` and ``results`` are arrays of ``(call_id, type)``.
+    ``calls`` and ``results`` are arrays of ``(call_id, type)``; a NULL array or entry of a follow-up is never ``ok``.
     """
     linked = with_previous(requests, ["calls"])
     expected = F.transform(
         F.col("previous.calls"), lambda c: F.struct(c["call_id"].alias("call_id"), F.concat(c["type"], F.lit("_output")).alias("type"))
     )
     actual = F.col("results")
-    nameless = lambda arr: F.exists(arr, lambda c: F.coalesce(c["call_id"], F.lit("")) == "")
+    nameless = lambda arr: F.exists(arr, lambda c: F.coalesce(c["call_id"], F.lit("")) == "")
     reason = (
         F.when(F.col("previous").isNull(), F.when(F.size(actual) > 0, "root_has_results").otherwise("ok"))
-        .when(F.size(expected) == 0, "no_preceding_calls")
+        .when(expected.isNull() | (F.size(expected) == 0), "no_preceding_calls")
+        .when(actual.isNull(), "results_differ")
         .when(nameless(expected), "call_identity_missing")
         .when(nameless(actual), "result_identity_missing")
         .when(F.size(F.array_distinct(expected)) < F.size(expected), "duplicate_calls")
-        .when(F.sort_array(expected) != F.sort_array(actual), "results_differ")
+        .when(~F.sort_array(expected).eqNullSafe(F.sort_array(actual)), "results_differ")
         .otherwise("ok")
     )
     return linked.withColumn("reason", reason)
@@ -74,9 +77,9 @@ def frame_changed(requests: DataFrame) -> DataFrame:
 def image_match(recorded: Column, images: Column) -> Column:
     """Recorded frame against the payload's images."""
     return (
-        F.when(F.size(images) == 0, "no_payload_image")
+        F.when(images.isNull() | (F.size(images) == 0), "no_payload_image")
         .when(recorded.isNull(), "no_recorded_image")
-        .when(~F.array_contains(images, recorded), "recorded_not_sent")
+        .when(~F.coalesce(F.array_contains(images, recorded), F.lit(False)), "recorded_not_sent")
         .when(F.size(unaudited_images(recorded, images)) > 0, "additional_image")
         .otherwise("ok")
     )

@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(session)`` puts a session's whole history into one
 task.  Here the history is cut into chunks of the order column: a small
 per-chunk summary (partial aggregation) carries counts, tails and totals from
 one chunk to the next, and the row-level window runs per ``(key, chunk)``.
-Results equal the plain window.  Keys are expected to be non-null.
+Results equal the plain window; NULL keys are a group like any other, and rows
+without an order value come first.
 """
 
 from __future__ import annotations
@@ -81,9 +82,10 @@ def ordered(
     carry += [F.lead(f"_c_{n}").over(across).alias(f"_c_{n}") for n in lead]
     carry += [F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last]
     carry += [F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in total]
-    carried = summary.select(*keys, "_chunk", *carry)
+    carried = summary.select(F.struct(*keys, "_chunk").alias("_part"), *carry)
 
-    joined = data.join(carried, [*keys, "_chunk"], "left")
+    # structs are equal where their NULLs are
+    joined = data.withColumn("_part", F.struct(*keys, "_chunk")).join(carried, "_part", "left")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)

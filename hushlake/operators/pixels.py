@@ -92,21 +92,39 @@ def mask_coverage(pixels: DataFrame, covered: Column, box: dict, minimum: int =
     )
 
 
-def mask_independence(pixels: DataFrame, one: str, other: str, covered: Column) -> DataFrame:
-    """Masked pixels that depend on what was below them; zero everywhere when masking is sound."""
-    a, b = painted(F.col(one), covered), painted(F.col(other), covered)
-    return pixels.groupBy("frame_id").agg(
-        F.count_if(covered).alias("masked"), F.count_if(covered & (a != b)).alias("dependent")
+def _aligned(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row for each pixel of either side: ``frame_id, x, y`` and structs ``a, b`` of the other columns, NULL where missing.
+
+    Both sides go through one exchange and fold into one row, instead of a full outer join of two.
+    """
+    place = ["frame_id", "x", "y"]
+    side = lambda df, name: F.struct(*(F.col(c) for c in df.columns if c not in place)).alias(name)
+    none = lambda df: F.lit(None).cast(df.select(side(df, "s")).schema["s"].dataType)
+    left = first.select(*place, side(first, "a"), none(second).alias("b"))
+    right = second.select(*place, none(first).alias("a"), side(second, "b"))
+    return left.unionByName(right).groupBy(*place).agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+
+
+def mask_independence(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Masked pixels of two protected captures ``(frame_id, x, y, rgb, covered)`` that depend on what was below the masks.
+
+    The captures differ below the masks only, so any masked pixel that is not the same in both, or is missing from one,
+    shows something of it.
+    """
+    both = _aligned(first.select("frame_id", "x", "y", "rgb", "covered"), second.select("frame_id", "x", "y", "rgb", "covered"))
+    covered = F.coalesce(F.col("a.covered"), F.lit(False)) | F.coalesce(F.col("b.covered"), F.lit(False))
+    differs = ~F.col("a.rgb").eqNullSafe(F.col("b.rgb"))
+    return both.groupBy("frame_id").agg(
+        F.count_if(covered).alias("masked"), F.count_if(covered & differs).alias("dependent")
     )
 
 
 def same_field(first: DataFrame, second: DataFrame, box: dict) -> DataFrame:
     """Frames whose field pixels are equal in two captures; a missing pixel is a difference."""
     x, y = F.col("x"), F.col("y")
-    a = first.filter(inside(x, y, box)).select("frame_id", "x", "y", F.col("rgb").alias("_a"))
-    b = second.filter(inside(x, y, box)).select("frame_id", "x", "y", F.col("rgb").alias("_b"))
-    both = a.join(b, ["frame_id", "x", "y"], "full_outer")
-    return both.groupBy("frame_id").agg(F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("different")).withColumn(
+    a, b = (df.filter(inside(x, y, box)).select("frame_id", "x", "y", "rgb") for df in (first, second))
+    both = _aligned(a, b)
+    return both.groupBy("frame_id").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different")).withColumn(
         "same", F.col("different") == 0
     )
 
@@ -126,7 +144,7 @@ def moved_field_coverage(filled: DataFrame, actual: DataFrame, old: dict, new: d
         "frame_id", (x + dx).alias("x"), (y + dy).alias("y"), "empty_rgb", "stable_rgb", "entered_rgb"
     )
     target = actual.filter(inside(x, y, new)).select("frame_id", "x", "y", "rgb", "protected_rgb", "covered")
-    both = source.join(target, ["frame_id", "x", "y"], "full_outer")
+    both = _aligned(source, target).select("frame_id", "a.*", "b.*")
     changed = F.col("rgb") != F.col("empty_rgb")
     counts = both.groupBy("frame_id").agg(
         F.count_if(~F.col("empty_rgb").eqNullSafe(F.col("stable_rgb"))).alias("unstable"),

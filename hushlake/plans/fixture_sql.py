@@ -74,7 +74,7 @@ FIELDS = r"""fields AS (
   CASE page_id % 11 WHEN 7 THEN 'q' ELSE 'contact' END AS name,
   page_id % 13 <> 12 AS focused, page_id % 17 <> 16 AS visible, page_id % 19 <> 18 AS editable, page_id % 11 = 8 AS search,
   CASE page_id % 11 WHEN 9 THEN 'get' ELSE 'post' END AS form_method,
-  CASE page_id % 11 WHEN 10 THEN 'https://other.example' ELSE '' END AS form_origin,
+  CASE page_id % 11 WHEN 10 THEN 'https://other.example' WHEN 9 THEN NULL ELSE '' END AS form_origin,
   page_id % 5 <> 4 AS origin_authorized,
   CASE page_id % 3 WHEN 0 THEN '[EMAIL_1]' WHEN 1 THEN '[NAME_2]' ELSE '[SECRET_1]' END AS token,
   CAST((page_id * 7) % 1400 AS DOUBLE) - 100.0::DOUBLE AS x, CAST((page_id * 13) % 1000 AS DOUBLE) - 50.0::DOUBLE AS y,

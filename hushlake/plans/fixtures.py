@@ -177,7 +177,7 @@ def fields(spark: SparkSession, sf: str) -> DataFrame:
         (k % 19 != 18).alias("editable"),
         (k % 11 == 8).alias("search"),
         F.when(k % 11 == 9, "get").otherwise("post").alias("form_method"),
-        F.when(k % 11 == 10, "https://other.example").otherwise("").alias("form_origin"),
+        F.when(k % 11 == 10, "https://other.example").when(k % 11 != 9, "").alias("form_origin"),
         (k % 5 != 4).alias("origin_authorized"),
         pick(k % 3, {0: "[EMAIL_1]", 1: "[NAME_2]"}, "[SECRET_1]").alias("token"),
         ((k * 7) % 1400).cast("double").__sub__(100.0).alias("x"),

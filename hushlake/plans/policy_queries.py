@@ -109,7 +109,7 @@ CHORDS = {
     9: "ArrowDown", 10: "esc", 11: "PageUp", 12: "", 13: "CONTROL+C",
 }
 NORMAL = {
-    0: "Control+A", 2: "Enter", 5: "META+A", 6: "Shift+Tab", 8: "Meta+A", 9: "ArrowDown", 10: "Escape", 11: "PageUp",
+    0: "Control+A", 2: "Enter", 5: "Meta+A", 6: "Shift+Tab", 8: "Meta+A", 9: "ArrowDown", 10: "Esc", 11: "PageUp",
 }
 
 
@@ -171,7 +171,7 @@ def _gate_fields(spark, sf):
     S.with_ctes(S.FIELDS, GATE)
     + r"""SELECT page_id, CASE WHEN NOT EXISTS (SELECT 1 FROM granted g WHERE g.origin = gate.origin) THEN 'not_authorized'
       WHEN NOT (visible AND focused AND editable) THEN 'not_a_focused_field'
-      WHEN type IN ('search','url','password','hidden') OR search OR name = 'q' OR form_method = 'get' OR (form_origin <> '' AND form_origin <> origin) THEN 'unsafe_destination'
+      WHEN type IN ('search','url','password','hidden') OR search OR name = 'q' OR form_method = 'get' OR form_origin IS NULL OR (form_origin <> '' AND form_origin <> origin) THEN 'unsafe_destination'
       WHEN type IN ('email', 'tel') AND autocomplete <> '' AND type <> autocomplete THEN 'ambiguous_field'
       WHEN token <> CASE WHEN autocomplete = 'email' OR (autocomplete = '' AND type = 'email') THEN '[EMAIL_1]' WHEN autocomplete = 'section-a name' THEN '[NAME_2]' ELSE '[PHONE]' END THEN 'class_mismatch'
       ELSE 'ok' END AS reason FROM gate""",

@@ -247,11 +247,11 @@ def chain_link(spark, sf):
     "tool_result_match",
     REQ
     + """, c AS (SELECT *, lag(call_id) OVER w AS pc, lag(call_type) OVER w AS pt, lag(step) OVER w AS ps FROM requests WINDOW w AS (PARTITION BY run_id ORDER BY step))
-    SELECT run_id, step, CASE WHEN pc IS NULL THEN 'ok' WHEN (run_id + step) % 37 = 5 THEN 'result_identity_missing' WHEN ps % 6 = 5 THEN 'duplicate_calls'
+    SELECT run_id, step, CASE WHEN pc IS NULL THEN 'ok' WHEN (run_id + ps) % 41 = 3 THEN 'no_preceding_calls' WHEN (run_id + step) % 43 = 2 THEN 'results_differ' WHEN (run_id + step) % 37 = 5 THEN 'result_identity_missing' WHEN ps % 6 = 5 THEN 'duplicate_calls'
       WHEN result_call_id = pc AND (ps % 4 = 1) = ((run_id + step) % 5 <> 0 AND ps % 4 = 1) THEN 'ok' ELSE 'results_differ' END AS reason FROM c""",
 )
 def tool_result_match(spark, sf):
-    """Some records hold two calls, some repeat one, some results lack an id or are incomplete."""
+    """Some records hold two calls, some repeat one, some results lack an id, are incomplete or missing."""
     step, mixed = F.col("step"), F.col("run_id") + F.col("step")
     call = F.struct("call_id", F.col("call_type").alias("type"))
     second = F.struct(F.concat("call_id", F.lit("-b")).alias("call_id"), F.col("call_type").alias("type"))
@@ -266,6 +266,7 @@ def tool_result_match(spark, sf):
         .when(((step - 1) % 4 == 1) & (mixed % 5 != 0), F.array(other, result))
         .otherwise(F.array(result))
     )
+    calls, results = F.when(mixed % 41 != 3, calls), F.when(mixed % 43 != 2, results)
     df = X.requests(spark, sf).withColumn("calls", calls).withColumn("results", results)
     return E.tool_result_match(df).select(*K, "reason")
 
@@ -282,19 +283,20 @@ def frame_changed(spark, sf):
 
 def _images():
     both = F.array("frame_hash", "payload_hash")
-    return F.when(F.col("step") % 5 == 4, both).otherwise(F.array("payload_hash"))
+    given = F.when(F.col("step") % 5 == 4, both).otherwise(F.array("payload_hash"))
+    return F.when((F.col("run_id") + F.col("step")) % 29 != 7, given)  # some records have no list of images
 
 
 @query(
     "payload_image_match",
     REQ
-    + """SELECT run_id, step, CASE WHEN frame_hash = payload_hash THEN 'ok' WHEN step % 5 = 4 THEN 'additional_image' ELSE 'recorded_not_sent' END AS reason FROM requests""",
+    + """SELECT run_id, step, CASE WHEN (run_id + step) % 29 = 7 THEN 'no_payload_image' WHEN frame_hash = payload_hash THEN 'ok' WHEN step % 5 = 4 THEN 'additional_image' ELSE 'recorded_not_sent' END AS reason FROM requests""",
 )
 def payload_image_match(spark, sf):
     return X.requests(spark, sf).select(*K, E.image_match(F.col("frame_hash"), _images()).alias("reason"))
 
 
-@query("unaudited_images", REQ + "SELECT run_id, step, payload_hash AS image FROM requests WHERE payload_hash <> frame_hash")
+@query("unaudited_images", REQ + "SELECT run_id, step, payload_hash AS image FROM requests WHERE payload_hash <> frame_hash AND (run_id + step) % 29 <> 7")
 def unaudited_images(spark, sf):
     extra = E.unaudited_images(F.col("frame_hash"), _images())
     return X.requests(spark, sf).select(*K, F.explode(extra).alias("image"))

@@ -334,7 +334,7 @@ BOXED = """boxed AS (
   SELECT concat(session_id, '/', frame_id, '/', region_id) AS box_id,
     CASE region_id % 7 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'NAME' WHEN 2 THEN 'ADDRESS' WHEN 3 THEN 'PHONE' WHEN 4 THEN 'SECRET' WHEN 5 THEN 'NAME' ELSE 'OTHER' END AS kind,
     CASE WHEN session_id % 23 = 0 THEN '' ELSE text END AS value,
-    CASE WHEN session_id % 29 = 0 THEN 'NaN'::DOUBLE ELSE x + (session_id % 1300) - 60.5::DOUBLE END AS x,
+    CASE WHEN session_id % 29 = 0 THEN 'NaN'::DOUBLE WHEN session_id % 37 = 1 THEN 1e16::DOUBLE WHEN session_id % 41 = 1 THEN -1e300::DOUBLE ELSE x + (session_id % 1300) - 60.5::DOUBLE END AS x,
     y + (session_id % 700) * 1.25::DOUBLE - 40.25::DOUBLE AS y,
     CASE WHEN session_id % 31 = 0 THEN 0.0::DOUBLE ELSE width + 0.5::DOUBLE END AS width, height * 1.5::DOUBLE AS height FROM cards)"""
 
@@ -346,7 +346,7 @@ def _boxed(spark, sf):
         F.concat_ws("/", *K).alias("box_id"),
         X.pick(F.col("region_id") % 7, {0: "EMAIL", 1: "NAME", 2: "ADDRESS", 3: "PHONE", 4: "SECRET", 5: "NAME"}, "OTHER").alias("kind"),
         F.when(s % 23 == 0, "").otherwise(F.col("text")).alias("value"),
-        F.when(s % 29 == 0, float("nan")).otherwise(F.col("x") + s % 1300 - 60.5).alias("x"),
+        F.when(s % 29 == 0, float("nan")).when(s % 37 == 1, 1e16).when(s % 41 == 1, -1e300).otherwise(F.col("x") + s % 1300 - 60.5).alias("x"),
         (F.col("y") + (s % 700) * 1.25 - 40.25).alias("y"),
         F.when(s % 31 == 0, 0.0).otherwise(F.col("width") + 0.5).alias("width"),
         (F.col("height") * 1.5).alias("height"),

@@ -7,7 +7,7 @@ session that owns a third of a batch is split like in the batch operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.operators.history import history_retention
@@ -96,16 +96,24 @@ def last_batch(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.filter(F.col("batch") == newest).drop("batch")
 
 
+STATUS_RANK = ("prepared", "responded", "failed")  # at equal times the later of these is the latest
+
+
+def _latest() -> Column:
+    rank = F.array_position(F.array(*map(F.lit, STATUS_RANK)), F.col("status"))
+    return F.struct("ts", rank.alias("rank"), "status")
+
+
 def status_writer(path: str):
     """Latest status per request of the batch; earlier batches are merged when read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("request_id").agg(F.max(F.struct("ts", "status")).alias("latest"))
+        latest = batch.groupBy("request_id").agg(F.max(_latest()).alias("latest"))
         latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("request_id STRING, latest STRUCT<ts: TIMESTAMP, status: STRING>, batch BIGINT").parquet(path)
+    rows = spark.read.schema("request_id STRING, latest STRUCT<ts: TIMESTAMP, rank: BIGINT, status: STRING>, batch BIGINT").parquet(path)
     return rows.groupBy("request_id").agg(F.max("latest").alias("l")).select("request_id", F.col("l.status").alias("status"))
