@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values -----------------------------------------------------------
-EMAIL = r"[\p{L}\p{N}_.!#$%&'*+/=?^`{|}~-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+EMAIL_NAME = r"[\p{L}\p{N}_.!#$%&'*+/=?^`{|}~-]"
+EMAIL_PLACE = r"@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
 PHONE = (
     r"(?U)(?<![\p{L}\p{N}_])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\d)"
     r"|(?<![\p{L}\p{N}_])\+\d{10,15}(?!\d)"
@@ -76,6 +77,10 @@ LINE_PIECE = (
 )
 # ---- end of fixed values ----------------------------------------------------
 
+# EMAIL_NAME+ EMAIL_PLACE, tried once for each run of name characters: at its first one, or where the last match ended.
+# The name is a whole run, as no name character is an @, so nothing is gained by starting later or giving some back.
+EMAIL = rf"(?:\G|(?<!{EMAIL_NAME})){EMAIL_NAME}++{EMAIL_PLACE}"
+
 # Cheap necessary conditions: a text without them cannot match the costly pattern.
 LABEL_HINT = r"(?Ui)(?:^|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[\s\x1c-\x1f]*(?:" + LABEL_WORDS + ")"
 DIGITS = r"(?U)\d{3}"

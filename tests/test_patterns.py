@@ -1,5 +1,8 @@
 """Known texts and their expected readings."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +76,22 @@ def test_tokens(spark):
 
 def test_compact_key(spark):
     assert one(spark, "Straße   12\n B", P.compact_key) == "strasse12b"
+
+
+def test_email_matches_as_if_tried_at_every_character(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "B", "é", ".", "-", "@", "@", " ", "com", ".org", "+", ",", "1"]) for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    plain = f"{P.EMAIL_NAME}+{P.EMAIL_PLACE}"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select("t", *(F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", plain), ("b", P.EMAIL))))
+    assert both.filter("a <> b").collect() == []
+    assert both.filter("size(a) > 1").count() > 10
+    cleaned = df.select(*(F.regexp_replace("t", p, "<>").alias(n) for n, p in (("a", plain), ("b", P.EMAIL))))
+    assert cleaned.filter("a <> b").count() == 0
+
+
+def test_email_is_linear_in_a_run_without_blanks(spark):
+    start = time.perf_counter()
+    text = "x" * 1_000_000 + "@ " + "y" * 1_000_000 + "@example.org"
+    assert len(one(spark, text, lambda t: P.matches(t, P.EMAIL))[0]) == 1_000_012
+    assert time.perf_counter() - start < 20
