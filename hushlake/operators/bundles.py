@@ -35,21 +35,27 @@ def action_status_counts(events: DataFrame) -> DataFrame:
 
 
 def missing_evidence(events: DataFrame, frames: DataFrame) -> DataFrame:
-    """References that point at nothing: ``(recording_id, event_id, reference, target)``."""
+    """References that point at nothing in their own recording: ``(recording_id, event_id, reference, target)``.
+
+    ``frames(recording_id, frame_id)``: a frame of another recording with the same id is no evidence.
+    """
     ref = lambda name, col: F.struct(F.lit(name).alias("reference"), F.col(col).alias("target"))
     refs = events.select(REC, "event_id", F.inline(F.array(ref("before", "before_event_id"), ref("after", "after_event_id"))))
     refs = refs.filter(F.col("target").isNotNull())
     known = events.select(REC, F.col("event_id").alias("target"))
     lost_events = refs.join(known, [REC, "target"], "left_anti").withColumn("target", F.col("target").cast("string"))
     shown = events.select(REC, "event_id", F.lit("frame").alias("reference"), F.col("frame_id").alias("target"))
-    lost_frames = shown.join(frames.select(F.col("frame_id").alias("target")), "target", "left_anti")
+    lost_frames = shown.join(frames.select(REC, F.col("frame_id").alias("target")), [REC, "target"], "left_anti")
     return lost_events.unionByName(lost_frames)
 
 
 def frame_hashes(listed: DataFrame, files: DataFrame) -> DataFrame:
-    """Manifest hashes against the files: ``ok``, ``mismatch``, ``missing_file`` or ``unlisted``."""
-    both = listed.select("path", F.col("sha256").alias("_want"), F.lit(True).alias("_listed")).join(
-        files.select("path", F.col("sha256").alias("_have"), F.lit(True).alias("_found")), "path", "full_outer"
+    """Manifest hashes against the files: ``ok``, ``mismatch``, ``missing_file`` or ``unlisted``.
+
+    Both sides are ``(recording_id, path, sha256)``; paths are relative to their recording.
+    """
+    both = listed.select(REC, "path", F.col("sha256").alias("_want"), F.lit(True).alias("_listed")).join(
+        files.select(REC, "path", F.col("sha256").alias("_have"), F.lit(True).alias("_found")), [REC, "path"], "full_outer"
     )
     status = (
         F.when(F.col("_listed").isNull(), "unlisted")
@@ -57,23 +63,27 @@ def frame_hashes(listed: DataFrame, files: DataFrame) -> DataFrame:
         .when(~F.col("_want").eqNullSafe(F.col("_have")), "mismatch")
         .otherwise("ok")
     )
-    return both.select("path", status.alias("status"))
+    return both.select(REC, "path", status.alias("status"))
 
 
 def bind_parameters(uses: DataFrame, bindings: DataFrame) -> DataFrame:
     """Recorded tokens to role variables to fresh tokens.
 
     ``uses(recording_id, token, role_hint)``, ``bindings(recording_id, role, fresh_token)``.
-    A token with several roles is ambiguous, a role without a binding needs input, and
-    a binding that reuses a recorded token is stale; none of them is guessed.
+    A token with several roles is ambiguous, a role without a binding needs input, a role
+    with several is an ambiguous binding, and a binding that reuses a recorded token is
+    stale; none of them is guessed.
     """
     roles = uses.groupBy(REC, "token").agg(F.count_distinct("role_hint").alias("_roles"), F.min("role_hint").alias("role"))
     recorded = uses.select(REC, F.col("token").alias("fresh_token")).distinct().withColumn("_old", F.lit(True))
-    fresh = bindings.join(recorded, [REC, "fresh_token"], "left")
+    fresh = bindings.join(recorded, [REC, "fresh_token"], "left").groupBy(REC, "role").agg(
+        F.count_distinct("fresh_token").alias("_given"), F.min("fresh_token").alias("fresh_token"), F.bool_or("_old").alias("_old")
+    )
     bound = roles.join(fresh, [REC, "role"], "left")
     status = (
         F.when(F.col("_roles") > 1, "ambiguous_role")
         .when(F.col("fresh_token").isNull(), "missing_binding")
+        .when(F.col("_given") > 1, "ambiguous_binding")
         .when(F.col("_old"), "stale_token")
         .otherwise("bound")
     )
@@ -130,3 +140,24 @@ def manifest_reason(m: Column) -> Column:
         .when(~F.forall(m["frames"], inside), "path_outside_bundle")
         .otherwise("ok")
     )
+
+
+def bundle_reasons(manifests: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifests with a ``reason`` that also covers what they list: events, frame files and their hashes.
+
+    ``files(recording_id, path, sha256)`` are the frame files found; events need ``recording_id``.
+    """
+    listed = manifests.select(REC, F.inline("frames")).select(REC, "path", "sha256")
+    found = frame_hashes(listed, files).groupBy(REC).agg(
+        F.bool_or(F.col("status") == "missing_file").alias("_lost"), F.bool_or(F.col("status") == "mismatch").alias("_altered")
+    )
+    timed = events.select(REC).distinct().withColumn("_timed", F.lit(True))
+    joined = manifests.join(found, REC, "left").join(timed, REC, "left")
+    reason = (
+        F.when(F.col("reason") != "ok", F.col("reason"))
+        .when(F.col("_timed").isNull(), "no_events")
+        .when(F.coalesce("_lost", F.lit(False)), "missing_frame")
+        .when(F.coalesce("_altered", F.lit(False)), "altered_frame")
+        .otherwise("ok")
+    )
+    return joined.withColumn("reason", reason).select(*manifests.columns)

@@ -14,7 +14,7 @@ MANIFEST = (
     "frames ARRAY<STRUCT<frame_id: STRING, path: STRING, sha256: STRING>>, outcome STRUCT<status: STRING, check_ids: ARRAY<STRING>>"
 )
 EVENTS = (
-    "event_id STRING, sequence BIGINT, time_ms BIGINT, type STRING, frame_id STRING, app STRING, text STRING, "
+    "recording_id STRING, event_id STRING, sequence BIGINT, time_ms BIGINT, type STRING, frame_id STRING, app STRING, text STRING, "
     "action_id STRING, status STRING, before_event_id STRING, after_event_id STRING, check_id STRING, result STRING, "
     "source STRING, criterion STRING, evidence_ids ARRAY<STRING>, "
     "tokens ARRAY<STRUCT<token: STRING, class: STRING, role_hint: STRING>>"
@@ -28,7 +28,7 @@ def read_manifests(spark: SparkSession, path: str, multiline: bool = False) -> D
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Timeline events of recordings, one JSON object per line."""
+    """Timeline events of recordings, one JSON object per line; each names its recording."""
     return spark.read.schema(EVENTS).json(path)
 
 
