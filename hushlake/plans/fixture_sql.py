@@ -22,9 +22,9 @@ CARDS = r"""cards AS (
     WHEN 10 THEN 'Forgot password?'
     WHEN 11 THEN CASE WHEN c.c_custkey % 2 = 0 THEN '••••••' ELSE concat('pw-', CAST(c.c_custkey AS STRING)) END
     WHEN 12 THEN concat('API key: sk-demo', lpad(CAST(c.c_custkey AS STRING), 10, '0'))
-    WHEN 13 THEN 'Hello, Rosa Vellin'
+    WHEN 13 THEN 'Hello, Mira Talbot'
     WHEN 14 THEN 'Name'
-    WHEN 15 THEN 'Cora Feld'
+    WHEN 15 THEN 'Ines Okafor'
     WHEN 20 THEN c.c_name
     WHEN 21 THEN concat('c', CAST(c.c_custkey AS STRING), ' @example.net')
     ELSE 'Order summary' END AS text,

@@ -74,9 +74,9 @@ def contact_cards(spark: SparkSession, sf: str) -> DataFrame:
         10: F.lit("Forgot password?"),
         11: F.when(key % 2 == 0, "••••••").otherwise(F.concat(F.lit("pw-"), num)),
         12: F.concat(F.lit("API key: sk-demo"), F.lpad(num, 10, "0")),
-        13: F.lit("Hello, Rosa Vellin"),
+        13: F.lit("Hello, Mira Talbot"),
         14: F.lit("Name"),
-        15: F.lit("Cora Feld"),
+        15: F.lit("Ines Okafor"),
         20: name,
         21: F.concat(F.lit("c"), num, F.lit(" @example.net")),
         22: F.lit("Order summary"),

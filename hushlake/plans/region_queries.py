@@ -302,7 +302,7 @@ TRUTH = """truth AS (
   SELECT c_custkey AS session_id, unnest([
     {'kind': 'NAME', 'value': c_name}, {'kind': 'EMAIL', 'value': concat('c', c_custkey, '@example.net')},
     {'kind': 'PHONE', 'value': concat('+1 (', 200 + c_custkey % 700, ') 555-', lpad((c_custkey % 10000)::VARCHAR, 4, '0'))},
-    {'kind': 'SECRET', 'value': concat('pw-', c_custkey)}, {'kind': 'NAME', 'value': 'Cora Feld'}]) AS t FROM customer),
+    {'kind': 'SECRET', 'value': concat('pw-', c_custkey)}, {'kind': 'NAME', 'value': 'Ines Okafor'}]) AS t FROM customer),
 expected AS (SELECT DISTINCT session_id, t.kind AS kind, replace(t.value, ' ', '') AS value FROM truth),
 got AS (SELECT DISTINCT session_id, kind, regexp_replace(value, '\\s+', '', 'g') AS value FROM findings WHERE pick = 1)"""
 
@@ -323,7 +323,7 @@ def detector_quality(spark, sf):
     )
     truth = [
         ("NAME", F.col("c_name")), ("EMAIL", F.concat(F.lit("c"), key, F.lit("@example.net"))), ("PHONE", phone),
-        ("SECRET", F.concat(F.lit("pw-"), key)), ("NAME", F.lit("Cora Feld")),
+        ("SECRET", F.concat(F.lit("pw-"), key)), ("NAME", F.lit("Ines Okafor")),
     ]
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in truth])
     expected = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), F.inline(rows))

@@ -53,8 +53,8 @@ def test_secret_token_wins_and_blocks(spark):
 
 
 def test_full_scrub(spark):
-    vault = vault_of(spark, [("NAME", "Rosa Vellin")])
-    out = full_scrub(texts_of(spark, "Rosa Vellin <rv@sample.net>\nPassword: x"), vault).first()
+    vault = vault_of(spark, [("NAME", "Mira Talbot")])
+    out = full_scrub(texts_of(spark, "Mira Talbot <mt@mail.example>\nPassword: x"), vault).first()
     assert out.scrubbed == "[NAME_1] <[EMAIL_REDACTED]>\nPassword: [SECRET_REDACTED]"
 
 
