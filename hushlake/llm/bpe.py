@@ -13,9 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from hushlake.llm.token_ids import TOKENIZER
+from hushlake.llm.token_ids import TOKENIZER, may_lower
 
-HELD_BYTES = 32 << 20  # of remembered pieces, after which a task forgets them all
+HELD_WORDS, HELD_PIECES = 800_000, 400_000  # remembered by a worker, after which it forgets them all
+#: Words of a lower-case text of printable ASCII, where the pattern of the vocabulary file leaves no question of Unicode.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
+PRINTABLE = re.compile(r"[\x20-\x7e]*")
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -34,50 +37,55 @@ class Codec:
         self._merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (left, right) in enumerate(model["merges"]):
             self._merges[self._ids[left], self._ids[right]] = (rank, self._ids[left + right])
+        self._known: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[bytes, tuple[int, bytes, bytes]] = {}
         self._marks = re.compile("|".join(map(re.escape, self._special)))
         #: Only cuts texts into words: which characters are letters depends on the library's edition of Unicode.
         self._library = Tokenizer.from_file(path)
 
     def _words(self, text: str) -> list[str]:
         """Normalised words, a printable letter for each byte."""
+        if PRINTABLE.fullmatch(text):
+            return PLAIN.findall(text.lower())
         normal = self._library.normalizer.normalize_str(text)
         return [word for word, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _merge(self, word: str) -> list[int]:
         """Ids of one word: the pair of the lowest rank is merged first, of equal ranks the leftmost."""
+        merges = self._merges.get
         letters = [*word[:-1], word[-1] + self._end]
         symbol = [self._ids[x] for x in letters if x in self._ids]
-        after, before = [*range(1, len(symbol)), -1], list(range(-1, len(symbol) - 1))
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right >= 0 and (found := self._merges.get((symbol[left], symbol[right]))):
-                heapq.heappush(queue, (found[0], left, symbol[left], symbol[right], found[1]))
-
-        for n in range(len(symbol) - 1):
-            offer(n)
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(*found, left, *pair) for left, pair in enumerate(zip(symbol, symbol[1:], strict=False)) if (found := merges(pair))]
+        heapq.heapify(queue)
         while queue:
-            _, left, first, second, merged = heapq.heappop(queue)
+            _, merged, left, first, second = heapq.heappop(queue)
             right = after[left]
-            if symbol[left] != first or right < 0 or symbol[right] != second:
+            if symbol[left] != first or right == n or symbol[right] != second:
                 continue  # stale: one of the two has been merged since
             symbol[left], symbol[right] = merged, -1
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
+            right = after[left] = after[right]
+            if right < n:
+                before[right] = left
+                if found := merges((merged, symbol[right])):
+                    heapq.heappush(queue, (*found, left, merged, symbol[right]))
+            left = before[left]
+            if left >= 0 and (found := merges((symbol[left], merged))):
+                heapq.heappush(queue, (*found, left, symbol[left], merged))
         return [s for s in symbol if s >= 0]
 
     def encode(self, piece: str) -> list[int]:
         """Ids of a text; strings of special tokens in it are those tokens."""
         ids, at = [], 0
-        for mark in [*self._marks.finditer(piece), None]:
+        for mark in [*(self._marks.finditer(piece) if "<|" in piece else ()), None]:
             plain = piece[at : mark.start() if mark else len(piece)]
             for word in self._words(plain):
-                ids += self._merge(word)
+                if word not in self._known:
+                    if len(self._known) >= HELD_WORDS:
+                        self._known = {}
+                    self._known[word] = tuple(self._merge(word))
+                ids += self._known[word]
             if mark:
                 ids.append(self._special[mark.group()])
                 at = mark.end()
@@ -85,7 +93,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings of the ids; the file names no decoder, so blanks stand between them."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join([self.tokens[i] for i in ids])
 
 
 @lru_cache(2)
@@ -99,7 +107,7 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
         for cut in range(0, whole.num_rows, size):
             batch = whole.slice(cut, size)
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-            yield batch.column("doc_id").to_pylist(), [text.split() for text in texts]
+            yield batch.column("doc_id").to_pylist(), [(text.lower() if may_lower(text) else text).split() for text in texts]
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -129,32 +137,24 @@ def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row: what :func:`encode_decode` returns, as digests.
 
     Digests are of the decimal ids with a blank between and of the decoded text. A task remembers both strings of each
-    distinct piece it has met, within a bound of bytes, so a word is merged once and not once a text.
+    distinct piece it has met, within a bound, so a word is merged once and not once a text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        shown: dict[bytes, bytes] = {}
-        read: dict[bytes, bytes] = {}
-        count: dict[bytes, int] = {}
-        held = 0
         for doc_ids, texts in _rows(batches, 256):
-            if held > HELD_BYTES:
-                shown, read, count, held = {}, {}, {}, 0
-            for piece in {piece for pieces in texts for piece in pieces}.difference(count):
+            if len(own.pieces) > HELD_PIECES:
+                own.pieces = {}
+            for piece in {piece for pieces in texts for piece in pieces}.difference(own.pieces):
                 ids = own.encode(piece.decode("utf-8", "replace"))
-                shown[piece] = " ".join(map(str, ids)).encode()
-                read[piece] = own.decode(ids).encode()
-                count[piece] = len(ids)
-                held += 3 * len(piece) + len(shown[piece]) + len(read[piece])
+                own.pieces[piece] = (len(ids), " ".join(map(str, ids)).encode(), own.decode(ids).encode())
             totals, of_ids, of_text = [], [], []
             for pieces in texts:
-                numbers = list(map(count.__getitem__, pieces))
-                if 0 in numbers:  # a piece of blanks beyond ASCII has no ids
-                    pieces = [piece for piece, n in zip(pieces, numbers, strict=True) if n]
-                totals.append(sum(numbers))
-                of_ids.append(hashlib.sha256(b" ".join(map(shown.__getitem__, pieces))).hexdigest())
-                of_text.append(hashlib.sha256(b" ".join(map(read.__getitem__, pieces))).hexdigest())
+                # a piece of blanks beyond ASCII has no ids
+                found = [p for p in map(own.pieces.__getitem__, pieces) if p[0]]
+                totals.append(sum(p[0] for p in found))
+                of_ids.append(hashlib.sha256(b" ".join([p[1] for p in found])).hexdigest())
+                of_text.append(hashlib.sha256(b" ".join([p[2] for p in found])).hexdigest())
             fields = [pa.array(doc_ids, pa.int64()), pa.array(totals, pa.int64()), pa.array(of_ids), pa.array(of_text)]
             yield pa.RecordBatch.from_arrays(fields, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
