@@ -23,33 +23,27 @@ def with_previous(requests: DataFrame, columns: list[str], width: int = ROWS_PER
     return ordered(requests, ["run_id"], ["step"], chunk, lag={"previous": F.struct(*columns)})
 
 
-def chain_link(requests: DataFrame) -> DataFrame:
-    """Each follow-up must name the receipt just before it; a root must name none."""
-    linked = with_previous(requests, ["response_id"])
+def chain_reason() -> Column:
+    """Whether a record continues the receipt of ``previous``; an empty name is none."""
     root = F.col("previous").isNull()
-    named = F.nullif(F.col("previous_response_id"), F.lit(""))  # an empty name is none
+    named = F.nullif(F.col("previous_response_id"), F.lit(""))
     before = F.nullif(F.col("previous.response_id"), F.lit(""))
-    reason = (
+    return (
         F.when(root & named.isNotNull(), "unaudited_history")
         .when(root & F.col("result_call_id").isNotNull(), "root_has_results")
         .when(~root & (named.isNull() | ~named.eqNullSafe(before)), "broken_link")
         .otherwise("ok")
     )
-    return linked.withColumn("reason", reason)
 
 
-def tool_result_match(requests: DataFrame) -> DataFrame:
-    """Results of a follow-up must be exactly the calls of the record before it.
-
-    ``calls`` and ``results`` are arrays of ``(call_id, type)``; a NULL array or entry of a follow-up is never ``ok``.
-    """
-    linked = with_previous(requests, ["calls"])
+def tool_reason() -> Column:
+    """Whether ``results`` are exactly the calls of ``previous``; a NULL array or entry of a follow-up is never ``ok``."""
     expected = F.transform(
         F.col("previous.calls"), lambda c: F.struct(c["call_id"].alias("call_id"), F.concat(c["type"], F.lit("_output")).alias("type"))
     )
     actual = F.col("results")
-    nameless = lambda arr: F.exists(arr, lambda c: F.coalesce(c["call_id"], F.lit("")) == "")
-    reason = (
+    nameless = lambda arr: F.exists(arr, lambda c: F.coalesce(c["call_id"], F.lit("")) == "")
+    return (
         F.when(F.col("previous").isNull(), F.when(F.size(actual) > 0, "root_has_results").otherwise("ok"))
         .when(expected.isNull() | (F.size(expected) == 0), "no_preceding_calls")
         .when(actual.isNull(), "results_differ")
@@ -59,7 +53,19 @@ def tool_result_match(requests: DataFrame) -> DataFrame:
         .when(~F.sort_array(expected).eqNullSafe(F.sort_array(actual)), "results_differ")
         .otherwise("ok")
     )
-    return linked.withColumn("reason", reason)
+
+
+def chain_link(requests: DataFrame) -> DataFrame:
+    """Each follow-up must name the receipt just before it; a root must name none."""
+    return with_previous(requests, ["response_id"]).withColumn("reason", chain_reason())
+
+
+def tool_result_match(requests: DataFrame) -> DataFrame:
+    """Results of a follow-up must be exactly the calls of the record before it.
+
+    ``calls`` and ``results`` are arrays of ``(call_id, type)``.
+    """
+    return with_previous(requests, ["calls"]).withColumn("reason", tool_reason())
 
 
 def frame_changed(requests: DataFrame) -> DataFrame:
@@ -116,28 +122,54 @@ def distinct_frames(requests: DataFrame) -> DataFrame:
     return requests.filter(F.col("status").isin("sent", "responded")).select("run_id", "frame_hash").distinct()
 
 
+SENT = ("sent", "responded")
+
+
+def record_codes() -> Column:
+    """What one sent record lacks, as an array of codes.
+
+    ``images`` are the digests of the payload's images, ``image_hash`` that of the recorded image as decoded,
+    ``frame_hash`` the recorded digest.
+    """
+    blank = lambda name: F.coalesce(F.col(name), F.lit("")) == ""
+    shown, sent = F.col("images"), F.col("image_hash")
+    none = shown.isNull() | (F.size(shown) == 0)
+    codes = {
+        "missing_response": F.col("status") != "responded",
+        "missing_request_id": blank("request_id"),
+        "missing_response_id": blank("response_id"),
+        "missing_model": blank("response_model"),
+        "missing_usage": F.col("input_tokens").isNull(),
+        "missing_payload": F.col("payload").isNull(),
+        "missing_payload_image": none,
+        "missing_image": sent.isNull(),
+        "image_mismatch": ~none & sent.isNotNull() & ~F.coalesce(F.array_contains(shown, sent), F.lit(False)),
+        "frame_hash_mismatch": sent.isNotNull() & ~sent.eqNullSafe(F.col("frame_hash")),
+    }
+    return F.array_compact(F.array(*[F.when(F.col("status").isin(*SENT) & wrong, code) for code, wrong in codes.items()]))
+
+
 def evidence_summary(requests: DataFrame, minimum_frames: int = MINIMUM_FRAMES) -> DataFrame:
-    """Per run: what was answered, how many different frames were sent, and what is missing."""
-    sent = F.col("status").isin("sent", "responded")
-    responded = F.col("status") == "responded"
-    matched = responded & (F.col("payload_hash") == F.col("frame_hash"))
-    totals = requests.groupBy("run_id").agg(
+    """Per run: what was answered, how many different frames were demonstrably sent, and what is missing.
+
+    Needs the columns of :func:`record_codes`.
+    """
+    sent = F.col("status").isin(*SENT)
+    proven = sent & F.array_contains("images", F.col("image_hash")) & (F.col("image_hash") == F.col("frame_hash"))
+    named = F.when(sent, F.nullif(F.col("request_id"), F.lit("")))
+    totals = requests.withColumn("_codes", record_codes()).groupBy("run_id").agg(
         F.count_if(sent).alias("responded"),
-        F.count_distinct(F.when(matched, F.col("frame_hash"))).alias("distinct_frames"),
-        F.count_if(sent & ~responded).alias("unanswered"),
-        F.count_if(responded & F.col("input_tokens").isNull()).alias("missing_usage"),
-        F.count_if(responded & ~matched).alias("image_mismatch"),
-        (F.count_if(responded) - F.count_distinct(F.when(responded, F.col("request_id")))).alias("duplicate_requests"),
+        F.count_distinct(F.when(proven, F.col("image_hash"))).alias("distinct_frames"),
+        F.array_distinct(F.flatten(F.collect_set("_codes"))).alias("_codes"),  # as many sets as there are kinds of faults
+        (F.count(named) - F.count_distinct(named)).alias("duplicate_requests"),
     )
-    issues = [
-        (F.col("responded") < minimum_frames, "insufficient_sent"),
-        (F.col("distinct_frames") < minimum_frames, "insufficient_frames"),
-        (F.col("unanswered") > 0, "missing_response"),
-        (F.col("missing_usage") > 0, "missing_usage"),
-        (F.col("image_mismatch") > 0, "image_mismatch"),
-        (F.col("duplicate_requests") > 0, "duplicate_request"),
-    ]
-    return totals.withColumn("issues", F.array_join(F.array_compact(F.array(*[F.when(c, n) for c, n in issues])), ","))
+    of_run = F.array(
+        F.when(F.col("responded") < minimum_frames, "insufficient_sent"),
+        F.when(F.col("distinct_frames") < minimum_frames, "insufficient_frames"),
+        F.when(F.col("duplicate_requests") > 0, "duplicate_request"),
+    )
+    issues = F.array_join(F.array_sort(F.concat("_codes", F.array_compact(of_run))), ",")
+    return totals.withColumn("issues", issues).drop("_codes")
 
 
 def usage_totals(requests: DataFrame) -> DataFrame:
@@ -160,19 +192,30 @@ def turn_limit(requests: DataFrame, limit: int = TURN_LIMIT) -> DataFrame:
     return first.join(runs, "run_id").select("run_id", "step", "turn", "limit_reached")
 
 
-def audit_verdict(requests: DataFrame) -> DataFrame:
-    """One row per run with every reason code raised by the chain and evidence checks."""
-    links = chain_link(requests).filter(F.col("reason") != "ok").groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("chain_failures"), F.array_sort(F.collect_set("reason")).alias("_codes")
-    )
-    summary = evidence_summary(requests).join(links, "run_id", "left")
-    codes = F.array_join(F.coalesce("_codes", F.array().cast("array<string>")), ",")
-    every = F.concat_ws(",", F.when(F.col("issues") != "", F.col("issues")), F.when(codes != "", codes))
-    return summary.select(
-        "run_id",
-        "responded",
-        "distinct_frames",
-        F.coalesce("chain_failures", F.lit(0)).alias("chain_failures"),
-        every.alias("reasons"),
-        (every == "").alias("passed"),
-    )
+def audit_verdict(requests: DataFrame, strings: DataFrame, private: DataFrame, model: str, source: str = "web") -> DataFrame:
+    """One row per run with every reason code of its records, links, tool results, images, transport and strings.
+
+    ``requests`` needs the columns of :func:`record_codes`, ``previous_response_id, result_call_id, calls, results,
+    transmitted, http_status, source, model``; ``strings`` and ``private`` are those of :func:`leak_scan`.
+    """
+    linked = with_previous(requests, ["response_id", "calls"])
+    good = lambda column: F.coalesce(column, F.lit(False))
+    extra = F.size(F.array_except("images", F.array("image_hash"))) > 0
+    codes = [
+        F.nullif(chain_reason(), F.lit("ok")),
+        F.nullif(tool_reason(), F.lit("ok")),
+        F.when(~good(F.col("status") == "responded"), "unsuccessful_record"),
+        F.when(~good(F.col("source") == source), "other_source"),
+        F.when(~good(F.col("transmitted")), "not_transmitted"),
+        F.when(~good(F.col("http_status").between(200, 299)), "bad_http_status"),
+        F.when(~good(F.col("model") == model), "unexpected_model"),
+        F.when(good(extra), "additional_image"),
+    ]
+    found = linked.select("run_id", F.explode(F.array_compact(F.array(*codes))).alias("code"))
+    twice = duplicate_ids(requests).filter("field = 'response_id' AND id <> ''").select("run_id", F.lit("duplicate_response").alias("code"))
+    leaks = leak_scan(strings, private).select("run_id", F.lit("private_value").alias("code"))
+    every = found.unionByName(twice).unionByName(leaks).groupBy("run_id").agg(F.collect_set("code").alias("_codes"))
+    summary = evidence_summary(requests).join(every, "run_id", "left")
+    own = F.filter(F.split("issues", ","), lambda c: c != "")
+    reasons = F.array_join(F.array_sort(F.array_union(own, F.coalesce("_codes", F.array().cast("array<string>")))), ",")
+    return summary.select("run_id", "responded", "distinct_frames", reasons.alias("reasons"), (reasons == "").alias("passed"))

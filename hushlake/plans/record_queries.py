@@ -226,10 +226,12 @@ def json_strings(spark, sf):
     REQ + "SELECT run_id, step, concat('c', run_id, '@example.net') AS value FROM requests WHERE contains(payload_text, concat('c', run_id, '@example.net'))",
 )
 def leak_scan(spark, sf):
-    private = X.requests(spark, sf).select(
-        "run_id", F.concat(F.lit("c"), F.col("run_id").cast("string"), F.lit("@example.net")).alias("value")
-    )
-    return E.leak_scan(_strings(spark, sf), private.distinct()).select(*K, "value")
+    return E.leak_scan(_strings(spark, sf), _private(spark, sf)).select(*K, "value")
+
+
+def _private(spark, sf):
+    value = F.concat(F.lit("c"), F.col("run_id").cast("string"), F.lit("@example.net")).alias("value")
+    return X.requests(spark, sf).select("run_id", value).distinct()
 
 
 @query(
@@ -252,6 +254,10 @@ def chain_link(spark, sf):
 )
 def tool_result_match(spark, sf):
     """Some records hold two calls, some repeat one, some results lack an id, are incomplete or missing."""
+    return E.tool_result_match(_with_calls(X.requests(spark, sf))).select(*K, "reason")
+
+
+def _with_calls(requests):
     step, mixed = F.col("step"), F.col("run_id") + F.col("step")
     call = F.struct("call_id", F.col("call_type").alias("type"))
     second = F.struct(F.concat("call_id", F.lit("-b")).alias("call_id"), F.col("call_type").alias("type"))
@@ -266,9 +272,7 @@ def tool_result_match(spark, sf):
         .when(((step - 1) % 4 == 1) & (mixed % 5 != 0), F.array(other, result))
         .otherwise(F.array(result))
     )
-    calls, results = F.when(mixed % 41 != 3, calls), F.when(mixed % 43 != 2, results)
-    df = X.requests(spark, sf).withColumn("calls", calls).withColumn("results", results)
-    return E.tool_result_match(df).select(*K, "reason")
+    return requests.withColumn("calls", F.when(mixed % 41 != 3, calls)).withColumn("results", F.when(mixed % 43 != 2, results))
 
 
 @query(
@@ -317,31 +321,78 @@ def distinct_frames(spark, sf):
     return E.distinct_frames(X.requests(spark, sf))
 
 
-SUMMARY = """summary AS (SELECT run_id, count(*) FILTER (status IN ('sent', 'responded')) AS responded,
-    count(DISTINCT frame_hash) FILTER (status = 'responded' AND payload_hash = frame_hash) AS distinct_frames, 0 AS unanswered,
-    count(*) FILTER (status = 'responded' AND input_tokens IS NULL) AS missing_usage,
-    count(*) FILTER (status = 'responded' AND payload_hash <> frame_hash) AS image_mismatch,
-    count(*) FILTER (status = 'responded') - count(DISTINCT request_id) FILTER (status = 'responded') AS duplicate_requests FROM requests GROUP BY run_id),
-  issues AS (SELECT *, concat_ws(',', CASE WHEN responded < 2 THEN 'insufficient_sent' END, CASE WHEN distinct_frames < 2 THEN 'insufficient_frames' END,
-    CASE WHEN missing_usage > 0 THEN 'missing_usage' END, CASE WHEN image_mismatch > 0 THEN 'image_mismatch' END,
-    CASE WHEN duplicate_requests > 0 THEN 'duplicate_request' END) AS issues FROM summary)"""
+TOOL = """CASE WHEN pc IS NULL THEN 'ok' WHEN (run_id + ps) % 41 = 3 THEN 'no_preceding_calls' WHEN (run_id + step) % 43 = 2 THEN 'results_differ'
+      WHEN (run_id + step) % 37 = 5 THEN 'result_identity_missing' WHEN ps % 6 = 5 THEN 'duplicate_calls'
+      WHEN result_call_id = pc AND (ps % 4 = 1) = ((run_id + step) % 5 <> 0 AND ps % 4 = 1) THEN 'ok' ELSE 'results_differ' END"""
+AUDITED = """m AS (SELECT *, run_id + step AS mixed FROM requests),
+  audited AS (SELECT run_id, step, mixed, status, frame_hash, input_tokens, http_status, previous_response_id, result_call_id, call_id,
+    CASE WHEN mixed % 53 <> 7 THEN request_id END AS request_id,
+    CASE WHEN mixed % 59 = 8 THEN '' WHEN mixed % 71 = 13 AND step > 0 THEN concat('resp-', run_id, '-', step - 1) ELSE response_id END AS response_id,
+    CASE WHEN mixed % 47 <> 5 THEN 'model-a' END AS response_model, CASE WHEN mixed % 61 <> 9 THEN payload_text END AS payload,
+    CASE WHEN mixed % 29 = 7 THEN NULL WHEN step % 5 = 4 THEN [frame_hash, payload_hash] ELSE [payload_hash] END AS images,
+    CASE WHEN mixed % 67 = 11 THEN NULL WHEN mixed % 73 = 17 THEN payload_hash || 'x' ELSE frame_hash END AS image_hash,
+    status = 'responded' AND mixed % 79 <> 3 AS transmitted, CASE WHEN mixed % 83 = 5 THEN 'file' ELSE 'web' END AS source,
+    CASE WHEN mixed % 89 = 6 THEN 'model-b' ELSE 'model-a' END AS model FROM m)"""
+SUMMARY = """sent AS (SELECT *, images IS NULL AS bare, coalesce(list_contains(images, image_hash), false) AS shown FROM audited WHERE status IN ('sent', 'responded')),
+  flaws AS (
+    SELECT run_id, 'missing_request_id' AS code FROM sent WHERE request_id IS NULL UNION SELECT run_id, 'missing_response_id' FROM sent WHERE response_id = ''
+    UNION SELECT run_id, 'missing_model' FROM sent WHERE response_model IS NULL UNION SELECT run_id, 'missing_usage' FROM sent WHERE input_tokens IS NULL
+    UNION SELECT run_id, 'missing_payload' FROM sent WHERE payload IS NULL UNION SELECT run_id, 'missing_payload_image' FROM sent WHERE bare
+    UNION SELECT run_id, 'missing_image' FROM sent WHERE image_hash IS NULL UNION SELECT run_id, 'image_mismatch' FROM sent WHERE NOT bare AND image_hash IS NOT NULL AND NOT shown
+    UNION SELECT run_id, 'frame_hash_mismatch' FROM sent WHERE image_hash <> frame_hash
+    UNION SELECT run_id, 'missing_response' FROM sent WHERE status <> 'responded'),
+  totals AS (SELECT r.run_id, count(s.step) AS responded, count(DISTINCT s.image_hash) FILTER (s.shown AND s.image_hash = s.frame_hash) AS distinct_frames,
+    count(s.request_id) - count(DISTINCT s.request_id) AS duplicate_requests FROM (SELECT DISTINCT run_id FROM requests) r LEFT JOIN sent s ON s.run_id = r.run_id GROUP BY 1),
+  issued AS (SELECT * FROM flaws UNION SELECT run_id, 'insufficient_sent' FROM totals WHERE responded < 2 UNION SELECT run_id, 'insufficient_frames' FROM totals WHERE distinct_frames < 2
+    UNION SELECT run_id, 'duplicate_request' FROM totals WHERE duplicate_requests > 0)"""
+
+
+def _audited(spark, sf):
+    """Requests with one fault for each rule of the audit, in different records."""
+    mixed, step = F.col("run_id") + F.col("step"), F.col("step")
+    again = F.concat(F.lit("resp-"), X.text(F.col("run_id")), F.lit("-"), X.text(step - 1))
+    r = _with_calls(X.requests(spark, sf))
+    return r.select(
+        *K, "status", "frame_hash", "input_tokens", "http_status", "previous_response_id", "result_call_id", "calls", "results",
+        F.when(mixed % 53 != 7, F.col("request_id")).alias("request_id"),
+        F.when(mixed % 59 == 8, "").when((mixed % 71 == 13) & (step > 0), again).otherwise(F.col("response_id")).alias("response_id"),
+        F.when(mixed % 47 != 5, "model-a").alias("response_model"),
+        F.when(mixed % 61 != 9, F.col("payload_text")).alias("payload"),
+        _images().alias("images"),
+        F.when(mixed % 73 == 17, F.concat("payload_hash", F.lit("x"))).otherwise(F.col("frame_hash")).alias("image_hash"),
+        ((F.col("status") == "responded") & (mixed % 79 != 3)).alias("transmitted"),
+        F.when(mixed % 83 == 5, "file").otherwise("web").alias("source"),
+        F.when(mixed % 89 == 6, "model-b").otherwise("model-a").alias("model"),
+    ).withColumn("image_hash", F.when(mixed % 67 != 11, F.col("image_hash")))
 
 
-@query("evidence_summary", S.with_ctes(S.REQUESTS, SUMMARY) + "SELECT * FROM issues")
+@query(
+    "evidence_summary",
+    S.with_ctes(S.REQUESTS, AUDITED, SUMMARY)
+    + """SELECT t.*, coalesce(issues, '') AS issues FROM totals t LEFT JOIN (SELECT run_id, string_agg(code, ',' ORDER BY code) AS issues FROM issued GROUP BY 1) i USING (run_id)""",
+)
 def evidence_summary(spark, sf):
-    return E.evidence_summary(X.requests(spark, sf))
+    return E.evidence_summary(_audited(spark, sf))
 
 
 @query(
     "audit_verdict",
-    S.with_ctes(S.REQUESTS, SUMMARY)
-    + """, l AS (SELECT *, lag(response_id) OVER (PARTITION BY run_id ORDER BY step) AS prev FROM requests),
-    b AS (SELECT run_id, count(*) FILTER (prev IS NOT NULL AND previous_response_id IS DISTINCT FROM prev) AS chain_failures FROM l GROUP BY 1)
-    SELECT run_id, responded, distinct_frames, chain_failures, concat_ws(',', nullif(issues, ''), CASE WHEN chain_failures > 0 THEN 'broken_link' END) AS reasons,
-      issues = '' AND chain_failures = 0 AS passed FROM issues JOIN b USING (run_id)""",
+    S.with_ctes(S.REQUESTS, AUDITED, SUMMARY)
+    + f""", l AS (SELECT *, lag(step) OVER w AS ps, lag(call_id) OVER w AS pc, nullif(lag(response_id) OVER w, '') AS prev FROM audited WINDOW w AS (PARTITION BY run_id ORDER BY step)),
+    faults AS (SELECT * FROM issued UNION
+      SELECT run_id, CASE WHEN ps IS NULL AND previous_response_id IS NOT NULL THEN 'unaudited_history' WHEN ps IS NULL AND result_call_id IS NOT NULL THEN 'root_has_results'
+        WHEN ps IS NOT NULL AND (previous_response_id IS NULL OR previous_response_id IS DISTINCT FROM prev) THEN 'broken_link' END FROM l
+      UNION SELECT run_id, {TOOL} FROM l UNION SELECT run_id, 'unsuccessful_record' FROM l WHERE status <> 'responded' UNION SELECT run_id, 'other_source' FROM l WHERE source <> 'web'
+      UNION SELECT run_id, 'not_transmitted' FROM l WHERE NOT transmitted UNION SELECT run_id, 'bad_http_status' FROM l WHERE http_status IS NULL OR http_status NOT BETWEEN 200 AND 299
+      UNION SELECT run_id, 'unexpected_model' FROM l WHERE model <> 'model-a'
+      UNION SELECT run_id, 'additional_image' FROM l WHERE len(list_filter(images, lambda i: i IS DISTINCT FROM image_hash)) > 0
+      UNION SELECT run_id, 'duplicate_response' FROM l WHERE response_id <> '' GROUP BY run_id, response_id HAVING count(*) > 1
+      UNION SELECT run_id, 'private_value' FROM requests WHERE contains(payload_text, concat('c', run_id, '@example.net'))),
+    said AS (SELECT run_id, string_agg(code, ',' ORDER BY code) AS reasons FROM faults WHERE code IS NOT NULL AND code <> 'ok' GROUP BY 1)
+    SELECT run_id, responded, distinct_frames, coalesce(reasons, '') AS reasons, reasons IS NULL AS passed FROM totals LEFT JOIN said USING (run_id)""",
 )
 def audit_verdict(spark, sf):
-    return E.audit_verdict(X.requests(spark, sf))
+    return E.audit_verdict(_audited(spark, sf), _strings(spark, sf), _private(spark, sf), "model-a")
 
 
 @query(

@@ -8,18 +8,20 @@ from hushlake.operators import evidence as E
 
 SCHEMA = (
     "run_id long, step long, request_id string, status string, response_id string, previous_response_id string, result_call_id string, "
-    "input_tokens long, frame_hash string, payload_hash string, calls array<struct<call_id:string,type:string>>, "
+    "input_tokens long, frame_hash string, image_hash string, images array<string>, response_model string, payload string, "
+    "transmitted boolean, http_status int, source string, model string, calls array<struct<call_id:string,type:string>>, "
     "results array<struct<call_id:string,type:string>>"
 )
-NAMES = [c.strip().split()[0] for c in SCHEMA.split(", ") if " " in c.strip()]
 
 
 def run(**changes):
+    """Four linked records without fault; ``changes`` go into the third."""
     rows = []
     for n in range(4):
         row = dict(
             run_id=1, step=n, request_id=f"q{n}", status="responded", response_id=f"r{n}", previous_response_id=f"r{n-1}" if n else None,
-            result_call_id=f"c{n-1}" if n else None, input_tokens=5, frame_hash=f"h{n}", payload_hash=f"h{n}",
+            result_call_id=f"c{n-1}" if n else None, input_tokens=5, frame_hash=f"h{n}", image_hash=f"h{n}", images=[f"h{n}"],
+            response_model="m-1", payload="{}", transmitted=True, http_status=201, source="web", model="m",
             calls=[(f"c{n}", "computer_call")], results=[(f"c{n-1}", "computer_call_output")] if n else [],
         )
         if n == 2:
@@ -32,22 +34,43 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
 
 
+def verdict(spark, rows, text="clean"):
+    strings = spark.createDataFrame([(1, 0, 0, text)], "run_id long, step long, pos int, text string")
+    private = spark.createDataFrame([(1, "hidden value")], "run_id long, value string")
+    return E.audit_verdict(frame(spark, rows), strings, private, "m").first()
+
+
 @pytest.mark.parametrize(
     "change, issue",
     [
-        ({}, ""), (dict(input_tokens=None), "missing_usage"), (dict(payload_hash="other"), "image_mismatch"),
-        (dict(request_id="q1"), "duplicate_request"), (dict(status="sent"), "missing_response"), (dict(previous_response_id="r0"), "broken_link"),
-        (dict(previous_response_id=None), "broken_link"),
+        ({}, ""), (dict(input_tokens=None), "missing_usage"), (dict(request_id=None), "missing_request_id"), (dict(response_model=""), "missing_model"),
+        (dict(payload=None), "missing_payload"), (dict(images=[]), "missing_payload_image"), (dict(images=None), "missing_payload_image"),
+        (dict(images=["other"]), "additional_image,image_mismatch"), (dict(images=["h2", "h9"]), "additional_image"), (dict(frame_hash="h9"), "frame_hash_mismatch"),
+        (dict(image_hash=None), "additional_image,missing_image"), (dict(request_id="q1"), "duplicate_request"), (dict(status="sent"), "missing_response,unsuccessful_record"),
+        (dict(status="failed"), "unsuccessful_record"), (dict(previous_response_id="r0"), "broken_link"), (dict(previous_response_id=None), "broken_link"), (dict(previous_response_id=""), "broken_link"),
+        (dict(results=None), "results_differ"), (dict(results=[]), "results_differ"), (dict(calls=None), "no_preceding_calls"), (dict(transmitted=None), "not_transmitted"),
+        (dict(http_status=None), "bad_http_status"), (dict(http_status=302), "bad_http_status"), (dict(source=None), "other_source"), (dict(model="n"), "unexpected_model"),
+        (dict(response_id=""), "broken_link,missing_response_id"), (dict(response_id="r0"), "broken_link,duplicate_response"),
     ],
 )
 def test_verdict(spark, change, issue):
-    got = E.audit_verdict(frame(spark, run(**change))).first()
+    got = verdict(spark, run(**change))
     assert (got.reasons, got.passed) == (issue, issue == "")
 
 
-def test_fresh_frames_are_required(spark):
-    rows = [r | dict(frame_hash="same", payload_hash="same") for r in run()]
-    assert E.audit_verdict(frame(spark, rows)).first().reasons == "insufficient_frames"
+def test_fresh_frames_and_clean_strings_are_required(spark):
+    rows = [r | dict(frame_hash="same", image_hash="same", images=["same"]) for r in run()]
+    assert verdict(spark, rows).reasons == "insufficient_frames"
+    assert verdict(spark, run()[:1]).reasons == "insufficient_frames,insufficient_sent"
+    assert verdict(spark, run(), "has a hidden value in it").reasons == "private_value"
+
+
+@pytest.mark.parametrize("size", [10, 5_000_000])
+def test_image_strings_of_any_size_are_blanked(spark, size):
+    body = ("A\\/b\\\\" * (size // 6)) + "=="
+    text = '{"image_url": "data:image/png;base64,' + body + '", "image_base64":"' + body + '", "note":"x\\"y"}'
+    got = spark.createDataFrame([(text,)], "t string").select(R.redact_images(F.col("t"))).first()[0]
+    assert got == f'{{"image_url": "{R.IMAGE_MARKER}", "image_base64":"{R.IMAGE_MARKER}", "note":"x\\"y"}}'
 
 
 @pytest.mark.parametrize(
