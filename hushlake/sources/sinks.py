@@ -17,10 +17,13 @@ PROTECTED = (
 )
 
 
-def protect_frames(findings: DataFrame, frame_width: int, frame_height: int, frames_per_chunk: int = 10_000) -> DataFrame:
+def protect_frames(
+    findings: DataFrame, frames: DataFrame, frame_width: int, frame_height: int, frames_per_chunk: int = 10_000
+) -> DataFrame:
     """Masks and manifest of every frame; tokens are numbered per session in first-seen order.
 
-    A frame with one invalid finding gets ``status = 'error'`` and no output.
+    ``frames(session_id, frame_id)`` are all that were looked at: one without findings is ``ok`` with an empty manifest,
+    so a clean frame cannot be taken for a lost one. A frame with one invalid finding gets ``status = 'error'`` and no output.
     """
     # Read twice below: the classifier behind it runs once.
     findings = materialize(findings, "findings")
@@ -51,6 +54,8 @@ def protect_frames(findings: DataFrame, frame_width: int, frame_height: int, fra
     manifest = F.array_distinct(
         F.transform("_m", lambda m: F.struct(m["token"].alias("token"), m["kind"].alias("kind"), P.kind_title(m["kind"]).alias("label")))
     )
+    seen = frames.select("session_id", "frame_id").distinct().join(per_frame, ["session_id", "frame_id"], "left")
+    per_frame = seen.withColumn("_ok", F.coalesce("_ok", F.lit(True))).withColumn("_m", F.coalesce("_m", F.array()))
     return per_frame.select(
         "frame_id",
         F.when(F.col("_ok"), "ok").otherwise("error").alias("status"),
