@@ -83,7 +83,8 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     ``masked_right`` is the first masked one.
     """
     extent = F.struct(*[f("y").cast("double").alias(n) for f, n in ((F.min, "top"), (F.max, "bottom"))], F.max("height").cast("double").alias("tall"))
-    page = regions.agg(extent.alias("e")).scalar()
+    # of each frame: one huge region does not make the labels of other frames look further
+    pages = regions.groupBy(*KEY).agg(extent.alias("_page"))
     a, n = F.col("s"), F.col("n")
     gap = F.greatest(F.lit(MIN_GAP), a["height"] * GAP_RATIO)
     reach = a["y"] + a["height"] + limit * gap + (limit - 1) * F.col("_page.tall")
@@ -91,7 +92,7 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     band = lambda c: F.floor(c / F.lit(BAND)).cast("long")
     secret = F.coalesce(F.col("label_kind") == "SECRET", F.lit(False)) if sideways else F.lit(False)
     slim = F.struct(*[F.col("start")[c].alias(c) for c in ("y", "x", "width", "height", "region_id")], secret.alias("secret"))
-    # Bands above the first or below the last region of the table hold nothing.
+    # Bands above the first or below the last region of the frame hold nothing.
     first = band(F.greatest(a["y"] - above, F.col("_page.top")))
     last = F.greatest(first, band(F.least(reach, F.col("_page.bottom"))))
     # One row without a band carries the whole start row; the rows that look around are slim.
@@ -101,7 +102,7 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     )
     left = (
         starts.select(*KEY, "region_id", slim.alias("s"), F.struct(*[c for c in starts.columns if c not in KEY]).alias("a"))
-        .withColumn("_page", page)
+        .join(pages, KEY)
         .withColumn("_band", F.explode(bands))
         .withColumn("a", F.when(F.col("_band").isNull(), F.col("a")))
         .drop("_page")

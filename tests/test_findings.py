@@ -173,3 +173,10 @@ def test_address_blocks_keep_the_rules_of_addresses(spark, seed):
             check_chain(own, top, [r["id"] for r in below], 4 if ends_early else len(below))
             checked += 1
     assert checked > 50
+
+
+def test_a_huge_region_stays_within_its_frame(spark):
+    plain = [("Name", 10, 10, 60, 20), ("Ines Okafor", 130, 10, 130, 20)]
+    huge = [*plain, ("far", 10, 900, 10, 10_000_000), ("Email", 10, 9_000_000, 50, 20)]
+    found = D.classify_frames(frame(spark, huge, *[plain] * 3)).collect()
+    assert sorted((r.frame_id, r.value) for r in found) == [(n, "Ines Okafor") for n in range(4)]
