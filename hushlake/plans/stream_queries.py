@@ -1,4 +1,4 @@
-"""Streaming operators run to the end of the given tables."""
+"""Streaming operators run to the end of the given tables, in three micro-batches each."""
 
 from __future__ import annotations
 
@@ -28,13 +28,13 @@ def _hits(kind, pattern, group):
       WHERE regexp_matches(text, '{T.GREETING}') AND lower(regexp_extract(text, '{T.GREETING}', 1)) NOT IN ('there','guest','sign in')""",
 )
 def stream_findings(spark, sf):
-    return run_to_table(O.stream_findings(X.regions_of(table_stream(spark, sf, "documents"))), "findings")
+    return run_to_table(O.stream_findings(X.regions_of(table_stream(spark, sf, "documents", F.col("doc_id")))), "findings")
 
 
 @query("stream_vault", S.with_ctes(S.SIGHTINGS, S.VAULT) + "SELECT session_id, kind, value, token, first_seq, blocked FROM vault")
 def stream_vault(spark, sf):
     path = work_dir(spark, "vault")
-    run_batches(X.sightings_of(table_stream(spark, sf, "customer")), W.vault_writer(path), path)
+    run_batches(X.sightings_of(table_stream(spark, sf, "customer", F.col("c_custkey"))), W.vault_writer(path), path)
     return W.read_vault(spark, path)
 
 
@@ -42,7 +42,7 @@ OBS_STREAM = S.with_ctes(S.OBSERVATIONS)
 
 
 def _ready(spark, sf):
-    return X.observed(table_stream(spark, sf, "events")).filter(F.col("status") == "ready")
+    return X.observed(table_stream(spark, sf, "events", F.unix_micros(F.col("ts").cast("timestamp")))).filter(F.col("status") == "ready")
 
 
 @query(
@@ -79,7 +79,7 @@ def stream_history(spark, sf):
 
 def _timed_requests(spark, sf):
     """Requests with an event time: one second per turn."""
-    r = X.requests_of(table_stream(spark, sf, "conversations"))
+    r = X.requests_of(table_stream(spark, sf, "conversations", F.col("conv_id") * 8 + F.col("turn")))
     second = F.lit(1704067200) + F.col("run_id") * 8 + F.col("step")
     return r.withColumn("ts", F.timestamp_seconds(second))
 
@@ -109,7 +109,7 @@ def stream_status(spark, sf):
 )
 def stream_event_counts(spark, sf):
     """Windows that are final once the watermark has passed them."""
-    events = table_stream(spark, sf, "events").select("ts", F.col("event_type").alias("kind"))
+    events = table_stream(spark, sf, "events", F.unix_micros(F.col("ts").cast("timestamp"))).select("ts", F.col("event_type").alias("kind"))
     return run_to_table(O.event_counts(events, "10 minutes", "5 minutes", "1 hour"), "counts")
 
 
@@ -121,7 +121,7 @@ def stream_event_counts(spark, sf):
       HAVING max(ts) + INTERVAL '3 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""",
 )
 def stream_sessions(spark, sf):
-    events = table_stream(spark, sf, "events").select("ts", (F.col("user_id") % 50).alias("session_id"))
+    events = table_stream(spark, sf, "events", F.unix_micros(F.col("ts").cast("timestamp"))).select("ts", (F.col("user_id") % 50).alias("session_id"))
     return run_to_table(O.activity_sessions(events, "3 hours", "1 hour"), "sessions")
 
 
