@@ -19,6 +19,7 @@ WIDTH = 4096  # hashed n-grams
 PER_LANGUAGE = 400  # labelled documents of each language that a model is fitted on, at most
 CENTROIDS = 4  # of each language
 LEAST_SHARE = 0.25  # of a centroid's first percentile of own similarities, below which a text is rejected
+SPREAD = 16
 SLAB = 1 << 20  # bytes looked at together
 RESULT = StructType(
     [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
@@ -99,8 +100,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """
     keys = docs.select(docs["lang"].alias("label"), F.xxhash64(docs["doc_id"]).alias("draw"), "doc_id", "text")
     keys = keys.filter(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("draw"))
-    last = keys.select("label", "draw").distinct().withColumn("place", place).filter(F.col("place") <= per_language)
+    # a language's draws are dealt to SPREAD tasks, and only the first of each meet in one
+    last = keys.select("label", "draw", F.pmod("draw", F.lit(SPREAD)).alias("deal")).distinct()
+    for by in (("label", "deal"), ("label",)):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("draw"))
+        last = last.withColumn("place", place).filter(F.col("place") <= per_language)
     last = last.groupBy("label").agg(F.max("draw").alias("last"))  # a row for each language, as the model has
     drawn = keys.join(F.broadcast(last), "label").filter((F.col("draw") <= F.col("last")) & F.col("text").rlike(r"\p{L}"))
     chosen = drawn.groupBy("label", "draw").agg(F.min("text").alias("text"))
@@ -130,8 +134,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         counts = np.stack([np.frombuffer(b, np.float32) for b in sorted(group["grams"])])
         centroids, likeness = _clusters(_vectors(counts, idf), CENTROIDS)
         own = likeness.argmax(axis=1)
-        floors = [LEAST_SHARE * np.quantile(likeness[own == c, c], 0.01) if (own == c).any() else 0.0 for c in range(len(centroids))]
-        blobs = [c.astype(np.float32).tobytes() for c in centroids]
+        used = np.unique(own)  # a centroid without texts goes
+        floors = [LEAST_SHARE * np.quantile(likeness[own == c, c], 0.01) for c in used]
+        blobs = [centroids[c].astype(np.float32).tobytes() for c in used]
         return pd.DataFrame({"label": key[0], "centroid": blobs, "floor": floors})
 
     found = sample.groupBy("label").applyInPandas(cluster, "label string, centroid binary, floor double").collect()
