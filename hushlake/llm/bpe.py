@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from hushlake.llm.token_ids import TOKENIZER, may_lower
 
-HELD_WORDS, HELD_PIECES = 800_000, 400_000  # remembered by a worker, after which it forgets them all
+HELD_WORDS, HELD_PIECES = 300_000, 200_000  # remembered by a worker, after which it forgets them all
 #: Words of a lower-case text of printable ASCII, where the pattern of the vocabulary file leaves no question of Unicode.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
 PRINTABLE = re.compile(r"[\x20-\x7e]*")
