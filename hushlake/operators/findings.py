@@ -82,7 +82,7 @@ def _order(rank: int, sub: Column | None = None) -> Column:
     """Scan position of a finding: its region in reading order, then the source."""
     return F.struct(
         F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("region_id").alias("r"),
-        F.lit(rank).alias("s"), (F.lit(0) if sub is None else sub).cast("int").alias("n"),
+        F.lit(rank).alias("s"), (F.lit(0) if sub is None else sub).cast("long").alias("n"),
     )
 
 
@@ -112,11 +112,11 @@ def line_findings(cleaned: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def tagged(kind, base):
-        return lambda m, i: _hit(F.lit(kind), m, "local-pattern", PATTERN, _own_box(), sub=i + base)
+        return lambda m, i: _hit(F.lit(kind), m, "local-pattern", PATTERN, _own_box(), sub=i.cast("long") + F.lit(base))
 
-    # Matches of a kind follow those of the kind before; 2**20 leaves room for every match of a line.
+    # Matches of a kind follow those of the kind before; no line can have 2**40 matches.
     shapes = [
-        F.transform(P.matches(text, pattern), tagged(kind, k << 20)) for k, (kind, pattern) in enumerate(P.REGISTRY)
+        F.transform(P.matches(text, pattern), tagged(kind, k << 40)) for k, (kind, pattern) in enumerate(P.REGISTRY)
     ]
     name = P.greeting_name(text)
     greeting = F.when(name.isNotNull(), _hit(F.lit("NAME"), name, "visible-greeting", GREETING, _own_box()))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.operators.ordered import ordered, time_chunk
-from hushlake.sources.tables import spread, table
+from hushlake.plans.inputs import spread
+from hushlake.sources.tables import table
 
 # Geometry of a contact card: (frame, line, x, y, width, height).
 CARD_LINES = (

@@ -8,7 +8,8 @@ from hushlake.functions import patterns as P
 from hushlake.plans import fixtures as X
 from hushlake.plans import fixture_sql as S
 from hushlake.plans.registry import query
-from hushlake.sources.tables import spread, table
+from hushlake.plans.inputs import spread
+from hushlake.sources.tables import table
 
 # RE2 spellings of the patterns: no look-around, so boundaries are consumed.
 W = r"\p{L}\p{N}_"

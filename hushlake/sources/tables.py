@@ -8,13 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One input table; Parquet carries the schema, so nothing is inferred from data."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split an input that arrives in fewer partitions than there are cores.
-
-    A large table already has more splits than cores and is left alone, so the
-    extra exchange only happens for small single-file inputs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
