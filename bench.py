@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from hushlake.plans.catalog import QUERIES  # noqa: E402
 from hushlake.plans.session import local_session  # noqa: E402
+from hushlake.plans.storage import delete_work  # noqa: E402
 
 HEADLINE = (
     "classify_frames", "classify_documents", "pattern_scrub", "vault_build", "vault_scrub", "full_scrub",
@@ -33,6 +34,7 @@ def main() -> None:
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         timings[name] = round(min(runs), 3)
+        delete_work(spark)
     spark.stop()
     print(
         json.dumps(

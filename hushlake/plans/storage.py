@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []  # folders of this process that have not been deleted
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder the session names in ``spark.checkpoint.dir``.
@@ -20,7 +22,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="hushlake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def delete_work(spark: SparkSession) -> None:
+    """Delete every folder that :func:`work_dir` has named in this process.
+
+    They can hold private values in clear. Call it once the results that are read from them have been written elsewhere.
+    """
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
