@@ -11,7 +11,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-HELD_PIECES = 500_000  # remembered, after which a task forgets them all
+HELD_PIECES = 600_000  # remembered, after which a worker forgets them all
 LINE = 4096  # pieces that the tokenizer gets at once
 
 
@@ -28,9 +28,9 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
-        self.forget()
+        self._forget()
 
-    def forget(self) -> None:
+    def _forget(self) -> None:
         self._number: dict[bytes, int] = {}
         self._ids = np.zeros(0, np.uint32)
         self._starts, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -51,7 +51,7 @@ class PieceEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8)."""
         if len(self._number) > HELD_PIECES:
-            self.forget()
+            self._forget()
         split = [(text.lower() if may_lower(text) else text).split() for text in texts]
         pieces = [piece for parts in split for piece in parts]
         if new := list(set(pieces).difference(self._number)):
@@ -78,4 +78,3 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.S
             batch = whole.slice(cut, 512)
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
             yield from zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True)
-    encoder.forget()  # a worker that waits for its next task holds nothing
