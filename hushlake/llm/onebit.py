@@ -13,6 +13,7 @@ from hushlake.plans.storage import materialize
 
 BLOCK = 4096  # vectors of an index block, and of a query block
 TOGETHER = 64  # index blocks that one search reads in turn, each with what the earlier ones have found
+MOST_PARTITIONS = 20_000
 BOUND = 3.0  # standard deviations of the estimate that count as possible
 SEED = 10
 FIELDS = "block long, dim int, ids binary, codes binary, factors binary, vectors binary"
@@ -155,7 +156,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     keys = asked.select("search", F.col("dim").alias("of_dim"))
     left = index.withColumn("group", group).join(keys, F.col("dim") == F.col("of_dim")).drop("of_dim")
     right = asked.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = left.join(right, ["search", "dim", "group"])
+    # a search takes long for its few bytes, so each gets a partition of its own instead of being coalesced by size
+    key, n = ["search", "dim", "group"], max(1, min(asked.count() * groups, MOST_PARTITIONS))
+    met = left.repartition(n, *key).join(right.repartition(n, *key), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, search = None, None
