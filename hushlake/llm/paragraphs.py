@@ -43,11 +43,11 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.nd
                 yield batch.column("doc_id").take(pa.array(row)), np.array(place, np.int32), words
 
 
-def _digests(words: list[list[bytes]]) -> np.ndarray:
+def digests(words: list[list[bytes]]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
 
 
-def _shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def shingles_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all paragraphs, and where each paragraph's start."""
     counts = np.array([len(w) for w in words])
     digest = xxhash.xxh3_64_intdigest
@@ -62,16 +62,20 @@ def _shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return run[inside[: len(run)]], np.concatenate([[0], np.cumsum(counts - SHINGLE + 1)[:-1]])
 
 
+def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The cells of each set of shingles, one for every band of minima."""
+    cells = np.zeros((len(starts), BANDS), np.uint64)
+    for n in range(ROWS * BANDS):
+        low = np.minimum.reduceat(_mix(shingles * (_RANDOM[0, n] | np.uint64(1)) + _RANDOM[1, n]), starts)
+        cells[:, n // ROWS] = _mix(cells[:, n // ROWS] * _STEP + low + np.uint64(n))
+    return cells.view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc_id, place, words in _paragraphs(batches):
-        shingles, starts = _shingles(words)
-        cells = np.zeros((len(words), BANDS), np.uint64)
-        for n in range(ROWS * BANDS):
-            low = np.minimum.reduceat(_mix(shingles * (_RANDOM[0, n] | np.uint64(1)) + _RANDOM[1, n]), starts)
-            cells[:, n // ROWS] = _mix(cells[:, n // ROWS] * _STEP + low + np.uint64(n))
-        flat = pa.array(cells.view(np.int64).ravel())
+        flat = pa.array(minima(*shingles_of(words)).ravel())
         fields = [
-            doc_id, pa.array(place), pa.array([len(w) for w in words], pa.int32()), pa.array(_digests(words).view(np.int64)),
+            doc_id, pa.array(place), pa.array([len(w) for w in words], pa.int32()), pa.array(digests(words).view(np.int64)),
             pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat),
         ]
         yield pa.RecordBatch.from_arrays(fields, ["doc_id", "paragraph", "n_words", "id", "cells"])
@@ -80,8 +84,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of each distinct paragraph of a piece of a batch."""
     for _, _, words in _paragraphs(batches):
-        ids, first = np.unique(_digests(words), return_index=True)
-        shingles, starts = _shingles([words[i] for i in first])
+        ids, first = np.unique(digests(words), return_index=True)
+        shingles, starts = shingles_of([words[i] for i in first])
         blobs = [np.unique(s).tobytes() for s in np.split(shingles, starts[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(blobs, pa.binary())], ["of", "shingles"])
 
