@@ -7,11 +7,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from hushlake.llm.components import cell_links, components, first_rows, keep_rows, text_hash
+from hushlake.llm.components import cell_links, components, text_hash
 from hushlake.llm.near_copies import near_copies
 from hushlake.plans.storage import materialize
 
@@ -123,14 +123,17 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of every class of :func:`near_copies`: the smallest doc_id (of its rows, the smallest text).
+    """``docs`` with one row of every class of :func:`near_copies`: the smallest doc_id (nulls last; of its rows, the
+    smallest text). Rows of one doc_id that are in different classes are told apart.
 
     Three bits, which the components above are linked by, miss most edited copies; here every link is a verified Jaccard
-    similarity. Documents without a doc_id stay: they cannot be told apart by name.
+    similarity.
     """
     found = near_copies(docs)
-    first = found.groupBy("class").agg(F.min("doc_id").alias("first"))
-    found = found.join(first, "class")
-    kept = keep_rows(docs, found.filter("doc_id = first or doc_id is null"))
-    unnamed = kept.filter("doc_id is null")
-    return first_rows(kept.filter("doc_id is not null")).unionByName(unnamed)
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"))
+    named = found.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    named = named.select(F.col("class").alias("_class"), F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (text_hash(F.col("text")) == F.col("_kept_hash"))
+    order = Window.partitionBy("_class").orderBy("text")
+    kept = docs.join(named.distinct(), same).withColumn("_copy", F.row_number().over(order)).filter("_copy = 1")
+    return kept.select(*docs.columns)

@@ -39,3 +39,11 @@ def test_chains_of_edits_and_short_texts(spark, monkeypatch, block):
     rows += [(30, "One two"), (31, "one  TWO"), (32, "one three"), (33, "a b c d"), (34, "a b c d e"), (35, ""), (36, None)]
     kept = sorted(r.doc_id for r in drop_near_duplicates(documents(spark, rows)).collect())
     assert kept == [0, 30, 32, 33, 34, 35]
+
+
+def test_one_row_of_each_class_whatever_its_id(spark):
+    a, b, c, d = (" ".join(words(n, 80)) for n in (1, 2, 3, 4))
+    # 1 names two classes; copies without an id go, also those of a named document
+    rows = [(1, a), (1, b), (2, max(a, b)), (3, min(a, b)), (None, a), (None, c), (None, c), (None, c.upper()), (5, d), (5, d)]
+    kept = [(r.doc_id, r.text) for r in drop_near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, min(c, c.upper())), (5, d)], key=str)
