@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ from hushlake.plans.storage import materialize
 
 SHINGLE = 5  # words
 SIMILAR = 0.8  # Jaccard similarity of two paragraphs' shingles from which on they are near copies
-LEAST_WORDS = 8  # of a paragraph that counts
+LEAST_WORDS = 8  # of a paragraph that counts where a caller does not say otherwise; the query takes every line with a word
+FEW = 3  # so many shingles or fewer are similar to equal ones only: 3 of 4 are under 0.8
 ROWS = 3  # minima of a band
 BANDS = 10  # at similarity 0.8 some band agrees with probability 1 - (1 - 0.8 ** 3) ** 10 > 0.999
 _RANDOM = np.random.default_rng(5).integers(0, 2**64, (2, ROWS * BANDS), dtype=np.uint64)
@@ -27,7 +29,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[list[bytes]]]]:
+def _paragraphs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[list[bytes]]]]:
     """For pieces of a batch: doc_ids, and row, line number and lower-cased words of every paragraph that counts."""
     for whole in batches:
         for cut in range(0, whole.num_rows, 256):
@@ -35,7 +37,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.nd
             row, place, words = [], [], []
             for r, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 for n, line in enumerate((text or b"").lower().split(b"\n")):  # of bytes: lowers A-Z only
-                    if len(parts := line.split()) >= LEAST_WORDS:
+                    if len(parts := line.split()) >= least:
                         row.append(r)
                         place.append(n)
                         words.append(parts)
@@ -71,22 +73,49 @@ def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return cells.view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc_id, place, words in _paragraphs(batches):
-        flat = pa.array(minima(*shingles_of(words)).ravel())
-        fields = [
-            doc_id, pa.array(place), pa.array([len(w) for w in words], pa.int32()), pa.array(digests(words).view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat),
-        ]
+def _told(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids of paragraphs, and which have more than ``FEW`` shingles, with the shingles of those.
+
+    Equal ids are one text: the same words, or the same shingles where they are few. Only the others need cells.
+    """
+    ids = digests(words)
+    long = [n for n, w in enumerate(words) if len(w) >= SHINGLE]
+    if not long:
+        return ids, np.zeros(0, np.int64), []
+    shingles, starts = shingles_of([words[n] for n in long])
+    many, sets = [], []
+    for n, own in zip(long, np.split(shingles, starts[1:]), strict=True):
+        if len(own) <= FEW or len(set(words[n])) < SHINGLE + FEW:  # each further shingle brings one new word at most
+            distinct = np.unique(own)
+            if len(distinct) <= FEW:
+                ids[n] = xxhash.xxh3_64_intdigest(distinct.tobytes(), 1)
+                continue
+        many.append(n)
+        sets.append(own)
+    return ids, np.array(many, np.int64), sets
+
+
+def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+
+
+def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for doc_id, place, words in _paragraphs(batches, least):
+        ids, many, sets = _told(words)
+        flat = minima(*_joined(sets)).ravel() if sets else np.zeros(0, np.int64)
+        sizes = np.zeros(len(words), np.int32)
+        sizes[many] = BANDS
+        cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+        fields = [doc_id, pa.array(place), pa.array([len(w) for w in words], pa.int32()), pa.array(ids.view(np.int64)), cells]
         yield pa.RecordBatch.from_arrays(fields, ["doc_id", "paragraph", "n_words", "id", "cells"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of each distinct paragraph of a piece of a batch."""
-    for _, _, words in _paragraphs(batches):
-        ids, first = np.unique(digests(words), return_index=True)
-        shingles, starts = shingles_of([words[i] for i in first])
-        blobs = [np.unique(s).tobytes() for s in np.split(shingles, starts[1:])]
+def _sets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of each distinct paragraph of a piece of a batch that has cells."""
+    for _, _, words in _paragraphs(batches, least):
+        ids, many, sets = _told(words)
+        ids, first = np.unique(ids[many], return_index=True)
+        blobs = [np.unique(sets[n]).tobytes() for n in first]
         yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(blobs, pa.binary())], ["of", "shingles"])
 
 
@@ -117,25 +146,26 @@ def similar(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, paragraph, n_words, cluster_doc_id, cluster_paragraph, removed`` of every paragraph of a cluster.
 
-    A paragraph is a line of at least eight words; ``paragraph`` is the line's number from 0. Words are cut at ASCII
-    blanks, A-Z lowered. Paragraphs of the same words are one text, and texts whose five-word shingles have a Jaccard
-    similarity of 0.8 or more are linked; a cluster is a component of links. Its first paragraph (smallest doc_id,
+    A paragraph is a line of at least ``least`` words (1: every line with a word); ``paragraph`` is the line's number
+    from 0. Words are cut at ASCII blanks, A-Z lowered. Paragraphs of the same words are one text, and texts whose
+    five-word shingles have a Jaccard similarity of 0.8 or more are linked (under five words only the same words meet);
+    a cluster is a component of links. Its first paragraph (smallest doc_id,
     nulls first, then line) stays, the others are ``removed``. Clusters of a single paragraph are not returned, so
     documents that share nothing do not appear. Repeated rows repeat their paragraphs, which are then equal; of equal
     places all but one are removed only if they differ in place, so none is lost. Null and empty texts have none.
     """
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     found = materialize(
-        source.mapInArrow(_signed, "doc_id long, paragraph int, n_words int, id long, cells array<long>"), "paragraphs"
+        source.mapInArrow(partial(_signed, least=least), "doc_id long, paragraph int, n_words int, id long, cells array<long>"), "paragraphs"
     )
-    rows = found.filter(F.col("n_words") > SHINGLE).select(F.explode("cells").alias("cell"), "id")
+    rows = found.select(F.explode("cells").alias("cell"), "id")
 
     def with_sets(shared: DataFrame) -> DataFrame:
         ids = shared.select("id").distinct()
-        sets = source.select("text").withColumn("doc_id", F.lit(0)).mapInArrow(_sets, "of long, shingles binary")
+        sets = source.select("text").withColumn("doc_id", F.lit(0)).mapInArrow(partial(_sets, least=least), "of long, shingles binary")
         sets = sets.join(ids, sets["of"] == ids["id"], "left_semi").groupBy("of").agg(F.first("shingles").alias("shingles"))
         return shared.join(sets, shared["id"] == sets["of"]).drop("of")
 
@@ -153,7 +183,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed paragraphs in ``text``; rows whose doc_id is null keep theirs."""
-    gone = repeated_paragraphs(docs).filter("removed and doc_id is not null").groupBy(F.col("doc_id").alias("_of"))
+    gone = repeated_paragraphs(docs, 1).filter("removed and doc_id is not null").groupBy(F.col("doc_id").alias("_of"))
     gone = gone.agg(F.collect_set("paragraph").alias("_gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["_of"], "left")
     lines = F.filter(F.split("text", "\n"), lambda _, n: ~F.array_contains(F.col("_gone"), n))

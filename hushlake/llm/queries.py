@@ -179,4 +179,4 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op1_repeated_paragraphs")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, folder, "documents"))
+    return repeated_paragraphs(table(spark, folder, "documents"), 1)

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from hushlake.llm.paragraphs import LEAST_WORDS, drop_repeated_paragraphs, repeated_paragraphs
+from hushlake.llm.queries import QUERIES
 from tests.llm.conftest import documents, words
 
 
@@ -54,3 +55,43 @@ def test_removal_and_empty_tables(spark, odd_documents, no_documents):
     assert cut == {1: "keep\n" + " ".join(words(1, 60)), 2: "own line\n\nend", 3: None, 4: ""}
     assert drop_repeated_paragraphs(odd_documents).columns == odd_documents.columns
     assert repeated_paragraphs(no_documents).count() == drop_repeated_paragraphs(no_documents).count() == 0
+
+
+def slow_of_every_line(rows):
+    places, sets = defaultdict(list), {}
+    for i, text, *_ in rows:
+        for n, line in enumerate((text or "").split("\n")):
+            parts = tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+            if parts:
+                places[parts].append((i, n))
+                sets[parts] = {parts[k : k + 5] for k in range(len(parts) - 4)}
+    label = {t: n for n, t in enumerate(places)}
+    for a in places:
+        for b in places:
+            both = len(sets[a] & sets[b])
+            if label[a] != label[b] and both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                label = {t: label[a] if n == label[b] else n for t, n in label.items()}
+    clusters = defaultdict(list)
+    for t, found in places.items():
+        clusters[label[t]] += found
+    out = []
+    for found in clusters.values():
+        first = min(found, key=lambda p: (p[0] is not None, p))
+        out += [(i, n, *first, (i, n) != first) for i, n in found if len(found) > 1]
+    return sorted(out, key=str)
+
+
+def test_every_line_with_a_word_counts(spark, odd_rows):
+    rows = [r for r in odd_rows if r[0] not in (11, 12)]
+    rows += [(100 + n, "\n".join([" ".join(words(50, k)) for k in range(1, 12)])) for n in range(3)]
+    rows += [(200 + n, "a " * n + "\nshort line\n" + f"own {n}") for n in range(4, 11)] + [(300, "Menu\nmenu\nx y z u v w"), (301, "x y z u v")]
+    got = repeated_paragraphs(documents(spark, rows), 1).collect()
+    assert sorted(((r.doc_id, r.paragraph, r.cluster_doc_id, r.cluster_paragraph, r.removed) for r in got), key=str) == slow_of_every_line(rows)
+
+
+def test_the_query_and_the_removal_take_short_lines(spark, tmp_path):
+    docs = documents(spark, [(1, "home | about\none two three four five six"), (2, "Home | About\nown\none two three four five six")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op1_repeated_paragraphs"](spark, str(tmp_path)).filter("removed").collect()
+    assert sorted((r.doc_id, r.paragraph) for r in found) == [(2, 0), (2, 2)]
+    assert {r.doc_id: r.text for r in drop_repeated_paragraphs(docs).collect()}[2] == "own"
