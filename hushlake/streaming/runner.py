@@ -13,15 +13,18 @@ from hushlake.plans.storage import work_dir
 def table_stream(spark: SparkSession, folder: str, name: str, order: Column, batches: int = 3) -> DataFrame:
     """A table as a stream of ``batches`` micro-batches; timestamps without zone become event-time columns.
 
-    The table is first laid out as folders along ``order`` (a number), which arrive one after the other.
+    The table is first laid out as folders along ``order`` (a number), which arrive one after the other. Rows whose order
+    is null or NaN are laid out first.
     """
     static = spark.read.parquet(f"{folder}/{name}.parquet")
     path = work_dir(spark, f"{name}-stream")
     cuts = static.select(order.cast("double").alias("at")).approxQuantile("at", [n / batches for n in range(1, batches)], 0.01)
-    bounds = [float("-inf"), *cuts, float("inf")]
-    for low, high in zip(bounds, bounds[1:], strict=False):  # one after the other, as files are read in the order they were written
-        at = order.cast("double")
-        static.filter((at > low) & (at <= high)).write.mode("append").parquet(path)
+    at = order.cast("double")
+    batch = F.lit(0)
+    for cut in cuts:
+        batch = batch + F.when((at > cut) & ~F.isnan(at), 1).otherwise(0)
+    for n in range(len(cuts) + 1):  # one after the other, as files are read in the order they were written
+        static.filter(batch == n).write.mode("append").parquet(path)
     files = spark.read.format("binaryFile").load(path).select("path").count()
     stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
     zoned = {f.name: F.col(f.name).cast("timestamp") for f in static.schema if f.dataType.typeName() == "timestamp_ntz"}

@@ -11,7 +11,7 @@ from hushlake.operators.vault import vault_build
 from hushlake.plans import fixtures as X
 from hushlake.plans.storage import work_dir
 from hushlake.streaming import stores as W
-from hushlake.streaming.runner import run_batches
+from hushlake.streaming.runner import run_batches, table_stream
 
 
 def stream_of(spark, df, folder, parts, order):
@@ -67,3 +67,11 @@ def test_retention_limits(spark, limits):
     got = sorted(r.seq for r in history_retention(df, *limits).collect())
     best = max(k for k in range(len(hashes) + 1) if k <= limits[0] and sum(sizes[h] for h in set(hashes[len(hashes) - k :])) <= limits[1])
     assert got == list(range(len(hashes) - best, len(hashes)))
+
+
+def test_rows_without_an_order_enter_the_stream(spark, tmp_path):
+    at = [None, float("nan"), float("-inf"), float("inf"), *map(float, range(20)), None]
+    spark.createDataFrame([(n, a) for n, a in enumerate(at)], "n long, at double").write.parquet(str(tmp_path / "t.parquet"))
+    path = work_dir(spark, "rows")
+    run_batches(table_stream(spark, str(tmp_path), "t", F.col("at")), lambda rows, n: rows.write.parquet(f"{path}/batch={n}"), path)
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == list(range(len(at)))
