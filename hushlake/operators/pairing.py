@@ -84,7 +84,9 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     """
     extent = F.struct(*[f("y").cast("double").alias(n) for f, n in ((F.min, "top"), (F.max, "bottom"))], F.max("height").cast("double").alias("tall"))
     # of each frame: one huge region does not make the labels of other frames look further
-    pages = regions.groupBy(*KEY).agg(extent.alias("_page"))
+    pages = regions.groupBy(*KEY).agg(extent.alias("_page")).withColumnsRenamed({k: f"_page_{k}" for k in KEY})
+    # null keys have a page like others, and a row without a page keeps its own value
+    own_page = F.col("session_id").eqNullSafe(F.col("_page_session_id")) & F.col("frame_id").eqNullSafe(F.col("_page_frame_id"))
     a, n = F.col("s"), F.col("n")
     gap = F.greatest(F.lit(MIN_GAP), a["height"] * GAP_RATIO)
     reach = a["y"] + a["height"] + limit * gap + (limit - 1) * F.col("_page.tall")
@@ -98,14 +100,14 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     # One row without a band carries the whole start row; the rows that look around are slim.
     bands = F.concat(
         F.array(F.lit(None).cast("long")),
-        F.when(a["y"].isNotNull(), F.sequence(first, last)).otherwise(F.array().cast("array<long>")),
+        F.when(first.isNotNull() & last.isNotNull() & a["y"].isNotNull(), F.sequence(first, last)).otherwise(F.array().cast("array<long>")),
     )
     left = (
         starts.select(*KEY, "region_id", slim.alias("s"), F.struct(*[c for c in starts.columns if c not in KEY]).alias("a"))
-        .join(pages, KEY)
+        .join(pages, own_page, "left")
         .withColumn("_band", F.explode(bands))
         .withColumn("a", F.when(F.col("_band").isNull(), F.col("a")))
-        .drop("_page")
+        .drop("_page", *[f"_page_{k}" for k in KEY])
     )
     right = regions.select(*KEY, band(F.col("y")).alias("_band"), own_item().alias("n"))
     is_below = (n["y"] >= a["y"] + a["height"] * 0.5) & (

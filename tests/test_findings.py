@@ -180,3 +180,12 @@ def test_a_huge_region_stays_within_its_frame(spark):
     huge = [*plain, ("far", 10, 900, 10, 10_000_000), ("Email", 10, 9_000_000, 50, 20)]
     found = D.classify_frames(frame(spark, huge, *[plain] * 3)).collect()
     assert sorted((r.frame_id, r.value) for r in found) == [(n, "Ines Okafor") for n in range(4)]
+
+
+def test_labels_without_a_session_or_a_frame_keep_their_own_value(spark):
+    rows = [(s, f, 0, "Password: quiet-lantern-88", 17, 10, 170, 18, 0.91) for s, f in ((None, 1), (1, None), (None, None), (1, 1))]
+    found = G.pair_labels(G.clean(spark.createDataFrame(rows, SCHEMA))).collect()
+    got = sorted(((r.session_id, r.frame_id, r.label_value, r.selected.region_id) for r in found), key=str)
+    assert got == sorted(((s, f, "quiet-lantern-88", 0) for s, f, *_ in rows), key=str)
+    kinds = [(r.session_id, r.frame_id, r.kind) for r in D.classify_frames(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(kinds, key=str) == sorted(((s, f, "SECRET") for s, f, *_ in rows), key=str)
