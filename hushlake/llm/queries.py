@@ -10,8 +10,11 @@ from hushlake.llm.bpe import digests
 from hushlake.llm.cost_packing import packed
 from hushlake.llm.host_rules import MOST_FAILING, ORDER, quality
 from hushlake.llm.language import identify
+from hushlake.llm.mixing import mixture
 from hushlake.llm.onebit import nearest
 from hushlake.llm.paragraphs import repeated_paragraphs
+from hushlake.llm.prefix_trie import conversation_trie
+from hushlake.llm.resampling import importance_ranks
 from hushlake.llm.simhash import simhash_components
 from hushlake.llm.suffixes import without_repeats
 from hushlake.llm.warc import archive
@@ -180,3 +183,124 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_repeated_paragraphs")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_paragraphs(table(spark, folder, "documents"), 1)
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a SQL string's UTF-8 bytes, bit by bit, the lowest bit of a byte first."""
+    digits = f"hex(encode({text}))"
+    # digits of a byte are written high to low: digit j is at place j + 2 - 2 * (j % 2)
+    digit = f"(instr('0123456789ABCDEF', substr({digits}, i // 4 + 2 - 2 * ((i // 4) % 2), 1)) - 1)"
+    bits = f"list_transform(range(4 * length({digits})), lambda i: ({digit} >> (i % 4)) & 1)"
+    step = "lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), b AS (
+  SELECT regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), runs AS (
+  SELECT r, array_to_string(words[i:i + k], ' ') AS run, count(*) AS n
+  FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT r, words FROM d UNION ALL SELECT 0, words FROM b)), range(3) AS x(k)
+  WHERE i + k <= len(words) GROUP BY 1, 2
+), hashed AS (
+  SELECT run, {crc32_sql("run")} % 10000 AS bucket FROM (SELECT DISTINCT run FROM runs)
+), counts AS (
+  SELECT r, bucket, sum(n) AS n FROM runs JOIN hashed USING (run) GROUP BY r, bucket
+), sums AS (
+  SELECT bucket, CAST(sum(n) FILTER (r > 0) AS DOUBLE) AS s, CAST(sum(n) FILTER (r = 0) AS DOUBLE) AS t FROM counts GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM sums) + 10000)
+    / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM sums) + 10000)))) AS BIGINT) AS gain FROM sums
+), weights AS (
+  SELECT r, sum(n * gain) AS weight, sum(n) AS n_features FROM counts JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+      + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS BIGINT) AS score, len(words) >= 20 AS able
+  FROM d LEFT JOIN weights USING (r)
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE able
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM ranked) * 5 // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = importance_ranks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'told': length(role) || ':' || role || text, 'size': strlen(text)}}
+    ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS turns, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h
+  FROM t GROUP BY conv_id
+), paths AS (
+  SELECT c.conv_id, list_concat(coalesce(f.turns, [])[1:c.h], c.turns[c.h + 1:]) AS path
+  FROM own c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 5
+), nodes AS (
+  SELECT path[1:d] AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len(path)), '')) AS ends
+  FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM paths) GROUP BY 1, 2
+), parents AS (
+  SELECT c.node, c.depth, c.conv_id, c.n, c.ends, p.conv_id AS parent_conv_id, (c.n - 1) * coalesce(c.node[c.depth].size, 0) AS saved,
+    (SELECT count(*) FROM nodes k WHERE k.depth = c.depth + 1 AND k.node[1:c.depth] = c.node) AS n_children
+  FROM nodes c LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.node = c.node[1:c.depth - 1] AND c.depth > 0
+), above AS (
+  SELECT node[1:d] AS node, d AS depth, saved, n_children FROM (SELECT *, unnest(range(depth + 1)) AS d FROM parents)
+), below AS (
+  SELECT node, depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY node, depth
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n AS n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM parents JOIN below USING (node, depth)
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS u
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
+), steps AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY fit, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY fit, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM (SELECT *, source_size * (6 // weight) AS fit FROM s)
+), level AS (
+  SELECT rest, open FROM steps WHERE 3 * source_size * open >= rest * weight ORDER BY fit, source LIMIT 1
+), targets AS (
+  SELECT source, source_size, CASE WHEN 3 * source_size * open < rest * weight THEN CAST(3 * source_size AS DOUBLE)
+    ELSE CAST(rest AS DOUBLE) * weight / open END AS target FROM s, level
+), plan AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size END AS whole,
+    words - CASE WHEN source_size = 0 THEN 0 ELSE words // source_size END * source_size AS part
+  FROM (SELECT *, least(3 * source_size, CAST(floor(target + 0.5) AS BIGINT)) AS words FROM targets)
+), places AS (
+  SELECT source, u, peers, coalesce(sum(peers) OVER (PARTITION BY source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, u, sum(size) AS peers FROM d GROUP BY source, u)
+)
+SELECT d.doc_id, d.size, p.source_size, p.target, CAST(p.whole * d.size + CASE WHEN e.before + e.peers <= p.part THEN d.size
+    WHEN e.before < p.part THEN d.size * (p.part - e.before) // e.peers ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source JOIN places e ON d.source IS NOT DISTINCT FROM e.source AND d.u = e.u
+"""
+
+
+@query("op13_source_mixture", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
