@@ -9,15 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# ---- fixed values -----------------------------------------------------------
-MASK_RGB = 0x182435
-MINIMUM_PIXELS = 50
-# -----------------------------------------------------------------------------
-LINE = 1 << 24  # more columns than any image has
+from hushlake.operators.masks import MASK_RGB, aligned
 
 
 def inside(x: Column, y: Column, box: dict) -> Column:
@@ -25,84 +21,31 @@ def inside(x: Column, y: Column, box: dict) -> Column:
     return (x >= box["left"]) & (x < box["right"]) & (y >= box["top"]) & (y < box["bottom"])
 
 
-def in_mask(prefix: str = "mask_") -> Column:
-    """Pixel lies under the row's own mask."""
-    left, top = F.col(prefix + "x"), F.col(prefix + "y")
-    box = {"left": left, "top": top, "right": left + F.col(prefix + "width"), "bottom": top + F.col(prefix + "height")}
-    return inside(F.col("x"), F.col("y"), box)
-
-
 def painted(rgb: Column, covered: Column) -> Column:
     """Colour after masking: opaque, whatever was below."""
     return F.when(covered, F.lit(MASK_RGB)).otherwise(rgb)
 
 
 def frame_pixels(images: DataFrame) -> DataFrame:
-    """Image rows ``(frame_id, width, height, channels, data)`` to pixel rows; bytes are B, G, R."""
-    at = F.posexplode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
-    rows = images.filter(F.col("width") * F.col("height") > 0).select("*", at.alias("pos", "_i"))
-    gray = F.col("channels") == 1
-    bytes_of = F.substring(F.col("data"), F.col("pos") * F.col("channels") + 1, F.when(gray, 1).otherwise(3))
-    # One number per pixel: a single level, or blue, green and red from high to low.
-    rows = rows.withColumn("_v", F.conv(F.hex(bytes_of), 16, 10).cast("int"))
-    level = F.col("_v")
-    swapped = level.bitwiseAND(255) * 65536 + level.bitwiseAND(65280) + F.shiftright(level, 16)
-    return rows.select(
-        "frame_id",
-        (F.col("pos") % F.col("width")).alias("x"),
-        F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"),
-        F.when(gray, level * 65793).otherwise(swapped).alias("rgb"),
-    )
+    """Image rows ``(frame_id, width, height, channels, data)`` to pixel rows ``(frame_id, x, y, rgb)``; bytes are B, G, R.
 
-
-def mask_coverage(pixels: DataFrame, covered: Column, box: dict, minimum: int = MINIMUM_PIXELS) -> DataFrame:
-    """Per frame: pixels entered inside the field, and those not masked or still visible.
-
-    ``pixels`` has ``empty_rgb``, ``entered_rgb`` and ``protected_rgb``; ``covered`` is
-    true under a mask of the right kind.
+    One image is unpacked at a time, whole columns of numbers at once. Images without area have no pixel.
     """
-    x, y = F.col("x"), F.col("y")
-    changed = inside(x, y, box) & (F.col("entered_rgb") != F.col("empty_rgb"))
-    uncovered, retained = changed & ~covered, changed & (F.col("entered_rgb") == F.col("protected_rgb"))
-    # First offender by row, then column, as one number: fixed-width buffers keep this a hash aggregation.
-    first = lambda cond: F.min(F.when(cond, y.cast("long") * LINE + x))
-    out = pixels.groupBy("frame_id").agg(
-        F.count_if(changed).alias("changed"),
-        F.count_if(uncovered).alias("uncovered"),
-        F.count_if(retained).alias("retained"),
-        first(uncovered).alias("_u"),
-        first(retained).alias("_r"),
-    )
-    point = lambda c: F.coalesce(
-        F.concat((F.col(c) % LINE).cast("string"), F.lit(","), F.floor(F.col(c) / LINE).cast("string")), F.lit("")
-    )
-    verdict = (
-        F.when(F.col("changed") < minimum, "insufficient_pixels")
-        .when((F.col("uncovered") > 0) | (F.col("retained") > 0), "not_masked")
-        .otherwise("ok")
-    )
-    return out.select(
-        "frame_id",
-        "changed",
-        "uncovered",
-        "retained",
-        point("_u").alias("first_uncovered"),
-        point("_r").alias("first_retained"),
-        verdict.alias("verdict"),
-    )
+    kind = dict(images.dtypes)["frame_id"]
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width, height, channels = (batch.column(c)[i].as_py() for c in ("width", "height", "channels"))
+                if not width or not height or width < 1 or height < 1:
+                    continue
+                data = np.frombuffer(batch.column("data")[i].as_py(), np.uint8)[: width * height * channels].reshape(-1, channels).astype(np.int32)
+                rgb = data[:, 0] * 65793 if channels == 1 else data[:, 2] << 16 | data[:, 1] << 8 | data[:, 0]
+                at = np.arange(width * height, dtype=np.int32)
+                frame = batch.column("frame_id")[i : i + 1].take(pa.array(np.zeros(len(at), np.int64)))
+                yield pa.RecordBatch.from_arrays([frame, pa.array(at % width), pa.array(at // width), pa.array(rgb)], ["frame_id", "x", "y", "rgb"])
 
-def _aligned(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One row for each pixel of either side: ``frame_id, x, y`` and structs ``a, b`` of the other columns, NULL where missing.
-
-    Both sides go through one exchange and fold into one row, instead of a full outer join of two.
-    """
-    place = ["frame_id", "x", "y"]
-    side = lambda df, name: F.struct(*(F.col(c) for c in df.columns if c not in place)).alias(name)
-    none = lambda df: F.lit(None).cast(df.select(side(df, "s")).schema["s"].dataType)
-    left = first.select(*place, side(first, "a"), none(second).alias("b"))
-    right = second.select(*place, none(first).alias("a"), side(second, "b"))
-    return left.unionByName(right).groupBy(*place).agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+    return images.select("frame_id", "width", "height", "channels", "data").mapInArrow(unpack, f"frame_id {kind}, x int, y int, rgb int")
 
 
 def mask_independence(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -111,9 +54,10 @@ def mask_independence(first: DataFrame, second: DataFrame) -> DataFrame:
     The captures differ below the masks only, so any masked pixel that is not the same in both, or is missing from one,
     shows something of it.
     """
-    both = _aligned(first.select("frame_id", "x", "y", "rgb", "covered"), second.select("frame_id", "x", "y", "rgb", "covered"))
-    covered = F.coalesce(F.col("a.covered"), F.lit(False)) | F.coalesce(F.col("b.covered"), F.lit(False))
-    differs = ~F.col("a.rgb").eqNullSafe(F.col("b.rgb"))
+    wanted = ["frame_id", "x", "y", "rgb", "covered"]
+    both = aligned(first.select(*wanted), second.select(*wanted), ["frame_id", "x", "y"])
+    covered = F.coalesce(F.col("a_covered"), F.lit(False)) | F.coalesce(F.col("b_covered"), F.lit(False))
+    differs = ~F.col("in_a") | ~F.col("in_b") | ~F.col("a_rgb").eqNullSafe(F.col("b_rgb"))
     return both.groupBy("frame_id").agg(
         F.count_if(covered).alias("masked"), F.count_if(covered & differs).alias("dependent")
     )
@@ -123,62 +67,43 @@ def same_field(first: DataFrame, second: DataFrame, box: dict) -> DataFrame:
     """Frames whose field pixels are equal in two captures; a missing pixel is a difference."""
     x, y = F.col("x"), F.col("y")
     a, b = (df.filter(inside(x, y, box)).select("frame_id", "x", "y", "rgb") for df in (first, second))
-    both = _aligned(a, b)
-    return both.groupBy("frame_id").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different")).withColumn(
-        "same", F.col("different") == 0
-    )
+    both = aligned(a, b, ["frame_id", "x", "y"])
+    differs = ~F.col("in_a") | ~F.col("in_b") | ~F.col("a_rgb").eqNullSafe(F.col("b_rgb"))
+    return both.groupBy("frame_id").agg(F.count_if(differs).alias("different")).withColumn("same", F.col("different") == 0)
 
 
-def moved_field_coverage(filled: DataFrame, actual: DataFrame, old: dict, new: dict, minimum: int = MINIMUM_PIXELS) -> DataFrame:
-    """A field that moved: its pixels must be unchanged, and masked at the new place.
+def paint_images(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """Fill the masks ``(frame_id, kind, x, y, width, height)`` of each frame into its image ``(frame_id, width, height, channels, data)``.
 
-    ``filled(frame_id, x, y, empty_rgb, stable_rgb, entered_rgb)`` is the verified
-    original, ``actual(frame_id, x, y, rgb, protected_rgb, covered)`` the later capture;
-    boxes are ``left, top, right, bottom``.
+    Masks of a frame are clipped to it and brought to its image as one list; a mask outside the image, without area or
+    with a NULL is none, and equal masks are one. Images without masks stay as they are; a NULL frame id is a frame like any other. One image
+    is painted at a time.
     """
-    if (old["right"] - old["left"], old["bottom"] - old["top"]) != (new["right"] - new["left"], new["bottom"] - new["top"]):
-        raise ValueError("moved field changed size")
-    dx, dy = new["left"] - old["left"], new["top"] - old["top"]
-    x, y = F.col("x"), F.col("y")
-    source = filled.filter(inside(x, y, old)).select(
-        "frame_id", (x + dx).alias("x"), (y + dy).alias("y"), "empty_rgb", "stable_rgb", "entered_rgb"
-    )
-    target = actual.filter(inside(x, y, new)).select("frame_id", "x", "y", "rgb", "protected_rgb", "covered")
-    both = _aligned(source, target).select("frame_id", "a.*", "b.*")
-    changed = F.col("rgb") != F.col("empty_rgb")
-    counts = both.groupBy("frame_id").agg(
-        F.count_if(~F.col("empty_rgb").eqNullSafe(F.col("stable_rgb"))).alias("unstable"),
-        F.count_if(~F.col("rgb").eqNullSafe(F.col("entered_rgb"))).alias("different"),
-        F.count_if(changed).alias("changed"),
-        F.count_if(changed & ~F.col("covered")).alias("uncovered"),
-        F.count_if(changed & (F.col("rgb") == F.col("protected_rgb"))).alias("retained"),
-    )
-    verdict = (
-        F.when(F.col("unstable") > 0, "unstable_field")
-        .when(F.col("different") > 0, "field_changed")
-        .when(F.col("changed") < minimum, "insufficient_pixels")
-        .when((F.col("uncovered") > 0) | (F.col("retained") > 0), "not_masked")
-        .otherwise("ok")
-    )
-    return counts.withColumn("verdict", verdict)
-
-
-def paint_images(images: DataFrame) -> DataFrame:
-    """Fill the masks of whole-image rows ``(frame_id, width, height, channels, data, masks)``.
-
-    One image per row in, one out; Arrow batches keep the bytes vectorised.
-    """
-    schema = "frame_id long, width int, height int, channels int, data binary"
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        colour = {1: [0x23], 3: [0x35, 0x24, 0x18], 4: [0x35, 0x24, 0x18, 0xFF]}
+    kind = dict(images.dtypes)["frame_id"]
+    edge = lambda at, size: F.greatest(F.lit(0), F.least(at, F.col(size)))
+    sized = images.select(F.col("frame_id").alias("_frame"), F.col("width").alias("_w"), F.col("height").alias("_h")).distinct()
+    known = masks.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull())
+    cut = known.join(sized, known["frame_id"].eqNullSafe(sized["_frame"])).select(
+        "_frame", "_w", "_h", edge(F.col("x"), "_w").cast("int").alias("left"), edge(F.col("y"), "_h").cast("int").alias("top"),
+        edge(F.col("x") + F.col("width"), "_w").cast("int").alias("right"), edge(F.col("y") + F.col("height"), "_h").cast("int").alias("bottom"),
+    )
+    cut = cut.filter("left < right AND top < bottom").groupBy("_frame", "_w", "_h").agg(F.collect_set(F.struct("left", "top", "right", "bottom")).alias("_masks"))
+    on = images["frame_id"].eqNullSafe(cut["_frame"]) & (images["width"] == cut["_w"]) & (images["height"] == cut["_h"])
+    met = images.join(cut, on, "left").select(*(images[c] for c in ("frame_id", "width", "height", "channels", "data")), cut["_masks"])
+    colour = {1: [MASK_RGB >> 16], 3: [MASK_RGB & 255, MASK_RGB >> 8 & 255, MASK_RGB >> 16], 4: [MASK_RGB & 255, MASK_RGB >> 8 & 255, MASK_RGB >> 16, 255]}
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.channels).copy()
-                for m in row.masks:
-                    pixels[m["y"] : m["y"] + m["height"], m["x"] : m["x"] + m["width"]] = colour[row.channels]
-                out.append(pixels.tobytes())
-            yield batch[["frame_id", "width", "height", "channels"]].assign(data=out)
-
-    return images.select("frame_id", "width", "height", "channels", "data", "masks").mapInPandas(fill, schema)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                boxes = row.column("_masks")[0].as_py()
+                data = row.column("data")
+                if boxes:
+                    height, width, channels = (row.column(c)[0].as_py() for c in ("height", "width", "channels"))
+                    pixels = np.frombuffer(data[0].as_py(), np.uint8).reshape(height, width, channels).copy()
+                    for m in boxes:
+                        pixels[m["top"] : m["bottom"], m["left"] : m["right"]] = colour[channels]
+                    data = pa.array([pixels.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("frame_id", "width", "height", "channels")), data], ["frame_id", "width", "height", "channels", "data"])
+
+    return met.mapInArrow(fill, f"frame_id {kind}, width int, height int, channels int, data binary")

@@ -93,6 +93,22 @@ PIXELS = r"""pixels AS (
   CROSS JOIN LATERAL (SELECT CASE WHEN p.p_partkey % 60 = 0 THEN 22 ELSE 23 END AS right_edge) m
   CROSS JOIN LATERAL (SELECT (gx.v BETWEEN 4 AND 23 AND gy.v BETWEEN 4 AND 23 AND (gx.v * 7 + gy.v * 11 + p.p_partkey) % 5 = 0) AS hit) g)"""
 
+CAPTURES = r"""captures AS (
+  SELECT frame_id, x, y, empty_rgb, entered_rgb, CASE WHEN frame_id % 50 = 9 AND x = 5 THEN NULL ELSE protected_rgb END AS protected_rgb,
+    CASE WHEN frame_id % 13 = 5 AND x = 4 AND y = 4 THEN 1 ELSE empty_rgb END AS stable_rgb FROM pixels)"""
+
+MASKS = r"""masks AS (
+  SELECT p_partkey AS frame_id, CASE WHEN n = 1 AND p_partkey % 21 = 5 THEN 'PHONE' WHEN n = 2 THEN 'NAME' ELSE 'EMAIL' END AS kind,
+    CASE n WHEN 2 THEN 0 WHEN 3 THEN 10 ELSE 4 END AS x, CASE n WHEN 0 THEN 4 WHEN 1 THEN 12 WHEN 2 THEN 0 ELSE -5 END AS y,
+    CASE WHEN n = 2 THEN 40 WHEN n = 3 THEN 4 WHEN n = 1 AND p_partkey % 33 = 8 THEN NULL WHEN p_partkey % 60 = 0 THEN 19 ELSE 20 END AS width,
+    CASE n WHEN 2 THEN 40 WHEN 3 THEN 1000000 ELSE 12 END AS height
+  FROM part, range(4) AS r(n)
+  WHERE p_partkey % 15 <> 7 AND (n < 2 OR n = 2 AND p_partkey % 4 = 1 OR n = 3 AND p_partkey % 6 = 2))"""
+
+FIELDS = r"""fields AS (
+  SELECT p_partkey AS frame_id, 0 AS field_id, 'EMAIL' AS kind, 4 AS l, 4 AS t, 24 AS r, 24 AS b FROM part
+  UNION ALL SELECT p_partkey, 1, 'NAME', 0, 0, 40, 40 FROM part WHERE p_partkey % 10 = 3)"""
+
 SIGHTINGS = r"""sightings AS (
   SELECT c_nationkey AS session_id, CAST(c_custkey * 4 + k.ord AS BIGINT) AS seq, k.kind,
   CASE k.ord WHEN 0 THEN c_name WHEN 1 THEN concat('c', CAST(c_custkey % 40 AS STRING), '@example.net')

@@ -215,6 +215,41 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixel rows with a second empty capture (``stable_rgb``); some empty fields flicker, some protected pixels are missing."""
+    k, x, y = F.col("frame_id"), F.col("x"), F.col("y")
+    rows = pixels(spark, sf).select("frame_id", "x", "y", "empty_rgb", "entered_rgb", "protected_rgb")
+    rows = rows.withColumn("stable_rgb", F.when((k % 13 == 5) & (x == 4) & (y == 4), 1).otherwise(F.col("empty_rgb")))
+    return rows.withColumn("protected_rgb", F.when((k % 50 == 9) & (x == 5), None).otherwise(F.col("protected_rgb")))
+
+
+def masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Several masks a frame: overlapping ones, other kinds, one far beyond the frame, one of unknown width; some frames have none."""
+    k = F.col("frame_id")
+    width = F.when(k % 60 == 0, 19).otherwise(20)
+    mask = lambda kind, x, y, w, h, there: F.when(there, F.struct(
+        F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(x).alias("x"), F.lit(y).alias("y"),
+        (F.lit(w) if isinstance(w, int) else w).alias("width"), F.lit(h).alias("height"),
+    ))
+    rows = F.array(
+        mask("EMAIL", 4, 4, width, 12, F.lit(True)),
+        mask(F.when(k % 21 == 5, "PHONE").otherwise("EMAIL"), 4, 12, F.when(k % 33 != 8, width), 12, F.lit(True)),
+        mask("NAME", 0, 0, 40, 40, k % 4 == 1),
+        mask("EMAIL", 10, -5, 4, 1_000_000, k % 6 == 2),
+    )
+    frames = table(spark, sf, "part").select(F.col("p_partkey").alias("frame_id")).filter(k % 15 != 7)
+    return frames.select("frame_id", F.explode(F.array_compact(rows)).alias("m")).select("frame_id", "m.*")
+
+
+def fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The entered field of every frame; some have a second one, of another kind, over the whole frame."""
+    field = lambda n, kind, a, b: F.struct(F.lit(n).alias("field_id"), F.lit(kind).alias("kind"), *(F.lit(v).alias(s) for s, v in (("left", a), ("top", a), ("right", b), ("bottom", b))))
+    k = F.col("frame_id")
+    rows = F.array_compact(F.array(field(0, "EMAIL", 4, 24), F.when(k % 10 == 3, field(1, "NAME", 0, 40))))
+    frames = table(spark, sf, "part").select(F.col("p_partkey").alias("frame_id"))
+    return frames.select("frame_id", F.explode(rows).alias("f")).select("frame_id", "f.*")
+
+
 def sightings(spark: SparkSession, sf: str) -> DataFrame:
     """Private values as they are seen, four per customer; session = nation."""
     return sightings_of(spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))

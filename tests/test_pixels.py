@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import boxes as B
 from hushlake.operators import glyphs as Y
+from hushlake.operators import masks as M
 from hushlake.operators import pixels as Z
 from hushlake.operators.detector import run_detector
 from hushlake.sources import frames as R
@@ -41,10 +42,27 @@ def test_pixels_and_painting(spark, shots):
     images = R.read_images(spark, str(folder / "a.png")).withColumn("frame_id", F.lit(1).cast("long"))
     rows = {(r.x, r.y): r.rgb for r in Z.frame_pixels(images).collect()}
     assert rows == {(x, y): int(a[y, x, 0]) << 16 | int(a[y, x, 1]) << 8 | int(a[y, x, 2]) for y in range(4) for x in range(6)}
-    mask = F.array(F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"), F.lit(3).alias("width"), F.lit(1).alias("height")))
-    after = {(r.x, r.y): r.rgb for r in Z.frame_pixels(Z.paint_images(images.withColumn("masks", mask))).collect()}
-    assert {k for k in rows if after[k] != rows[k]} == {(1, 2), (2, 2), (3, 2)}
-    assert {after[k] for k in ((1, 2), (2, 2), (3, 2))} == {Z.MASK_RGB}
+    masks = spark.createDataFrame(
+        [(1, "EMAIL", 1, 2, 3, 1), (1, "NAME", 2, 2, 1, 1), (1, "NAME", -5, -5, 2, 2), (1, "NAME", 5, 3, 10**6, 10**6), (1, "NAME", 0, 0, None, 1), (2, "NAME", 0, 0, 9, 9)],
+        "frame_id long, kind string, x int, y int, width int, height int",
+    )
+    after = {(r.x, r.y): r.rgb for r in Z.frame_pixels(Z.paint_images(images, masks)).collect()}
+    painted = {(1, 2), (2, 2), (3, 2), (5, 3)}
+    assert {k for k in rows if after[k] != rows[k]} == painted
+    assert {after[k] for k in painted} == {M.MASK_RGB}
+    assert Z.paint_images(images, masks.filter("frame_id = 2")).first().data == images.first().data
+
+
+def test_painting_keeps_every_image(spark):
+    images = spark.createDataFrame(
+        [(None, 2, 1, 1, bytearray(b"ab")), (1, 0, 0, 3, bytearray()), (2, 1, 1, 4, bytearray(b"abcd")), (2, 1, 1, 4, bytearray(b"efgh")), (3, None, None, None, None)],
+        "frame_id long, width int, height int, channels int, data binary",
+    )
+    masks = spark.createDataFrame([(None, "NAME", 1, 0, 5, 5), (2, "NAME", 0, 0, 1, 1), (1, "NAME", 0, 0, 9, 9)], "frame_id long, kind string, x int, y int, width int, height int")
+    got = sorted(((r.frame_id, bytes(r.data) if r.data is not None else None) for r in Z.paint_images(images, masks).collect()), key=repr)
+    colour = bytes([0x35, 0x24, 0x18, 0xFF])
+    assert got == sorted([(None, b"a\x18"), (1, b""), (2, colour), (2, colour), (3, None)], key=repr)
+    assert Z.frame_pixels(images.filter("frame_id IS NULL OR frame_id <> 3")).count() == 4
 
 
 def test_scaled_box_covers_touched_pixels(spark):
