@@ -31,9 +31,10 @@ def region_scan(regions: DataFrame) -> DataFrame:
 
 
 def fail_closed(scanned: DataFrame) -> DataFrame:
-    """Keep only frames without a single bad region; one error withholds its whole frame."""
-    bad = scanned.filter(F.col("status") != "ok").select(*KEY).distinct()
-    return scanned.join(bad, KEY, "left_anti").drop("status")
+    """Keep only frames without a single bad region; one error withholds its whole frame, also one with NULL keys."""
+    bad = scanned.filter(F.col("status") != "ok").select(*(F.col(k).alias(f"_bad_{k}") for k in KEY)).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_bad_{k}")) for k in KEY])
+    return scanned.join(bad, same, "left_anti").drop("status")
 
 
 def reading_order(regions: DataFrame) -> DataFrame:

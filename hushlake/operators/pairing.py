@@ -122,8 +122,8 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     pairs = (
         left.join(
             right.withColumnsRenamed({"session_id": "_s", "frame_id": "_f", "_band": "_b"}),
-            (F.col("session_id") == F.col("_s"))
-            & (F.col("frame_id") == F.col("_f"))
+            F.col("session_id").eqNullSafe(F.col("_s"))
+            & F.col("frame_id").eqNullSafe(F.col("_f"))
             & (F.col("_band") == F.col("_b"))
             & (n["region_id"] != a["region_id"])
             & (is_below | beside),

@@ -189,3 +189,18 @@ def test_labels_without_a_session_or_a_frame_keep_their_own_value(spark):
     assert got == sorted(((s, f, "quiet-lantern-88", 0) for s, f, *_ in rows), key=str)
     kinds = [(r.session_id, r.frame_id, r.kind) for r in D.classify_frames(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(kinds, key=str) == sorted(((s, f, "SECRET") for s, f, *_ in rows), key=str)
+
+
+@pytest.mark.parametrize("keys", [(None, 1), (1, None), (None, None), (1, 1)])
+def test_values_on_the_next_line_of_frames_with_null_keys(spark, keys):
+    rows = [(*keys, 0, "Password:", 17, 10, 170, 18, 0.9), (*keys, 1, "hunter22x", 17, 35, 170, 18, 0.9)]
+    rows += [(*keys, 2, "Shipping address", 17, 200, 170, 18, 0.9), (*keys, 3, "47 Harbor Lane", 17, 225, 170, 18, 0.9), (*keys, 4, "Dover, DE 19901", 17, 250, 170, 18, 0.9)]
+    rows += [(*keys, 5, "Name", 400, 10, 60, 20, 0.9), (*keys, 6, "Ines Okafor", 520, 10, 130, 20, 0.9)]
+    got = values(D.classify_frames(spark.createDataFrame(rows, SCHEMA)))
+    assert {("SECRET", "hunter22x"), ("ADDRESS", "47 Harbor Lane\nDover, DE 19901"), ("NAME", "Ines Okafor")} <= got
+
+
+def test_one_bad_region_withholds_a_frame_with_null_keys(spark):
+    rows = [(None, 1, 0, "a", 1, 1, 5, 5, 0.9), (None, 1, 1, "b", 1, 1, 0, 5, 0.9), (None, 2, 0, "c", 1, 1, 5, 5, 0.9), (1, None, 0, "d", 1, 1, 5, 5, 0.9)]
+    kept = D.fail_closed(D.region_scan(spark.createDataFrame(rows, SCHEMA)))
+    assert {r.text for r in kept.collect()} == {"c", "d"}
