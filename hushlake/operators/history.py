@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushlake.operators.ordered import ROWS_PER_CHUNK, ordered, seq_chunk
+from hushlake.operators.ordered import ROWS_PER_CHUNK, even_chunk, ordered, seq_chunk
 
 # ---- fixed values -----------------------------------------------------------
 HISTORY_ENTRIES = 128
@@ -21,29 +21,31 @@ def _seq(width: int) -> Column:
     return seq_chunk(F.col("seq"), width)
 
 
-def observation_steps(observations: DataFrame, masks: Column, width: int = ROWS_PER_CHUNK) -> DataFrame:
+def observation_steps(observations: DataFrame, masks: Column, rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Successful observations with their step, frames and masks so far."""
     ready = observations.filter(F.col("status") == "ready")
-    return ordered(ready, SESSION, ["seq"], _seq(width), number="step", total={"masks": masks.cast("long")})
+    chunk = even_chunk(ready, SESSION, ["seq"], rows)
+    return ordered(ready, SESSION, ["seq"], chunk, number="step", total={"masks": masks.cast("long")})
 
 
-def frame_reuse(observations: DataFrame, width: int = ROWS_PER_CHUNK) -> DataFrame:
+def frame_reuse(observations: DataFrame, rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """``reused`` is true when a frame equals the last successfully protected one before it."""
     good = F.when(F.col("status") == "ready", F.col("frame_hash"))
-    seen = ordered(observations, SESSION, ["seq"], _seq(width), last={"_last": good})
+    seen = ordered(observations, SESSION, ["seq"], even_chunk(observations, SESSION, ["seq"], rows), last={"_last": good})
     return seen.withColumn("reused", F.coalesce(F.col("_last") == F.col("frame_hash"), F.lit(False))).drop("_last")
 
 
-def history_dedup(observations: DataFrame, width: int = ROWS_PER_CHUNK) -> DataFrame:
+def history_dedup(observations: DataFrame, rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """History entries: unchanged idle polls fold into the entry before them, failures add none.
 
     ``entry`` numbers the kept entries; every folded poll carries its entry's number.
     """
     ready = observations.filter(F.col("status") == "ready")
-    prior = ordered(ready, SESSION, ["seq"], _seq(width), lag={"_prev": F.col("frame_hash")})
+    chunk = even_chunk(ready, SESSION, ["seq"], rows)
+    prior = ordered(ready, SESSION, ["seq"], chunk, lag={"_prev": F.col("frame_hash")})
     kept = F.col("reason").isin(*ALWAYS_KEPT) | ~F.col("_prev").eqNullSafe(F.col("frame_hash"))
     flagged = prior.withColumn("kept", kept).drop("_prev")
-    return ordered(flagged, SESSION, ["seq"], _seq(width), total={"entry": F.col("kept").cast("long")})
+    return ordered(flagged, SESSION, ["seq"], chunk, total={"entry": F.col("kept").cast("long")})
 
 
 def history_retention(entries: DataFrame, max_entries: int = HISTORY_ENTRIES, max_bytes: int = HISTORY_BYTES) -> DataFrame:

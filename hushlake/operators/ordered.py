@@ -6,33 +6,102 @@ per-chunk summary (partial aggregation) carries counts, tails and totals from
 one chunk to the next, and the row-level window runs per ``(key, chunk)``.
 Results equal the plain window; NULL keys are a group like any other, and rows
 without an order value come first.
+
+``even_chunk`` cuts where the rows are, whatever the order column looks like: bursts, gaps, strays and sparse numbers.
+Chunks number at most one for every ``rows`` rows of the table, so the step that carries from chunk to chunk is that
+much smaller than the table, also for a key that owns all of it.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 1_000_000
+SAMPLES = 200  # rows a chunk that its bounds are taken from
+SEED = 42
 
 
 def seq_chunk(order: Column, width: int = ROWS_PER_CHUNK) -> Column:
-    """Chunk number of an integer position; a unique position bounds a chunk by ``width`` rows."""
+    """Chunk number of a dense integer position; a unique position bounds a chunk by ``width`` rows."""
     return ((order - F.pmod(order, F.lit(width))) / F.lit(width)).cast("long")
 
 
-def time_chunk(df: DataFrame, ts: str, rows: int = ROWS_PER_CHUNK) -> Column:
-    """Time slices sized from the table so that one holds about ``rows`` rows.
+def _number(df: DataFrame, name: str) -> Column:
+    """An order column as a number that ascends with it."""
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if kind == "date":
+        return F.unix_date(F.col(name)).cast("double")
+    if kind not in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        raise ValueError(f"no even chunks along a column of type {kind}")
+    return F.col(name).cast("double")
+
+
+def place_among(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are not above ``value`` (a double; NaN is above all, NULL stays NULL): a binary search."""
+    if not cuts:
+        return F.when(value.isNotNull(), F.lit(0).cast("long"))
+    bounds, state = F.lit(np.array(cuts, dtype=np.float64)), lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = F.get(bounds, middle) <= value
+        return F.when(s["low"] >= s["high"], s).when(above, state(middle + 1, s["high"])).otherwise(state(s["low"], middle))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    found = F.aggregate(steps, state(F.lit(0), F.lit(len(cuts))), halve, lambda s: s["low"].cast("long"))
+    return F.when(value.isNotNull(), found)
+
 
-    Reads one column and brings three scalars to the driver.
+def _cuts(sample: DataFrame, name: str, chunks: int) -> list[float]:
+    """Bounds of ``chunks`` equally full ranges, repeated where one value fills several."""
+    if chunks < 2:
+        return []
+    return sample.approxQuantile(name, [n / chunks for n in range(1, chunks)], 1 / (4 * chunks))
+
+
+def even_chunk(df: DataFrame, keys: list[str], order: list[str], rows: int = ROWS_PER_CHUNK) -> Column:
+    """Chunk number along ``order``: ascending, and about ``rows`` rows of the table in each, twice as many at most.
+
+    ``order``: numbers, dates or timestamps; the first column is cut. Where one key has more rows at a single value than
+    a chunk should hold, these are cut along the second column. Bounds come from quantiles of a seeded sample of 200 rows a
+    chunk; the driver gets one number for each chunk. A table of up to ``rows`` rows is one chunk and is only counted.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    low, high, n = df.agg(F.min(micros), F.max(micros), F.count(F.lit(1))).first()
-    if not n:
+    n = df.count()
+    chunks = -(-n // rows)
+    if chunks < 2:
         return F.lit(0).cast("long")
-    slices = max(1, -(-n // rows))
-    width = max(1, -(-(high - low + 1) // slices))
-    return seq_chunk(micros - F.lit(low), width)
+    at = _number(df, order[0])
+    then = _number(df, order[1]) if len(order) > 1 else F.lit(None).cast("double")
+    share = min(1.0, chunks * SAMPLES / n)
+    sample = df.select(*keys, at.alias("_at"), then.alias("_then"))
+    sample = sample.sample(share, SEED) if share < 1 else sample
+    cuts = _cuts(sample.select("_at"), "_at", chunks)
+    bounds = sorted(set(cuts))
+    first = F.coalesce(place_among(at, bounds), F.lit(-1).cast("long"))
+    if len(order) < 2:
+        return first
+    # values that fill a chunk of one key alone (NULL among them) lie at the start of their chunk, if it is a bound
+    most = rows * share
+    full = sample.groupBy(*keys, "_at").count().filter((F.col("count") > most) & (F.col("_at").isNull() | F.col("_at").isin(bounds)))
+    heavy = [r[0] for r in full.select("_at").distinct().collect()]  # a chunk each at least
+    if not heavy:
+        return first
+    known = sorted(v for v in heavy if v is not None)
+    is_heavy = lambda c: (c.isin(known) if known else F.lit(False)) | (c.isNull() if None in heavy else F.lit(False))
+    inside = sample.filter(F.coalesce(is_heavy(F.col("_at")), F.lit(False)))
+    more = sorted(set(_cuts(inside.select("_then"), "_then", max(2, round(inside.count() / most)))))
+    second = F.coalesce(place_among(then, more), F.lit(-1).cast("long")) + 1
+    beyond = len(more) + 2
+    return first * (beyond + 1) + F.when(F.coalesce(is_heavy(at), F.lit(False)), second).otherwise(F.lit(beyond).cast("long"))
+
+
+def time_chunk(df: DataFrame, ts: str, rows: int = ROWS_PER_CHUNK) -> Column:
+    """Time slices that hold about ``rows`` rows each."""
+    return even_chunk(df, [], [ts], rows)
 
 
 def ordered(
