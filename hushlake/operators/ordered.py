@@ -63,17 +63,17 @@ def _cuts(sample: DataFrame, name: str, chunks: int) -> list[float]:
     return sample.approxQuantile(name, [n / chunks for n in range(1, chunks)], 1 / (4 * chunks))
 
 
-def even_chunk(df: DataFrame, keys: list[str], order: list[str], rows: int = ROWS_PER_CHUNK) -> Column:
+def even_chunk(df: DataFrame, keys: list[str], order: list[str], rows: int = ROWS_PER_CHUNK) -> Column | None:
     """Chunk number along ``order``: ascending, and about ``rows`` rows of the table in each, twice as many at most.
 
     ``order``: numbers, dates or timestamps; the first column is cut. Where one key has more rows at a single value than
     a chunk should hold, these are cut along the second column. Bounds come from quantiles of a seeded sample of 200 rows a
-    chunk; the driver gets one number for each chunk. A table of up to ``rows`` rows is one chunk and is only counted.
+    chunk; the driver gets one number for each chunk. A table of up to ``rows`` rows is only counted: None, no chunks.
     """
     n = df.count()
     chunks = -(-n // rows)
     if chunks < 2:
-        return F.lit(0).cast("long")
+        return None
     at = _number(df, order[0])
     then = _number(df, order[1]) if len(order) > 1 else F.lit(None).cast("double")
     share = min(1.0, chunks * SAMPLES / n)
@@ -99,7 +99,7 @@ def even_chunk(df: DataFrame, keys: list[str], order: list[str], rows: int = ROW
     return first * (beyond + 1) + F.when(F.coalesce(is_heavy(at), F.lit(False)), second).otherwise(F.lit(beyond).cast("long"))
 
 
-def time_chunk(df: DataFrame, ts: str, rows: int = ROWS_PER_CHUNK) -> Column:
+def time_chunk(df: DataFrame, ts: str, rows: int = ROWS_PER_CHUNK) -> Column | None:
     """Time slices that hold about ``rows`` rows each."""
     return even_chunk(df, [], [ts], rows)
 
@@ -108,7 +108,7 @@ def ordered(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
+    chunk: Column | None,
     *,
     number: str | None = None,
     lag: dict[str, Column] | None = None,
@@ -123,8 +123,17 @@ def ordered(
     lead    value of the following row
     last    last non-null value among the preceding rows
     total   running sum including the row itself
+
+    Without chunks (None: the whole table is no more than a chunk should hold) these are plain windows.
     """
     lag, lead, last, total = lag or {}, lead or {}, last or {}, total or {}
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        prior, upto = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(Window.unboundedPreceding, 0)
+        out = [F.row_number().over(whole).cast("long").alias(number)] if number else []
+        out += [F.lag(c).over(whole).alias(n) for n, c in lag.items()] + [F.lead(c).over(whole).alias(n) for n, c in lead.items()]
+        out += [F.last(c, ignorenulls=True).over(prior).alias(n) for n, c in last.items()]
+        return df.select("*", *out, *(F.sum(c).over(upto).alias(n) for n, c in total.items()))
     at = F.struct(*order)
     data = df.withColumn("_chunk", chunk)
     source = {}

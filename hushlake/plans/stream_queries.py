@@ -34,7 +34,8 @@ def stream_findings(spark, sf):
 @query("stream_vault", S.with_ctes(S.SIGHTINGS, S.VAULT) + "SELECT session_id, kind, value, token, first_seq, blocked FROM vault")
 def stream_vault(spark, sf):
     path = work_dir(spark, "vault")
-    run_batches(X.sightings_of(table_stream(spark, sf, "customer", F.col("c_custkey"))), W.vault_writer(path), path)
+    seen = X.sightings_of(table_stream(spark, sf, "customer", F.col("c_custkey")))
+    run_batches(W.first_sightings(seen), W.vault_writer(path), path, "update")
     return W.read_vault(spark, path)
 
 
@@ -74,7 +75,7 @@ def stream_history(spark, sf):
     path = work_dir(spark, "history")
     stream = _ready(spark, sf).select("session_id", F.col("event_id").alias("seq"), "frame_hash", "n_bytes")
     run_batches(stream, W.history_writer(path, HISTORY), path)
-    return W.last_batch(spark, path, HISTORY)
+    return W.history_table(path, HISTORY).read(spark)
 
 
 def _timed_requests(spark, sf):
