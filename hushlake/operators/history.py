@@ -95,6 +95,47 @@ def detector_latency(observations: DataFrame) -> DataFrame:
     )
 
 
+SLICE = "1 hour"
+KEPT_BITS = 7  # of a number after its first: its bucket is at most 1/128 below it
+
+
+def bucket_of(number: Column) -> Column:
+    """A non-negative whole number with all but its first 8 binary digits cleared; whole arithmetic, so equal on every engine."""
+    dropped = F.greatest(F.lit(0), F.length(F.bin(number)) - (KEPT_BITS + 1)).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", number.cast("long"), dropped), dropped)
+
+
+def latency_slices(observations: DataFrame, ts: str = "ts", size: str = SLICE) -> DataFrame:
+    """Sketches of processing times to be stored: ``session_id, reused, slice, bucket, frames, total_ms, max_ms``.
+
+    One row for each bucket in use of a session's time slice, at most 7,300 a slice whatever the number of frames. Slices of any span merge
+    by adding up (:func:`latency_of`), without the frames. Rows without a time or a latency are not in it; negative times count as 0.
+    """
+    known = observations.filter(F.col(ts).isNotNull() & F.col("latency_ms").isNotNull())
+    ms = F.greatest(F.lit(0), F.col("latency_ms")).cast("long")
+    slices = F.window(F.col(ts).cast("timestamp"), size)["start"].alias("slice")
+    return known.groupBy(*SESSION, "reused", slices, bucket_of(ms).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("frames"), F.sum(ms).alias("total_ms"), F.max(ms).alias("max_ms")
+    )
+
+
+def latency_of(slices: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Merged sketches: ``by``, exact ``frames, total_ms, max_ms``, and the quantiles ``shares`` (name to share).
+
+    A quantile is the bucket of the smallest time that at least this share of the frames does not exceed: at most 1/128
+    below the exact one, and exact below 256 ms.
+    """
+    merged = slices.groupBy(*by, "bucket").agg(*(f(c).alias(c) for f, c in ((F.sum, "frames"), (F.sum, "total_ms"), (F.max, "max_ms"))))
+    upto = Window.partitionBy(*by).orderBy("bucket")  # buckets of one key: 7,300 at most
+    whole = Window.partitionBy(*by)
+    ranked = merged.withColumn("_upto", F.sum("frames").over(upto)).withColumn("_all", F.sum("frames").over(whole))
+    quantile = lambda share: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * share), F.col("bucket")))
+    return ranked.groupBy(*by).agg(
+        F.sum("frames").alias("frames"), F.sum("total_ms").alias("total_ms"), F.max("max_ms").alias("max_ms"),
+        *(quantile(share).alias(name) for name, share in shares.items()),
+    )
+
+
 def trace_review(events: DataFrame, halt_at: int = 3) -> DataFrame:
     """Counts of value-free event kinds; repeated denials halt, some warn."""
     counts = events.groupBy(*SESSION).agg(

@@ -8,6 +8,7 @@ from hushlake.operators import history as H
 from hushlake.plans import fixture_sql as S
 from hushlake.plans import fixtures as X
 from hushlake.plans.registry import query
+from hushlake.plans.storage import materialize
 from hushlake.plans.text_queries import scrub_sql
 
 OBS = S.with_ctes(S.OBSERVATIONS)
@@ -119,6 +120,23 @@ def detector_latency(spark, sf):
     return H.detector_latency(H.frame_reuse(X.observations(spark, sf)))
 
 
+@query(
+    "detector_latency_sketch",
+    OBS
+    + """, u AS (SELECT *, coalesce(frame_hash = last_value(CASE WHEN status = 'ready' THEN frame_hash END IGNORE NULLS)
+      OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS reused FROM observations),
+    b AS (SELECT session_id, reused, date_trunc('day', ts) AS day, latency_ms, (latency_ms >> greatest(0, length(bin(latency_ms)) - 8)) << greatest(0, length(bin(latency_ms)) - 8) AS bucket FROM u),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session_id, reused, day ORDER BY bucket) AS place, count(*) OVER (PARTITION BY session_id, reused, day) AS n FROM b)
+    SELECT session_id, reused, day, count(*) AS frames, sum(latency_ms)::BIGINT AS total_ms, max(latency_ms) AS max_ms,
+      min(bucket) FILTER (place >= ceil(n * 0.5::DOUBLE)) AS p50_ms, min(bucket) FILTER (place >= ceil(n * 0.9::DOUBLE)) AS p90_ms FROM r GROUP BY 1, 2, 3""",
+)
+def detector_latency_sketch(spark, sf):
+    """Days merged from stored hours: the frames are not read again."""
+    hours = materialize(H.latency_slices(H.frame_reuse(X.observations(spark, sf))), "latency")
+    days = hours.withColumn("day", F.date_trunc("day", "slice").cast("timestamp_ntz"))
+    return H.latency_of(days, ["session_id", "reused", "day"], {"p50_ms": 0.5, "p90_ms": 0.9})
+
+
 EVENT_KINDS = """kinds AS (SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'completed' WHEN 'click' THEN 'action'
   WHEN 'purchase' THEN CASE WHEN latency_ms % 40 = 0 THEN 'denied' ELSE 'stopped' END ELSE 'preview' END AS kind FROM observations)"""
 

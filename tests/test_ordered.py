@@ -1,12 +1,14 @@
 """Chunked ordered columns equal plain windows, whatever the chunk size."""
 
 import bisect
+import math
 import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hushlake.operators import history as H
 from hushlake.operators.ordered import even_chunk, ordered, place_among, seq_chunk, time_chunk
 
 
@@ -96,3 +98,20 @@ def test_times_and_dates_are_ordered_columns(spark):
         assert max(sizes) <= 200
     with pytest.raises(ValueError, match="string"):
         even_chunk(df, [], ["s"], 100)
+
+
+def test_latency_sketches_merge_within_their_error(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, None]), rng.random() < 0.5, n * 37, rng.choice([rng.randrange(300), int(rng.expovariate(1e-4)), 2**45, -5, None])) for n in range(4000)]
+    frames = spark.createDataFrame(rows, "session_id int, reused boolean, second long, latency_ms long").withColumn("ts", F.timestamp_seconds("second"))
+    hours = H.latency_slices(frames)
+    shares = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    got = {(r.session_id, r.reused): r for r in H.latency_of(hours, ["session_id", "reused"], shares).collect()}
+    direct = H.latency_slices(frames, size="1000 days")
+    assert {tuple(r) for r in H.latency_of(direct, ["session_id", "reused"], shares).collect()} == {tuple(r) for r in got.values()}
+    for key, r in got.items():
+        times = sorted(max(0, ms) for s, reused, _, ms in rows if (s, reused) == key and ms is not None)
+        assert (r.frames, r.total_ms, r.max_ms) == (len(times), sum(times), times[-1])
+        for name, share in shares.items():
+            exact = times[math.ceil(len(times) * share) - 1]
+            assert exact - exact / 128 <= r[name] <= exact and (exact >= 256 or r[name] == exact)
