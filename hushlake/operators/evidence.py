@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlake.operators.contains import present_values
-from hushlake.operators.ordered import ROWS_PER_CHUNK, ordered, seq_chunk
+from hushlake.operators.ordered import ROWS_PER_CHUNK, even_chunk, ordered, seq_chunk
+from hushlake.plans.storage import materialize
 
 TURN_LIMIT = 35  # fixed value
 MINIMUM_FRAMES = 2  # fixed value
@@ -192,13 +193,21 @@ def turn_limit(requests: DataFrame, limit: int = TURN_LIMIT) -> DataFrame:
     return first.join(runs, "run_id").select("run_id", "step", "turn", "limit_reached")
 
 
+#: What the verdict reads of a record; of the payload only whether there is one.
+AUDITED = (
+    "run_id", "step", "status", "request_id", "response_id", "response_model", "input_tokens", "payload", "images", "image_hash", "frame_hash",
+    "previous_response_id", "result_call_id", "calls", "results", "transmitted", "http_status", "source", "model",
+)
+
+
 def audit_verdict(requests: DataFrame, strings: DataFrame, private: DataFrame, model: str, source: str = "web") -> DataFrame:
     """One row per run with every reason code of its records, links, tool results, images, transport and strings.
 
     ``requests`` needs the columns of :func:`record_codes`, ``previous_response_id, result_call_id, calls, results,
     transmitted, http_status, source, model``; ``strings`` and ``private`` are those of :func:`leak_scan`.
     """
-    linked = with_previous(requests, ["response_id", "calls"])
+    requests = materialize(requests.select(*AUDITED).withColumn("payload", F.when(F.col("payload").isNotNull(), "")), "audit")  # read four times
+    linked = ordered(requests, ["run_id"], ["step"], even_chunk(requests, ["run_id"], ["step"]), lag={"previous": F.struct("response_id", "calls")})
     good = lambda column: F.coalesce(column, F.lit(False))
     extra = F.size(F.array_except("images", F.array("image_hash"))) > 0
     codes = [
