@@ -199,13 +199,41 @@ def histories(captures: DataFrame) -> DataFrame:
     return buckets.mapInArrow(merge, f"{CDX}, bucket int, nth long")
 
 
+def verified(read: DataFrame) -> DataFrame:
+    """:func:`read_archives` without payloads; size and digest are those of the payload as it was read.
+
+    A response's payload is measured and hashed again. A revisit has what the response it refers to has: the one of its
+    page_id whose payload, as read, has the revisit's digest. A record that differs from its headers, or a revisit without
+    such a response, fails the job.
+    """
+    payload = F.coalesce("payload", F.lit(""))
+    size, digest = F.octet_length(payload).cast("long"), base32(F.sha1(F.encode(payload, "utf-8")))
+    revisit = F.col("record_type").eqNullSafe("revisit")
+    sound = size.eqNullSafe(F.col("payload_bytes")) & digest.eqNullSafe(F.col("payload_digest")) & F.col("record_type").eqNullSafe("response")
+    name = F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")))
+    found = read.select(
+        "url", "captured", "page_id", "record_type", "refers_to",
+        F.when(revisit, F.col("payload_digest")).when(sound, digest).otherwise(F.raise_error(name)).alias("payload_digest"),
+        F.when(~revisit, size).alias("payload_bytes"),
+    )
+    found = materialize(found, "read")
+    responses = found.filter("record_type = 'response'").select(
+        F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest"), F.col("payload_bytes").alias("of_bytes")
+    ).distinct()
+    again = found.filter("record_type = 'revisit'")
+    met = again.join(responses, (F.col("refers_to") == F.col("of_page")) & (F.col("payload_digest") == F.col("of_digest")), "left")
+    met = met.withColumn("payload_bytes", F.when(F.col("of_bytes").isNotNull(), F.col("of_bytes")).otherwise(F.raise_error(name)))
+    return found.filter("record_type = 'response'").unionByName(met.select(*found.columns))
+
+
 def archive(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` to WARC files in the shared folder, reads them back and returns their merged capture histories
-    with the payload's size and digest as read: one row for each row of ``pages``."""
+    with the payload's size and digest as read (:func:`verified`): one row for each row of ``pages``. Null payloads are empty, repeated
+    rows are records of their own, and null ids and URLs sort first."""
     spark, info = pages.sparkSession, str(uuid.uuid4())
     folder = work_dir(spark, "warc")
     write_archives(records(pages), folder, info)
-    read = read_archives(spark, folder, info)
+    read = verified(read_archives(spark, folder, info))
     index = materialize(
         read.select(
             url_key(F.col("url")).alias("url_key"), "captured", "page_id", "record_type", "refers_to",

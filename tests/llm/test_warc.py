@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hushlake.llm.warc import LoserTree, archive, base32, histories, read_archives, records, url_key, write_archives
+from hushlake.llm.warc import LoserTree, archive, base32, histories, read_archives, records, url_key, verified, write_archives
 from hushlake.plans.storage import work_dir
 from tests.llm.conftest import PAGES
 
@@ -59,6 +59,28 @@ def test_files_are_warc_records_and_give_payloads_back(spark, pages):
     assert count == len(ROWS)
 
 
+def test_damaged_archives_fail(spark, tmp_path):
+    """A payload that was changed or cut, or a response that is gone, does not give the rows of the whole archive."""
+    rows = [(1, "http://a.example/x", "first page"), (2, "http://a.example/y", "first page"), (3, "http://a.example/z", "another")]
+    folder = work_dir(spark, "warc")
+    write_archives(records(spark.createDataFrame([(*r, "p", "r") for r in rows], PAGES).coalesce(1)), folder, "one")
+    data = b"".join(gzip.decompress(r.content) for r in spark.read.format("binaryFile").load(f"{folder}/*.gz").collect())
+
+    def got(name, data):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.txt.gz").write_bytes(gzip.compress(data))
+        found = verified(read_archives(spark, str(tmp_path / name), "one"))
+        return sorted((r.page_id, r.payload_bytes, r.record_type) for r in found.collect())
+
+    assert got("whole", data) == [(1, 10, "response"), (2, 10, "revisit"), (3, 7, "response")]
+    parts = data.split(b"WARC/1.1\r\n")
+    gone = b"WARC/1.1\r\n".join(p for p in parts if b"<urn:page:1>\r\nWARC-Date" not in p)
+    for name, broken in {"changed": data.replace(b"another", b"an0ther"), "cut": data.replace(b"another", b"anoth"), "gone": gone}.items():
+        assert broken != data
+        with pytest.raises(Exception, match="damaged record of page"):
+            got(name, broken)
+
+
 def test_base32_and_keys(spark):
     texts = [str(n) for n in range(50)]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", base32(F.sha1("t")).alias("d")).collect()
