@@ -16,7 +16,7 @@ TOGETHER = 64  # index blocks that one search reads in turn, each with what the
 MOST_PARTITIONS = 20_000
 BOUND = 3.0  # standard deviations of the estimate that count as possible
 SEED = 10
-FIELDS = "block long, dim int, ids binary, codes binary, factors binary, vectors binary"
+FIELDS = "block long, dim int, ids binary, rows binary, codes binary, factors binary, vectors binary"
 PAIRS = 1 << 16  # vectors that are scored together
 
 
@@ -49,7 +49,7 @@ def usable(vector: F.Column) -> F.Column:
 
 
 def blocks(rows: DataFrame, coded: bool = True) -> DataFrame:
-    """``rows`` (``vec_id, vector`` of doubles) as blocks of vectors of one length, with their codes if ``coded``."""
+    """``rows`` (``row, vec_id, vector`` of doubles) as blocks of vectors of one length, with their codes if ``coded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,12 +60,12 @@ def blocks(rows: DataFrame, coded: bool = True) -> DataFrame:
                 for at in range(0, len(picked), BLOCK):
                     own = picked[at : at + BLOCK]
                     vectors = lists.take(pa.array(own)).flatten().to_numpy().reshape(-1, dim)
-                    ids = batch.column("vec_id").to_numpy()[own]
+                    ids, numbers = batch.column("vec_id").to_numpy()[own], batch.column("row").to_numpy()[own]
                     packed, factors = codes_of(vectors) if coded else (np.zeros(0, np.uint8), np.zeros(0))
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "block": pa.array([int(ids[0])], pa.int64()), "dim": pa.array([dim], pa.int32()),
-                            "ids": [ids.tobytes()], "codes": [packed.tobytes()], "factors": [factors.tobytes()],
+                            "block": pa.array([int(numbers[0])], pa.int64()), "dim": pa.array([dim], pa.int32()),
+                            "ids": [ids.tobytes()], "rows": [numbers.tobytes()], "codes": [packed.tobytes()], "factors": [factors.tobytes()],
                             "vectors": [vectors.tobytes()],
                         }
                     )
@@ -89,8 +89,8 @@ def scores(vectors: np.ndarray, queries: np.ndarray, row: np.ndarray, query: np.
 class Search:
     """The nearest found so far of the queries of one block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        self.ids, self._vectors, self._k = ids, vectors, k
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.rows, self._vectors, self._k = ids, rows, vectors, k
         self._turned = (vectors @ rotation(vectors.shape[1])).astype(np.float32)
         self._length = np.linalg.norm(vectors, axis=1).astype(np.float32)
         self.query, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -104,7 +104,7 @@ class Search:
         least[full] = self.score[ends[full] - 1]
         return least
 
-    def read(self, ids: np.ndarray, codes: np.ndarray, factors: np.ndarray, vectors: np.ndarray) -> None:
+    def read(self, ids: np.ndarray, numbers: np.ndarray, codes: np.ndarray, factors: np.ndarray, vectors: np.ndarray) -> None:
         """Estimates all products from the bits, and scores the vectors that may be among the k nearest."""
         width = self._turned.shape[1]
         signs = np.unpackbits(codes, axis=1)[:, :width].astype(np.float32) * 2 - 1
@@ -115,7 +115,7 @@ class Search:
             part = slice(at, at + 256)
             guess = (self._turned[part] @ signs.T) * (scale / np.float32(np.sqrt(width)))
             error = self._length[part, None] * spread * np.float32(BOUND)
-            own = self.ids[part, None] == ids[None, :]
+            own = self.rows[part, None] == numbers[None, :]
             bar = least[part]
             if len(ids) > self._k:
                 low = np.where(own, -np.inf, guess - error)
@@ -141,18 +141,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows but the query's own; ties go to the
     smaller vec_id. Rows without a vec_id, and vectors that are null, zero or hold a null or non-finite component take no
-    part; vectors meet those of their own length only. Of rows that repeat a vec_id the smallest vector counts.
+    part; vectors meet those of their own length only. Rows that repeat a vec_id are candidates, and queries, each of its own.
     Query blocks meet index blocks by a key of query block and group of index blocks; each search keeps k rows of a query.
     """
     rows = vectors.select(
         vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("vector")
     ).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # a row keeps its number
     index = materialize(blocks(rows), "onebit")
     asked = materialize(blocks(rows.filter(F.col("vec_id") % every == 0), coded=False), "asked")
     groups = max(1, index.count() // TOGETHER)
     group = F.pmod(F.xxhash64("block"), F.lit(groups))
-    asked = asked.select(F.col("block").alias("search"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = asked.select(F.col("block").alias("search"), "dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"))
     keys = asked.select("search", F.col("dim").alias("of_dim"))
     left = index.withColumn("group", group).join(keys, F.col("dim") == F.col("of_dim")).drop("of_dim")
     right = asked.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
@@ -166,8 +166,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         def told() -> Iterator[pa.RecordBatch]:
             if search is not None and len(search.query):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(search.ids[search.query]), pa.array(search.found), pa.array(search.score)],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(search.rows[search.query]), pa.array(search.ids[search.query]), pa.array(search.found), pa.array(search.score)],
+                    ["query_row", "query_id", "vec_id", "score"],
                 )
 
         for batch in batches:
@@ -178,14 +178,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 if now != key:
                     yield from told()
                     ids = np.frombuffer(one["q_ids"].as_buffer(), np.int64)
-                    key, search = now, Search(ids, np.frombuffer(one["q_vectors"].as_buffer()).reshape(-1, dim), k)
+                    numbers = np.frombuffer(one["q_rows"].as_buffer(), np.int64)
+                    key, search = now, Search(ids, numbers, np.frombuffer(one["q_vectors"].as_buffer()).reshape(-1, dim), k)
                 ids = np.frombuffer(one["ids"].as_buffer(), np.int64)
                 codes = np.frombuffer(one["codes"].as_buffer(), np.uint8).reshape(len(ids), -1)
                 factors = np.frombuffer(one["factors"].as_buffer()).reshape(-1, 2)
-                search.read(ids, codes, factors, np.frombuffer(one["vectors"].as_buffer()).reshape(-1, dim))
+                search.read(ids, np.frombuffer(one["rows"].as_buffer(), np.int64), codes, factors, np.frombuffer(one["vectors"].as_buffer()).reshape(-1, dim))
         yield from told()
 
-    part = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    part = met.mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

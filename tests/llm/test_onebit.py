@@ -16,18 +16,17 @@ def product(a, b):
 
 
 def slow(rows, every=20, k=20):
-    best = {}
+    known = []
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            v = [float(np.float32(x)) for x in v]
-            best[i] = min(v, best.get(i, v))
+            known.append((i, [float(np.float32(x)) for x in v]))
     out = []
-    for q in sorted(best):
+    for at, (q, x) in enumerate(known):
         if q % every == 0:
-            found = [(i, product(best[q], v)) for i, v in best.items() if i != q and len(v) == len(best[q])]
+            found = [(i, product(x, v)) for n, (i, v) in enumerate(known) if n != at and len(v) == len(x)]
             found.sort(key=lambda x: (-x[1], x[0]))
             out += [(q, n + 1, i, s) for n, (i, s) in enumerate(found[:k])]
-    return out
+    return sorted(out)
 
 
 def test_odd_vectors(spark):
@@ -43,6 +42,12 @@ def test_odd_vectors(spark):
     assert nearest(spark.createDataFrame([(20, [1.0], "", "", "")], SCHEMA)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    rows = [(20, [1.0, 0.0]), (5, [3.0, 1.0]), (5, [2.0, 9.0]), (20, [4.0, 0.0])]
+    got = sorted(map(tuple, nearest(spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA)).collect()))
+    assert got == [(20, 1, 5, 12.0), (20, 1, 20, 4.0), (20, 2, 5, 3.0), (20, 2, 5, 8.0), (20, 3, 5, 2.0), (20, 3, 20, 4.0)]
+
+
 @pytest.mark.parametrize("clusters", [0, 20])
 def test_recall(spark, monkeypatch, clusters):
     monkeypatch.setattr("hushlake.llm.onebit.BLOCK", 300)
