@@ -15,7 +15,8 @@ from tokenizers import Tokenizer
 
 from hushlake.llm.token_ids import TOKENIZER, may_lower
 
-HELD_WORDS, HELD_PIECES = 300_000, 200_000  # remembered by a worker, after which it forgets them all
+HELD_WORDS, HELD_PIECES = 200_000, 200_000  # remembered by a worker in each of two generations
+PLACE = (1 << 32) - 1  # of a queued pair's number: where its left symbol stands; its rank is above
 #: Words of a lower-case text of printable ASCII, where the pattern of the vocabulary file leaves no question of Unicode.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
 PRINTABLE = re.compile(r"[\x20-\x7e]*")
@@ -23,6 +24,25 @@ SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+class Generations:
+    """Remembers up to twice ``size`` values: what has not been asked for since the newer half filled up is forgotten."""
+
+    def __init__(self, size: int) -> None:
+        self._size, self._new, self._old = size, {}, {}
+
+    def get(self, key):
+        found = self._new.get(key)
+        if found is None and (found := self._old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self._new) >= self._size:
+            self._old, self._new = self._new, {}
+        self._new[key] = value
+        return value
+
+
 class Codec:
     """Word-level BPE as the vocabulary file describes it; the merges of a word and the way back are made here."""
 
@@ -34,11 +54,12 @@ class Codec:
         self._ids: dict[str, int] = model["vocab"]
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self._ids | self._special).items()}
-        self._merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Of two neighbouring ids, as one number: their rank (above ``PLACE``) and what they merge to.
+        self._merges: dict[int, tuple[int, int]] = {}
         for rank, (left, right) in enumerate(model["merges"]):
-            self._merges[self._ids[left], self._ids[right]] = (rank, self._ids[left + right])
-        self._known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[bytes, tuple[int, bytes, bytes]] = {}
+            self._merges[self._ids[left] << 32 | self._ids[right]] = (rank << 32, self._ids[left + right])
+        self._known = Generations(HELD_WORDS)
+        self.pieces = Generations(HELD_PIECES)
         self._marks = re.compile("|".join(map(re.escape, self._special)))
         #: Only cuts texts into words: which characters are letters depends on the library's edition of Unicode.
         self._library = Tokenizer.from_file(path)
@@ -53,26 +74,30 @@ class Codec:
     def _merge(self, word: str) -> list[int]:
         """Ids of one word: the pair of the lowest rank is merged first, of equal ranks the leftmost."""
         merges = self._merges.get
-        letters = [*word[:-1], word[-1] + self._end]
-        symbol = [self._ids[x] for x in letters if x in self._ids]
+        symbol = [self._ids[x] for x in [*word[:-1], word[-1] + self._end] if x in self._ids]
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(*found, left, *pair) for left, pair in enumerate(zip(symbol, symbol[1:], strict=False)) if (found := merges(pair))]
+        queue = [found[0] | left for left in range(n - 1) if (found := merges(symbol[left] << 32 | symbol[left + 1]))]
         heapq.heapify(queue)
         while queue:
-            _, merged, left, first, second = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            left = entry & PLACE
             right = after[left]
-            if symbol[left] != first or right == n or symbol[right] != second:
-                continue  # stale: one of the two has been merged since
-            symbol[left], symbol[right] = merged, -1
+            if symbol[left] < 0 or right == n:
+                continue  # stale: the left symbol has been merged, or nothing stands to its right any more
+            found = merges(symbol[left] << 32 | symbol[right])
+            if not found or found[0] | left != entry:
+                continue  # stale: one of the two has changed since
+            merged = symbol[left] = found[1]
+            symbol[right] = -1
             right = after[left] = after[right]
             if right < n:
                 before[right] = left
-                if found := merges((merged, symbol[right])):
-                    heapq.heappush(queue, (*found, left, merged, symbol[right]))
-            left = before[left]
-            if left >= 0 and (found := merges((symbol[left], merged))):
-                heapq.heappush(queue, (*found, left, symbol[left], merged))
+                if found := merges(merged << 32 | symbol[right]):
+                    heapq.heappush(queue, found[0] | left)
+            right, left = left, before[left]
+            if left >= 0 and (found := merges(symbol[left] << 32 | merged)):
+                heapq.heappush(queue, found[0] | left)
         return [s for s in symbol if s >= 0]
 
     def encode(self, piece: str) -> list[int]:
@@ -81,11 +106,9 @@ class Codec:
         for mark in [*(self._marks.finditer(piece) if "<|" in piece else ()), None]:
             plain = piece[at : mark.start() if mark else len(piece)]
             for word in self._words(plain):
-                if word not in self._known:
-                    if len(self._known) >= HELD_WORDS:
-                        self._known = {}
-                    self._known[word] = tuple(self._merge(word))
-                ids += self._known[word]
+                if (found := self._known.get(word)) is None:
+                    found = self._known.put(word, tuple(self._merge(word)))
+                ids += found
             if mark:
                 ids.append(self._special[mark.group()])
                 at = mark.end()
@@ -143,15 +166,16 @@ def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for doc_ids, texts in _rows(batches, 256):
-            if len(own.pieces) > HELD_PIECES:
-                own.pieces = {}
-            for piece in {piece for pieces in texts for piece in pieces}.difference(own.pieces):
-                ids = own.encode(piece.decode("utf-8", "replace"))
-                own.pieces[piece] = (len(ids), " ".join(map(str, ids)).encode(), own.decode(ids).encode())
+            known = {}
+            for piece in {piece for pieces in texts for piece in pieces}:
+                if (found := own.pieces.get(piece)) is None:
+                    ids = own.encode(piece.decode("utf-8", "replace"))
+                    found = own.pieces.put(piece, (len(ids), " ".join(map(str, ids)).encode(), own.decode(ids).encode()))
+                known[piece] = found
             totals, of_ids, of_text = [], [], []
             for pieces in texts:
                 # a piece of blanks beyond ASCII has no ids
-                found = [p for p in map(own.pieces.__getitem__, pieces) if p[0]]
+                found = [p for p in map(known.__getitem__, pieces) if p[0]]
                 totals.append(sum(p[0] for p in found))
                 of_ids.append(hashlib.sha256(b" ".join([p[1] for p in found])).hexdigest())
                 of_text.append(hashlib.sha256(b" ".join([p[2] for p in found])).hexdigest())

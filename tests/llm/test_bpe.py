@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from tokenizers import Tokenizer
 
-from hushlake.llm.bpe import codec, digests, encode_decode
+from hushlake.llm.bpe import Generations, codec, digests, encode_decode
 from hushlake.llm.token_ids import TOKENIZER
 from tests.llm.test_packing import TEXTS
 
@@ -40,3 +40,12 @@ def test_odd_documents(tokenizer, monkeypatch, odd_documents, odd_rows, no_docum
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert sorted((str(r.doc_id), len(r.ids), digest(" ".join(map(str, r.ids))), digest(r.decoded)) for r in full) == expected
     assert digests(no_documents).count() == encode_decode(no_documents).count() == 0
+
+
+def test_generations_keep_what_is_asked_for():
+    held = Generations(3)
+    for n in range(20):
+        held.put(n, (n,))
+        assert held.get(0) == (0,)  # asked for again and again
+        assert held.get(n) == (n,)
+    assert held.get(1) is None and len(held._new) + len(held._old) <= 6
