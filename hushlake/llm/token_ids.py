@@ -11,7 +11,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-HELD_PIECES = 600_000  # remembered, after which a worker forgets them all
+HELD_PIECES = 600_000  # remembered by a worker; beyond it the half that was not asked for the longest is forgotten
 LINE = 4096  # pieces that the tokenizer gets at once
 
 
@@ -28,12 +28,21 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
-        self._forget()
-
-    def _forget(self) -> None:
         self._number: dict[bytes, int] = {}
         self._ids = np.zeros(0, np.uint32)
         self._starts, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._asked, self._clock = np.zeros(0, np.int64), 0  # the call that last asked for a piece
+
+    def _forget(self, kept: int) -> None:
+        """Keeps the pieces that were asked for last."""
+        numbers = np.sort(np.argpartition(self._asked, len(self._asked) - kept)[len(self._asked) - kept :])
+        place = np.full(len(self._counts), -1)
+        place[numbers] = np.arange(kept)
+        self._number = {piece: now for piece, old in self._number.items() if (now := place[old]) >= 0}
+        counts, starts = self._counts[numbers], self._starts[numbers]
+        ends = np.cumsum(counts)
+        self._ids = self._ids[np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if kept else 0)]
+        self._counts, self._starts, self._asked = counts, ends - counts, self._asked[numbers]
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Encodes the pieces in long lines, which costs less than one call each; a token's place tells its piece."""
@@ -47,16 +56,19 @@ class PieceEncoder:
         self._number.update(zip(pieces, range(len(self._counts), len(self._counts) + len(pieces)), strict=True))
         self._ids, self._counts = np.concatenate(flat), np.concatenate(counts)
         self._starts = np.cumsum(self._counts) - self._counts
+        self._asked = np.concatenate([self._asked, np.zeros(len(pieces), np.int64)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8)."""
         if len(self._number) > HELD_PIECES:
-            self._forget()
+            self._forget(HELD_PIECES // 2)
         split = [(text.lower() if may_lower(text) else text).split() for text in texts]
         pieces = [piece for parts in split for piece in parts]
         if new := list(set(pieces).difference(self._number)):
             self._learn(new)
         numbers = np.fromiter(map(self._number.__getitem__, pieces), np.int64, len(pieces))
+        self._clock += 1
+        self._asked[numbers] = self._clock
         counts = self._counts[numbers]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0

@@ -6,9 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from hushlake.llm import token_ids
 from hushlake.llm.best_fit import Capacities, best_fit, matrices
 from hushlake.llm.cost_packing import CAPACITY, cost, pack, packed
 from hushlake.llm.token_ids import TOKENIZER, piece_encoder
+from tests.llm.conftest import words
 
 LENGTHS = st.lists(st.integers(1, 70), max_size=60)
 
@@ -125,3 +127,34 @@ TEXTS = st.lists(
 def test_pieces_encode_as_whole_texts(tokenizer, text):
     text = text.encode("utf-8", "ignore").decode()
     assert piece_encoder(TOKENIZER).encode([text.encode(), b""])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 70), max_size=25))
+def test_cost_packing_equals_a_plain_search(lengths):
+    """Longest piece first, each into the cheapest sequence with room; where none has room, the roomiest is filled."""
+    n, capacity = -(-sum(lengths) // 20), 20
+    held = [[0.0, 0] for _ in range(n)]  # cost and tokens
+    pieces = sorted((-min(capacity, size - at), doc, at) for doc, size in enumerate(lengths) for at in range(0, size, capacity))
+    want = []
+    for less, doc, at in pieces:
+        left = -less
+        while left:
+            open_ = [s for s in range(n) if capacity - held[s][1] >= left]
+            to = min(open_, key=lambda s: (held[s][0], s)) if open_ else max(range(n), key=lambda s: (capacity - held[s][1], -s))
+            part = min(left, capacity - held[to][1])
+            want.append((doc, at, part, to, held[to][1]))
+            held[to][0] += float(cost(part))
+            held[to][1] += part
+            at, left = at + part, left - part
+    assert pack(np.array(lengths, np.int64), capacity) == want
+
+
+def test_a_worker_that_forgets_encodes_alike(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_ids, "HELD_PIECES", 10)
+    encoder = token_ids.PieceEncoder(TOKENIZER)
+    for n in range(30):
+        texts = [" ".join(words(n + k, 9)) + " the and" for k in (0, 1)]
+        for ids, text in zip(encoder.encode([t.encode() for t in texts]), texts, strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder._number) == len(encoder._counts) <= 10 + 2 * 10
