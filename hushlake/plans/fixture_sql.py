@@ -105,7 +105,7 @@ MASKS = r"""masks AS (
   FROM part, range(4) AS r(n)
   WHERE p_partkey % 15 <> 7 AND (n < 2 OR n = 2 AND p_partkey % 4 = 1 OR n = 3 AND p_partkey % 6 = 2))"""
 
-FIELDS = r"""fields AS (
+ENTERED_FIELDS = r"""fields AS (
   SELECT p_partkey AS frame_id, 0 AS field_id, 'EMAIL' AS kind, 4 AS l, 4 AS t, 24 AS r, 24 AS b FROM part
   UNION ALL SELECT p_partkey, 1, 'NAME', 0, 0, 40, 40 FROM part WHERE p_partkey % 10 = 3)"""
 

@@ -241,7 +241,7 @@ def masks(spark: SparkSession, sf: str) -> DataFrame:
     return frames.select("frame_id", F.explode(F.array_compact(rows)).alias("m")).select("frame_id", "m.*")
 
 
-def fields(spark: SparkSession, sf: str) -> DataFrame:
+def entered_fields(spark: SparkSession, sf: str) -> DataFrame:
     """The entered field of every frame; some have a second one, of another kind, over the whole frame."""
     field = lambda n, kind, a, b: F.struct(F.lit(n).alias("field_id"), F.lit(kind).alias("kind"), *(F.lit(v).alias(s) for s, v in (("left", a), ("top", a), ("right", b), ("bottom", b))))
     k = F.col("frame_id")
