@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.plans.storage import materialize
@@ -131,19 +131,24 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as make them no column of ``docs``, whatever their case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``(doc_id, text)`` is in ``kept`` (``doc_id, text_hash``, as by :func:`text_hash`)."""
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (text_hash(docs["text"]) == kept["_kept_hash"])
+    of_id, of_hash = unused(docs, "_kept_id", "_kept_hash")
+    kept = kept.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (text_hash(F.col("text")) == F.col(of_hash))
     return docs.join(kept, same, "left_semi")
 
 
 def text_hash(text) -> F.Column:
     """Tells apart rows that share a doc_id."""
     return F.xxhash64(text)
-
-
-def first_rows(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id: that with the smallest text."""
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return docs.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").drop("_copy")

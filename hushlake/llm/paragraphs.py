@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.llm.components import cell_links, components
+from hushlake.llm.components import cell_links, components, unused
 from hushlake.plans.storage import materialize
 
 SHINGLE = 5  # words
@@ -183,9 +183,10 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 def drop_repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed paragraphs in ``text``; rows whose doc_id is null keep theirs."""
-    gone = repeated_paragraphs(docs, 1).filter("removed and doc_id is not null").groupBy(F.col("doc_id").alias("_of"))
-    gone = gone.agg(F.collect_set("paragraph").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == gone["_of"], "left")
-    lines = F.filter(F.split("text", "\n"), lambda _, n: ~F.array_contains(F.col("_gone"), n))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    of, lost = unused(docs, "_of", "_gone")
+    gone = repeated_paragraphs(docs, 1).filter("removed and doc_id is not null").groupBy(F.col("doc_id").alias(of))
+    gone = gone.agg(F.collect_set("paragraph").alias(lost))
+    joined = docs.join(gone, F.col("doc_id") == F.col(of), "left")
+    lines = F.filter(F.split("text", "\n"), lambda _, n: ~F.array_contains(F.col(lost), n))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     return joined.withColumn("text", text).select(*docs.columns)

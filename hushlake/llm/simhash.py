@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from hushlake.llm.components import cell_links, components, text_hash
+from hushlake.llm.components import cell_links, components, text_hash, unused
 from hushlake.llm.near_copies import near_copies
 from hushlake.plans.storage import materialize
 
@@ -132,8 +132,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_copies(docs)
     first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"))
     named = found.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    named = named.select(F.col("class").alias("_class"), F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (text_hash(F.col("text")) == F.col("_kept_hash"))
-    order = Window.partitionBy("_class").orderBy("text")
-    kept = docs.join(named.distinct(), same).withColumn("_copy", F.row_number().over(order)).filter("_copy = 1")
+    of_class, of_id, of_hash, copy = unused(docs, "_class", "_kept_id", "_kept_hash", "_copy")
+    named = named.select(F.col("class").alias(of_class), F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (text_hash(F.col("text")) == F.col(of_hash))
+    order = Window.partitionBy(of_class).orderBy("text")
+    kept = docs.join(named.distinct(), same).withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1)
     return kept.select(*docs.columns)

@@ -1,7 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from hushlake.llm.components import keep_rows, text_hash
+from hushlake.llm.paragraphs import drop_repeated_paragraphs
 from hushlake.llm.simhash import drop_near_duplicates
 from tests.llm.conftest import documents, words
 
@@ -47,3 +50,16 @@ def test_one_row_of_each_class_whatever_its_id(spark):
     rows = [(1, a), (1, b), (2, max(a, b)), (3, min(a, b)), (None, a), (None, c), (None, c), (None, c.upper()), (5, d), (5, d)]
     kept = [(r.doc_id, r.text) for r in drop_near_duplicates(documents(spark, rows)).collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, min(c, c.upper())), (5, d)], key=str)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ("_class", "_kept_id", "_Kept_Hash", "_copy", "_gone", "_of", "__of")
+    text = " ".join(words(5, 80))
+    docs = documents(spark, [(1, text), (2, text), (3, "another text of five words")])
+    for name in names:
+        docs = docs.withColumn(name, F.lit("own"))
+    for drop in (drop_near_duplicates, drop_repeated_paragraphs, lambda d: keep_rows(d, d.select("doc_id", text_hash(d["text"]).alias("text_hash")))):
+        out = drop(docs)
+        assert out.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {("own",) * len(names)}
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [1, 3]
