@@ -1,26 +1,31 @@
-"""Repeated and nearly repeated paragraphs across documents, by banded MinHash of word shingles."""
+"""Repeated and nearly repeated paragraphs and passages across documents, by banded MinHash of word shingles."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from hushlake.llm.components import cell_links, components, unused
 from hushlake.plans.storage import materialize
 
 SHINGLE = 5  # words
 SIMILAR = 0.8  # Jaccard similarity of two paragraphs' shingles from which on they are near copies
-LEAST_WORDS = 8  # of a paragraph that counts where a caller does not say otherwise; the query takes every line with a word
 FEW = 3  # so many shingles or fewer are similar to equal ones only: 3 of 4 are under 0.8
-ROWS = 3  # minima of a band
-BANDS = 10  # at similarity 0.8 some band agrees with probability 1 - (1 - 0.8 ** 3) ** 10 > 0.999
-_RANDOM = np.random.default_rng(5).integers(0, 2**64, (2, ROWS * BANDS), dtype=np.uint64)
+ROWS = 2  # minima of a band
+BANDS = 7  # at similarity 0.8 some band agrees with probability 1 - (1 - 0.8 ** 2) ** 7 > 0.999
+PASSAGE = 51  # so many words in a row that two texts share, wherever they stand, hold a unit of both
+UNIT = 16  # words of a unit of running text; a paragraph of fewer is a brief one
+WINDOW = PASSAGE - UNIT + 1  # shingles; the least of them marks where a unit begins
+PIECE = 1 << 20  # bytes of text that are cut into words together
+BUCKETS = 1 << 20  # bound of the set that keeps unshared paragraphs out of a shuffle
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,102 +34,157 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _paragraphs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """For pieces of a batch: doc_ids, and row, line number and lower-cased words of every paragraph that counts."""
-    for whole in batches:
-        for cut in range(0, whole.num_rows, 256):
-            batch = whole.slice(cut, 256)
-            row, place, words = [], [], []
-            for r, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-                for n, line in enumerate((text or b"").lower().split(b"\n")):  # of bytes: lowers A-Z only
-                    if len(parts := line.split()) >= least:
-                        row.append(r)
-                        place.append(n)
-                        words.append(parts)
-            if words:
-                yield batch.column("doc_id").take(pa.array(row)), np.array(place, np.int32), words
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[int], list[int], list[int], list[list[bytes]]]]:
+    """For pieces of a batch: doc_ids, and of every line with a word its row, number, first word's number and lower-cased words."""
+    for batch in batches:
+        first, size = 0, 0
+        row, place, start, words = [], [], [], []
+        for r, text in enumerate(batch.column("text").cast(pa.large_binary())):
+            blob = (text.as_py() or b"").lower()  # of bytes: lowers A-Z only
+            at = 0
+            for n, line in enumerate(blob.split(b"\n")):
+                if parts := line.split():
+                    row.append(r - first)
+                    place.append(n)
+                    start.append(at)
+                    words.append(parts)
+                    at += len(parts)
+            size += len(blob)
+            if size >= PIECE or r == batch.num_rows - 1:
+                if words:
+                    yield batch.column("doc_id").slice(first, r + 1 - first), row, place, start, words
+                first, size = r + 1, 0
+                row, place, start, words = [], [], [], []
 
 
 def digests(words: list[list[bytes]]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
 
 
+def _hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and how many each list has."""
+    counts = np.array([len(w) for w in words], np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(x) for w in words for x in w), np.uint64, int(counts.sum())), counts
+
+
+def _runs(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` words that begin at each word, as far as so many follow."""
+    n = max(0, len(hashes) - length + 1)
+    run = hashes[:n]
+    for k in range(1, length):
+        run = _mix(run * _STEP + hashes[k : n + k])
+    return run
+
+
 def shingles_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all paragraphs, and where each paragraph's start."""
-    counts = np.array([len(w) for w in words])
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(x) for w in words for x in w), np.uint64, int(counts.sum()))
+    hashes, counts = _hashes(words)
     ends = np.cumsum(counts)
-    run = hashes[: len(hashes) - SHINGLE + 1]
-    for n in range(1, SHINGLE):
-        run = _mix(run * _STEP + hashes[n : len(hashes) - SHINGLE + 1 + n])
+    run = _runs(hashes, SHINGLE)
     inside = np.ones(len(hashes), bool)  # shingles do not go over a paragraph's end
     for n in range(1, SHINGLE):
         inside[ends - n] = False
     return run[inside[: len(run)]], np.concatenate([[0], np.cumsum(counts - SHINGLE + 1)[:-1]])
 
 
-def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, starts: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """The cells of each set of shingles, one for every band of minima."""
-    cells = np.zeros((len(starts), BANDS), np.uint64)
-    for n in range(ROWS * BANDS):
-        low = np.minimum.reduceat(_mix(shingles * (_RANDOM[0, n] | np.uint64(1)) + _RANDOM[1, n]), starts)
-        cells[:, n // ROWS] = _mix(cells[:, n // ROWS] * _STEP + low + np.uint64(n))
+    random = np.random.default_rng(5).integers(0, 2**64, (2, rows * bands), dtype=np.uint64)
+    cells = np.zeros((len(starts), bands), np.uint64)
+    for n in range(rows * bands):
+        low = np.minimum.reduceat(_mix(shingles * (random[0, n] | np.uint64(1)) + random[1, n]), starts)
+        cells[:, n // rows] = _mix(cells[:, n // rows] * _STEP + low + np.uint64(n))
     return cells.view(np.int64)
 
 
-def _told(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
+    """``least`` (a minimum or maximum) of every ``width`` neighbouring values."""
+    size = 1
+    while 2 * size <= width:
+        values, size = least(values[:-size], values[size:]), 2 * size
+    return least(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
+
+
+def unit_starts(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where units begin among the words of several texts that end at ``ends``.
+
+    The MinHash of a stretch of ``WINDOW`` shingles is its least one (all of them, if equal); every stretch of a text marks
+    that word. Marks depend on the words of a stretch alone, so ``PASSAGE`` words that two texts share mark the same ones.
+    """
+    run = _runs(hashes, SHINGLE)
+    if len(run) < WINDOW:
+        return np.zeros(0, np.int64)
+    low = _sliding(run, WINDOW, np.minimum)
+    at = np.arange(len(low))
+    low[at + WINDOW + SHINGLE - 1 > ends[np.searchsorted(ends, at, "right")]] = 0  # over the end of a text
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    # no stretch around a shingle has a least one above it, so it is the least of one if the greatest of those is its own
+    high = _sliding(np.concatenate([edge, low, edge]), WINDOW, np.maximum)
+    starts = np.flatnonzero((high == run) & (high > 0))
+    return starts[starts + UNIT <= ends[np.searchsorted(ends, starts, "right")]]
+
+
+def _told(words: list[list[bytes]], hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
     """Ids of paragraphs, and which have more than ``FEW`` shingles, with the shingles of those.
 
     Equal ids are one text: the same words, or the same shingles where they are few. Only the others need cells.
     """
-    ids = digests(words)
-    long = [n for n, w in enumerate(words) if len(w) >= SHINGLE]
-    if not long:
-        return ids, np.zeros(0, np.int64), []
-    shingles, starts = shingles_of([words[n] for n in long])
+    ids, run = digests(words), _runs(hashes, SHINGLE)
     many, sets = [], []
-    for n, own in zip(long, np.split(shingles, starts[1:]), strict=True):
-        if len(own) <= FEW or len(set(words[n])) < SHINGLE + FEW:  # each further shingle brings one new word at most
+    for n, (w, end) in enumerate(zip(words, ends.tolist(), strict=True)):
+        if len(w) < SHINGLE:
+            continue
+        own = run[end - len(w) : end - SHINGLE + 1]
+        if len(own) <= FEW or len(set(w)) < SHINGLE + FEW:  # each further shingle brings one new word at most
             distinct = np.unique(own)
             if len(distinct) <= FEW:
                 ids[n] = xxhash.xxh3_64_intdigest(distinct.tobytes(), 1)
                 continue
         many.append(n)
         sets.append(own)
-    return ids, np.array(many, np.int64), sets
-
-
-def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-
-
-def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for doc_id, place, words in _paragraphs(batches, least):
-        ids, many, sets = _told(words)
-        flat = minima(*_joined(sets)).ravel() if sets else np.zeros(0, np.int64)
+    return ids, many, sets
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs with their cells, and units (without a line number and without cells)."""
+    names = ["doc_id", "paragraph", "start", "n_words", "id", "cells"]
+    for doc_id, rows, place, start, words in _paragraphs(batches):
+        hashes, counts = _hashes(words)
+        ends, row, start = np.cumsum(counts), np.array(rows), np.array(start, np.int32)
+        ids, many, sets = _told(words, hashes, ends)
+        firsts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
+        flat = minima(np.concatenate(sets), firsts).ravel() if sets else np.zeros(0, np.int64)
         sizes = np.zeros(len(words), np.int32)
         sizes[many] = BANDS
         cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-        fields = [doc_id, pa.array(place), pa.array([len(w) for w in words], pa.int32()), pa.array(ids.view(np.int64)), cells]
-        yield pa.RecordBatch.from_arrays(fields, ["doc_id", "paragraph", "n_words", "id", "cells"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The shingles of each distinct paragraph of a piece of a batch that has cells."""
-    for _, _, words in _paragraphs(batches, least):
-        ids, many, sets = _told(words)
-        ids, first = np.unique(ids[many], return_index=True)
-        blobs = [np.unique(sets[n]).tobytes() for n in first]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(blobs, pa.binary())], ["of", "shingles"])
-
-
-def similar(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked paragraphs of a block, enough of them to span the components of its links.
-
-    Each paragraph is held against one more of each component until it joins it; sets of too different sizes are passed over.
+        numbers = [pa.array(place, pa.int32()), pa.array(start), pa.array(counts.astype(np.int32)), pa.array(ids.view(np.int64))]
+        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(row)), *numbers, cells], names)
+        at = unit_starts(hashes, ends[np.append(row[1:] != row[:-1], True)])
+        if not len(at):
+            continue
+        line = np.searchsorted(ends, at, "right")
+        ids = np.zeros(len(at), np.uint64)
+        for k in range(UNIT):
+            ids = _mix(ids * _STEP + hashes[at + k])
+        begin = (start[line] + at - (ends - counts)[line]).astype(np.int32)
+        numbers = [pa.nulls(len(at), pa.int32()), pa.array(begin), pa.array(np.full(len(at), UNIT, np.int32)), pa.array(ids.view(np.int64))]
+        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(row[line])), *numbers, pa.nulls(len(at), cells.type)], names)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each distinct paragraph of a piece of a batch that can have cells."""
+    for *_, words in _paragraphs(batches):
+        lines = {b" ".join(w) for w in words if len(w) >= SHINGLE + FEW}
+        ids = np.fromiter((xxhash.xxh3_64_intdigest(line) for line in lines), np.uint64, len(lines))
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(list(lines), pa.binary())], ["of", "line"])
+
+
+def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked sets of shingles of a block, enough of them to span the components of its links.
+
+    Each set is held against one more of each component until it joins it; sets of too different sizes are passed over.
     """
-    sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
     order = sorted(range(len(sets)), key=lambda n: len(sets[n]))
     groups: list[list[int]] = []  # members of each component so far, from small to large sets
     left, right = [], []
@@ -146,47 +206,98 @@ def similar(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, paragraph, n_words, cluster_doc_id, cluster_paragraph, removed`` of every paragraph of a cluster.
+def _similar_lines(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return similar([np.unique(shingles_of([line.as_py().split()])[0]) for line in block.column("line")])
 
-    A paragraph is a line of at least ``least`` words (1: every line with a word); ``paragraph`` is the line's number
-    from 0. Words are cut at ASCII blanks, A-Z lowered. Paragraphs of the same words are one text, and texts whose
-    five-word shingles have a Jaccard similarity of 0.8 or more are linked (under five words only the same words meet);
-    a cluster is a component of links. Its first paragraph (smallest doc_id,
-    nulls first, then line) stays, the others are ``removed``. Clusters of a single paragraph are not returned, so
-    documents that share nothing do not appear. Repeated rows repeat their paragraphs, which are then equal; of equal
-    places all but one are removed only if they differ in place, so none is lost. Null and empty texts have none.
-    """
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """Every repeated paragraph and unit but the first of its cluster, and whether its document has ``company`` for it."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    found = materialize(
-        source.mapInArrow(partial(_signed, least=least), "doc_id long, paragraph int, n_words int, id long, cells array<long>"), "paragraphs"
-    )
-    rows = found.select(F.explode("cells").alias("cell"), "id")
-
-    def with_sets(shared: DataFrame) -> DataFrame:
-        ids = shared.select("id").distinct()
-        sets = source.select("text").withColumn("doc_id", F.lit(0)).mapInArrow(partial(_sets, least=least), "of long, shingles binary")
-        sets = sets.join(ids, sets["of"] == ids["id"], "left_semi").groupBy("of").agg(F.first("shingles").alias("shingles"))
-        return shared.join(sets, shared["id"] == sets["of"]).drop("of")
-
-    grown = components(cell_links(rows, similar, with_sets))
-    placed = found.select("doc_id", "paragraph", "n_words", "id")
-    named = placed.join(grown, placed["id"] == grown["node"], "left")
-    named = named.select("doc_id", "paragraph", "n_words", F.coalesce("component", "id").alias("class"))
-    place = F.struct("doc_id", "paragraph")
+    kinds = "doc_id long, paragraph int, start int, n_words int, id long, cells array<long>"
+    found = materialize(source.mapInArrow(_signed, kinds), "paragraphs")
+
+    def with_lines(shared: DataFrame) -> DataFrame:
+        ids = materialize(shared.select("id").distinct(), "shared")
+        bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS))
+        marks = F.broadcast(ids.select(bucket("id").alias("bucket")).distinct())  # BUCKETS rows at most
+        lines = source.select("text").withColumn("doc_id", F.lit(0)).mapInArrow(_lines, "of long, line binary")
+        lines = lines.join(marks, bucket("of") == F.col("bucket"), "left_semi").join(ids, F.col("of") == F.col("id"), "left_semi")
+        lines = lines.groupBy("of").agg(F.first("line").alias("line"))
+        return shared.join(lines, shared["id"] == lines["of"]).drop("of")
+
+    cells = found.filter("paragraph IS NOT NULL").select(F.explode("cells").alias("cell"), "id")
+    grown = components(cell_links(cells, _similar_lines, with_lines))
+    placed = found.drop("cells")
+    paragraphs = placed.filter("paragraph IS NOT NULL").join(grown, F.col("id") == F.col("node"), "left")
+    paragraphs = paragraphs.withColumn("class", F.coalesce("component", "id")).drop("id", "node", "component")
+    named = paragraphs.unionByName(placed.filter("paragraph IS NULL").withColumnRenamed("id", "class"))
+    place = F.struct("doc_id", "start", "paragraph")
     first = named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return named.join(first, "class").select(
-        "doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("cluster_doc_id"),
-        F.col("first.paragraph").alias("cluster_paragraph"), (~place.eqNullSafe(F.col("first"))).alias("removed"),
+    repeated = named.join(first, "class").filter(~place.eqNullSafe(F.col("first"))).select(
+        "doc_id", "paragraph", "start", "n_words", F.col("first.doc_id").alias("cluster_doc_id"),
+        F.col("first.paragraph").alias("cluster_paragraph"), F.col("first.start").alias("cluster_start"),
     )
+    repeated = materialize(repeated, "repeated")
+    strong = repeated.filter(F.col("paragraph").isNull() | (F.col("n_words") >= UNIT)).select(F.col("doc_id").alias("_strong")).distinct()
+    strong = strong.withColumn("company", F.lit(True))
+    joined = repeated.join(strong, F.col("doc_id").eqNullSafe(F.col("_strong")), "left").drop("_strong")
+    return joined.withColumn("company", F.coalesce("company", F.lit(False)))
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """``doc_id, paragraph, start, n_words, cluster_doc_id, cluster_paragraph, cluster_start`` of what repeats earlier text.
+
+    *Paragraphs* are lines with a word; ``paragraph`` is the line's number, ``start`` the number of its first word in the
+    text, both from 0. Words are cut at ASCII blanks, A-Z lowered. Paragraphs of the same words are one text, and texts
+    whose five-word shingles have a Jaccard similarity of 0.8 or more are linked (under five words only the same words
+    meet); a cluster is a component of links. *Units* are ``UNIT`` words of running text, over line ends, that begin
+    where a sliding MinHash says (``paragraph`` is null): any ``PASSAGE`` words in a row that stand in two places share
+    a unit, also within longer lines. One other word within leaves a unit under 0.8 unless it is near its edge, so
+    units cluster by equal words. Equal words are told by 64 bits.
+
+    The first place of a cluster (smallest doc_id, nulls first, then start) stays and is named by the ``cluster_`` columns;
+    every other one is a row here. Brief paragraphs (under ``UNIT`` words: menus, greetings, licence lines) recur in
+    documents that have nothing else in common, so they are returned only for documents that also repeat a longer
+    paragraph or a unit; :func:`brief_paragraphs` returns all others. Documents that share nothing do not appear.
+    Repeated rows repeat their paragraphs; of equal places none is returned unless an earlier place has the same.
+    Null and empty texts have no paragraphs; rows with a null doc_id count as one document.
+    """
+    return _repeats(docs).filter("company").drop("company")
+
+
+def brief_paragraphs(docs: DataFrame) -> DataFrame:
+    """The repeated brief paragraphs that :func:`repeated_paragraphs` leaves alone, with the same columns and rules."""
+    return _repeats(docs).filter("NOT company").drop("company")
+
+
+def _left(text: bytes, places: list[dict]) -> bytes:
+    """What of a text is in none of the places; a word takes the blanks behind it along, and a line that loses all words goes."""
+    lines = {p["paragraph"] for p in places if p["paragraph"] is not None}
+    gone = {k for p in places if p["paragraph"] is None for k in range(p["start"], p["start"] + p["n_words"])}
+    kept, at = [], 0
+    for n, line in enumerate(text.split(b"\n")):
+        cuts = [m.start() for m in _WORD.finditer(line)]
+        held = [k for k in range(len(cuts)) if at + k not in gone]
+        at += len(cuts)
+        if n in lines or (cuts and not held):
+            continue
+        if len(held) < len(cuts):
+            ends = [*cuts[1:], len(line)]
+            line = line[: cuts[0]] + b"".join(line[cuts[k] : ends[k]] for k in held)
+        kept.append(line)
+    return b"\n".join(kept)
+
+
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, places: pa.Array) -> pa.Array:
+    pairs = zip(texts.cast(pa.large_binary()), places, strict=True)
+    return pa.array([t.as_py() if not (p := g.as_py()) else _left(t.as_py(), p) for t, g in pairs], pa.large_binary()).cast(pa.string())
 
 
 def drop_repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """``docs`` without the removed paragraphs in ``text``; rows whose doc_id is null keep theirs."""
+    """``docs`` whose ``text`` lacks the places of :func:`repeated_paragraphs`; rows whose doc_id is null keep theirs."""
     of, lost = unused(docs, "_of", "_gone")
-    gone = repeated_paragraphs(docs, 1).filter("removed and doc_id is not null").groupBy(F.col("doc_id").alias(of))
-    gone = gone.agg(F.collect_set("paragraph").alias(lost))
+    gone = repeated_paragraphs(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias(of))
+    gone = gone.agg(F.collect_set(F.struct("paragraph", "start", "n_words")).alias(lost))
     joined = docs.join(gone, F.col("doc_id") == F.col(of), "left")
-    lines = F.filter(F.split("text", "\n"), lambda _, n: ~F.array_contains(F.col(lost), n))
-    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return joined.withColumn("text", _without("text", lost)).select(*docs.columns)
