@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from hushlake.llm.components import cell_links, components, text_hash, unused
+from hushlake.llm.components import cell_links, components, keep_rows, text_hash, unused
 from hushlake.llm.near_copies import near_copies
 from hushlake.plans.storage import materialize
 
@@ -129,12 +129,16 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Three bits, which the components above are linked by, miss most edited copies; here every link is a verified Jaccard
     similarity.
     """
-    found = near_copies(docs)
+    found = materialize(near_copies(docs), "classes")
     first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"))
-    named = found.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    heads = found.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).drop("first")
+    sizes = heads.groupBy("class").agg(F.count("*").alias("n"))
+    heads = materialize(heads.join(sizes, "class").distinct(), "heads")
+    # most classes have one row of their first doc_id: it is known before any text moves, and others are compared by text
+    alone = keep_rows(docs, heads.filter("n = 1"))
     of_class, of_id, of_hash, copy = unused(docs, "_class", "_kept_id", "_kept_hash", "_copy")
-    named = named.select(F.col("class").alias(of_class), F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash))
+    tied = heads.filter("n > 1").select(F.col("class").alias(of_class), F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash))
     same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (text_hash(F.col("text")) == F.col(of_hash))
     order = Window.partitionBy(of_class).orderBy("text")
-    kept = docs.join(named.distinct(), same).withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1)
-    return kept.select(*docs.columns)
+    tied = docs.join(tied, same).withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1)
+    return alone.union(tied.select(*docs.columns))
