@@ -233,6 +233,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     named = paragraphs.unionByName(placed.filter("paragraph IS NULL").withColumnRenamed("id", "class"))
     place = F.struct("doc_id", "start", "paragraph")
     first = named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = materialize(first, "first")  # a plain table: the join can split a class that holds many of the rows
     repeated = named.join(first, "class").filter(~place.eqNullSafe(F.col("first"))).select(
         "doc_id", "paragraph", "start", "n_words", F.col("first.doc_id").alias("cluster_doc_id"),
         F.col("first.paragraph").alias("cluster_paragraph"), F.col("first.start").alias("cluster_start"),
