@@ -1,12 +1,12 @@
 """Runs of password dots near a password label.
 
-Components are matched to labels by position inside their frame; what a label can
-reach is a strip of screen, so the arrays folded here are bounded by its pixels.
+Labels meet components by tiles of the frame, and a start meets the components of its own row and size a run's reach
+ahead. No array holds the components of a label, and what a start folds is bounded by the pixels of a strip.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlake.functions import patterns as P
@@ -21,7 +21,12 @@ SHAPE = 0.8
 RUN = (3, 32)
 SPAN = 320
 PAD = 3
+STEP = (3, 4)  # widths and pixels from one dot to the next at most
 # -----------------------------------------------------------------------------
+TILE = 256  # pixels
+AHEAD = SPAN + STEP[0] * SIZE[1] + STEP[1]  # a run that gets further than this is too long already
+NEAR = ["frame_id", "label_id", "polarity", "confidence"]
+GLYPH = ["x", "y", "w", "h", "area", "shape"]
 
 
 def is_password_label(text: Column) -> Column:
@@ -29,7 +34,7 @@ def is_password_label(text: Column) -> Column:
 
 
 def candidates(labels: DataFrame, components: DataFrame, frame_width: int, frame_height: int) -> DataFrame:
-    """Small, filled components below or right of a label, per label and polarity.
+    """Small, filled components below or right of a label, a row for each with its label.
 
     ``labels(frame_id, label_id, label_x, label_y, label_width, label_height, confidence)``,
     ``components(frame_id, polarity, x, y, w, h, area, fill_center[, shape])``.
@@ -52,13 +57,13 @@ def candidates(labels: DataFrame, components: DataFrame, frame_width: int, frame
     beside = (x >= lx + lw - 2) & (F.abs((y + h / 2) - (ly + lh / 2)) <= F.greatest(F.lit(10.0), lh * 0.6))
     below = (y >= ly + lh - 2) & (x >= lx - 8)
     shape = F.col("shape") if "shape" in components.columns else F.lit(None).cast("array<tinyint>")
-    glyph = F.struct("x", "y", "w", "h", "area", shape.alias("shape"))
-    return (
-        labels.join(shaped, "frame_id")
-        .filter(in_crop & (beside | below))
-        .groupBy("frame_id", "label_id", "polarity", "confidence")
-        .agg(F.array_sort(F.collect_list(glyph)).alias("glyphs"))
-    )
+    tile = lambda c: F.floor(c / TILE)
+    tiles = lambda low, high: F.explode(F.sequence(tile(low), tile(F.greatest(low, high))))
+    # clipped to the frame, so a label has as many tiles as the frame at most
+    looking = labels.withColumn("_tx", tiles(F.least(left, F.lit(frame_width)), right)).withColumn("_ty", tiles(F.least(top, F.lit(frame_height)), bottom))
+    placed = shaped.withColumn("_tx", tile(x)).withColumn("_ty", tile(y))
+    met = looking.join(placed, ["frame_id", "_tx", "_ty"]).filter(in_crop & (beside | below))
+    return met.withColumn("shape", shape).select(*NEAR, *GLYPH)
 
 
 def _agrees(c: Column, first: Column) -> Column:
@@ -74,26 +79,20 @@ def _agrees(c: Column, first: Column) -> Column:
     return c["shape"].isNull() | first["shape"].isNull() | (same >= SHAPE * first["w"] * first["h"])
 
 
+def _alike(c: Column, first: Column) -> Column:
+    """On the same row, of the same size and shape."""
+    near = lambda name: F.abs(c[name] - first[name]) <= 1
+    return near("y") & near("w") & near("h") & (c["area"] / first["area"]).between(*AREA) & _agrees(c, first)
+
+
 def _run_from(first: Column, glyphs: Column) -> Column:
-    """Follow one start through the sorted glyphs and collect its run."""
+    """Follow one start through the sorted glyphs that are like it and collect its run."""
     state = lambda run, pitch, done: F.struct(run.alias("run"), pitch.cast("int").alias("pitch"), done.alias("done"))
 
     def step(s, c):
-        last = F.element_at(s["run"], -1)
-        dx = c["x"] - last["x"]
-        ahead = c["x"] > last["x"]
-        too_far = ahead & (dx > first["w"] * 3 + 4)
-        near = lambda name: F.abs(c[name] - first[name]) <= 1
-        fits = (
-            ahead
-            & near("y")
-            & near("w")
-            & near("h")
-            & (c["area"] / first["area"]).between(*AREA)
-            & (dx >= first["w"] + 1)
-            & (s["pitch"].isNull() | (F.abs(dx - s["pitch"]) <= 1))
-            & _agrees(c, first)
-        )
+        dx = c["x"] - F.element_at(s["run"], -1)["x"]
+        too_far = dx > first["w"] * STEP[0] + STEP[1]
+        fits = (dx >= first["w"] + 1) & (s["pitch"].isNull() | (F.abs(dx - s["pitch"]) <= 1))
         grown = state(F.concat(s["run"], F.array(c)), F.coalesce(s["pitch"], dx), F.lit(False))
         return (
             F.when(s["done"] | too_far, state(s["run"], s["pitch"], F.lit(True)))
@@ -105,9 +104,26 @@ def _run_from(first: Column, glyphs: Column) -> Column:
 
 
 def glyph_runs(near: DataFrame) -> DataFrame:
-    """Regular runs, one row per start; ``order`` is the order in which starts are tried."""
-    starts = near.select("frame_id", "label_id", "polarity", "confidence", "glyphs", F.posexplode("glyphs").alias("n", "first"))
-    runs = starts.withColumn("run", _run_from(F.col("first"), F.col("glyphs"))).drop("glyphs", "first")
+    """Regular runs of the rows of :func:`candidates`, one row per start; ``order`` is the order in which starts are tried.
+
+    A start meets what is like it by bins of its row and of the strips that a run can reach.
+    """
+    strip, row = F.floor(F.col("x") / AHEAD), F.floor("y")
+    nth = Window.partitionBy(*NEAR).orderBy(*GLYPH)
+    starts = (
+        near.withColumn("n", F.row_number().over(nth) - 1)
+        .select(*NEAR, "n", F.struct(*GLYPH).alias("first"), F.explode(F.sequence(row - 1, row + 1)).alias("_row"), F.array(strip, strip + 1).alias("_strip"))
+        .withColumn("_strip", F.explode("_strip"))
+    )
+    others = near.select(*[F.col(k).alias(f"_{k}") for k in NEAR], F.struct(*GLYPH).alias("c"), row.alias("_at"), strip.alias("_in"))
+    own = (F.col("_row") == F.col("_at")) & (F.col("_strip") == F.col("_in"))
+    for k in NEAR:
+        own = own & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    c, first = F.col("c"), F.col("first")
+    ahead = (c["x"] > first["x"]) & (c["x"] - first["x"] <= AHEAD)
+    met = starts.join(others, own & ahead & _alike(c, first))
+    runs = met.groupBy(*NEAR, "n").agg(F.first("first").alias("first"), F.array_sort(F.collect_list("c")).alias("glyphs"))
+    runs = runs.withColumn("run", _run_from(F.col("first"), F.col("glyphs"))).drop("glyphs", "first")
     span = F.element_at("run", -1)["x"] - F.element_at("run", 1)["x"]
     return (
         runs.filter(F.size("run").between(*RUN) & (span <= SPAN))

@@ -1,5 +1,6 @@
 """PNG files, painting, and pixel checks on real images."""
 
+import random
 import struct
 import zlib
 
@@ -90,6 +91,38 @@ def test_glyph_runs(spark):
     assert glyphs(spark, row(6, 6), [(1, 20, 70, 200, 20)]) == []  # recognised prose
 
 
+def slow_runs(dots):
+    """Runs by walking all dots of the label from every start: ``{start: xs}``."""
+    dots = sorted(dots)
+    out = {}
+    for n, (x, y, w, h) in enumerate(dots):
+        xs, pitch = [x], None
+        for x2, y2, w2, h2 in dots:
+            dx = x2 - xs[-1]
+            if dx > 3 * w + 4:
+                break
+            alike = max(abs(y2 - y), abs(w2 - w), abs(h2 - h)) <= 1 and 0.7 <= (w2 * h2 * 3 // 4) / (w * h * 3 // 4) <= 1.3
+            if alike and dx > w and (pitch is None or abs(dx - pitch) <= 1):
+                xs, pitch = [*xs, x2], pitch or dx
+        if 3 <= len(xs) <= 32 and xs[-1] - xs[0] <= 320:
+            out[n] = xs
+    return out
+
+
+def test_glyph_runs_equal_brute_force_on_a_crowded_frame(spark):
+    rng = random.Random(4)
+    dots = {(x + rng.randint(0, 1), y, 4, 4) for y in range(70, 92, 3) for x in range(30, 440, 6 + y % 4) if rng.random() < 0.95}
+    dots |= {(rng.randint(20, 500), rng.randint(66, 95), rng.randint(4, 14), rng.randint(4, 14)) for _ in range(400)}
+    dots = [d for d in dots if 0.65 <= d[2] / d[3] <= 1.55]
+    comp = spark.createDataFrame([(1, 0, x, y, w, h, w * h * 3 // 4, 1.0) for x, y, w, h in dots], "frame_id long, polarity int, x int, y int, w int, h int, area int, fill_center double")
+    label = spark.createDataFrame([(1, 0, 25, 20, 500, 25, 0.9)], "frame_id long, label_id int, label_x int, label_y int, label_width int, label_height int, confidence double")
+    near = Y.candidates(label, comp, 1200, 200)
+    seen = [(r.x, r.y, r.w, r.h) for r in near.collect()]
+    assert sorted(seen) == sorted(d for d in dots if d[1] + d[3] <= 120 and d[1] >= 43 and d[0] >= 17)
+    got = {r.order.n: [g.x for g in r.run] for r in Y.glyph_runs(near).collect()}
+    assert got == slow_runs(seen) and len(got) > 100
+
+
 def test_detector_errors_are_generic(spark):
     def recognize(data):
         if data == b"bad":
