@@ -1,7 +1,9 @@
 """Pair labels with the regions that hold their values.
 
-Regions of a frame are keyed by ``(session, frame, band)`` where a band is a strip
-of ``BAND`` pixels, and a label only looks at the bands its value can be in.  No
+Regions of a frame are keyed by ``(session, frame, level, band)``: the level is that of
+their own height, a band of level n a strip of ``BAND * 2 ** n`` pixels.  A label looks at
+each level with the reach that regions of this level have, so one very tall region costs
+the labels of its frame a band or two, and only labels right above it look past it.  No
 task therefore holds a whole session or a whole frame, and no frame is paired with
 itself in full.  Of the regions near a label only the few that can take part in
 the result (``CHAIN`` below, the nearest one to the right, the first masked one)
@@ -26,7 +28,9 @@ MIN_X_SLACK = 32
 MIN_GAP = 36
 GAP_RATIO = 2.8
 # -----------------------------------------------------------------------------
-BAND = 256
+BAND = 256  # height of a band of the lowest level, which holds regions up to that height
+TOP_LEVEL = 40
+STRIP = 8192  # more than a start of at most BAND pixels reaches along low regions, which is about 4,900
 
 KEY = ["session_id", "frame_id"]
 
@@ -74,42 +78,93 @@ def _chain(items: Column, height: Column, bottom: Column, limit: int) -> Column:
     return F.slice(items, 1, F.least(kept, F.lit(limit)))
 
 
-def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sideways: bool = True) -> DataFrame:
-    """Add ``below`` (ordered chain), and with ``sideways`` also ``right`` and ``masked_right``.
+def _level(height: Column) -> Column:
+    """Smallest level whose bands are as high as a region; a millionth more, as logarithms are not exact."""
+    high = F.ceil(F.log2(height / F.lit(BAND)) + 1e-6)
+    return F.when(height > BAND, F.least(high, F.lit(TOP_LEVEL))).otherwise(0).cast("int")
 
-    Every row of ``starts`` has a ``region_id`` and a ``start`` region to look from; a
-    NULL start keeps the row and finds nothing.  ``right`` is the leftmost non-label
-    region on the same line; for a secret label helper text is no candidate, and
-    ``masked_right`` is the first masked one.
+
+def _size(level: Column) -> Column:
+    return F.when(level < TOP_LEVEL, BAND * F.pow(F.lit(2.0), level)).otherwise(F.lit(float("inf")))
+
+
+def _band(y: Column, level: Column) -> Column:
+    return F.floor(y / (BAND * F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _strips(y: Column, count: int) -> Column:
+    """Bits of ``count`` strips from the one of ``y`` on; strips 64 apart share a bit."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(y / STRIP) + k, F.lit(64)).cast("int")) for k in range(count)]
+    return bits[0] if count == 1 else bits[0].bitwiseOR(bits[1])
+
+
+def probes_of(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sideways: bool = True) -> DataFrame:
+    """Cells of the grid that each start looks into: ``region_id, s, a, _level, _band``.
+
+    ``s`` is what the search needs of a start; ``a``, the whole row, is on the one row without a cell.
     """
-    extent = F.struct(*[f("y").cast("double").alias(n) for f, n in ((F.min, "top"), (F.max, "bottom"))], F.max("height").cast("double").alias("tall"))
     # of each frame: one huge region does not make the labels of other frames look further
-    pages = regions.groupBy(*KEY).agg(extent.alias("_page")).withColumnsRenamed({k: f"_page_{k}" for k in KEY})
+    y, is_tall = F.col("y").cast("double"), F.col("height") > BAND
+    extent = F.struct(
+        F.min(y).alias("top"),
+        F.max(y).alias("bottom"),
+        F.max("height").cast("double").alias("tall"),
+        F.max(F.when(~is_tall, F.col("height"))).cast("double").alias("low"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _level(F.col("height")))).alias("levels"),
+        F.min(F.when(is_tall, y)).alias("tall_from"),
+        F.max(F.when(is_tall, y)).alias("tall_to"),
+        F.bit_or(F.when(is_tall, _strips(y, 1))).alias("tall_strips"),
+    )
+    levels = F.filter(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), lambda k: F.call_function("shiftright", F.col("_page.levels"), k) % 2 == 1)
+    pages = regions.groupBy(*KEY).agg(extent.alias("_page")).withColumn("_levels", levels).withColumnsRenamed({k: f"_page_{k}" for k in KEY})
     # null keys have a page like others, and a row without a page keeps its own value
     own_page = F.col("session_id").eqNullSafe(F.col("_page_session_id")) & F.col("frame_id").eqNullSafe(F.col("_page_frame_id"))
-    a, n = F.col("s"), F.col("n")
+    a = F.col("s")
     gap = F.greatest(F.lit(MIN_GAP), a["height"] * GAP_RATIO)
-    reach = a["y"] + a["height"] + limit * gap + (limit - 1) * F.col("_page.tall")
-    above = 0.5 * F.greatest(a["height"].cast("double"), F.col("_page.tall")) if sideways else F.lit(0.0)
-    band = lambda c: F.floor(c / F.lit(BAND)).cast("long")
+    tall = F.col("_page.tall")
+    reach = lambda taken: a["y"] + a["height"] + limit * gap + (limit - 1) * taken
+    # Without a tall region that starts in reach of a chain of low ones, no chain goes further than that.
+    low = reach(F.coalesce("_page.low", F.lit(0.0)))
+    in_reach = (F.col("_page.tall_from") <= low) & (F.col("_page.tall_to") >= a["y"])
+    in_reach = in_reach & (F.col("_page.tall_strips").bitwiseAND(_strips(a["y"], 2)) != 0)
+    far = F.coalesce(in_reach, F.lit(False)) | (a["height"] > BAND)
+    down = F.when(far, reach(tall)).otherwise(low)
     secret = F.coalesce(F.col("label_kind") == "SECRET", F.lit(False)) if sideways else F.lit(False)
     slim = F.struct(*[F.col("start")[c].alias(c) for c in ("y", "x", "width", "height", "region_id")], secret.alias("secret"))
-    # Bands above the first or below the last region of the frame hold nothing.
-    first = band(F.greatest(a["y"] - above, F.col("_page.top")))
-    last = F.greatest(first, band(F.least(reach, F.col("_page.bottom"))))
-    # One row without a band carries the whole start row; the rows that look around are slim.
-    bands = F.concat(
-        F.array(F.lit(None).cast("long")),
-        F.when(first.isNotNull() & last.isNotNull() & a["y"].isNotNull(), F.sequence(first, last)).otherwise(F.array().cast("array<long>")),
-    )
-    left = (
+
+    # Bands of one level that a region of this level can lie in, beside the start or below it; those above the first or
+    # below the last region of the frame hold nothing.
+    level = F.col("_level")
+    half = 0.5 * F.greatest(a["height"].cast("double"), F.least(tall, _size(level))) if sideways else F.lit(0.0)
+    first = _band(F.greatest(a["y"] - half, F.col("_page.top")), level)
+    last = F.greatest(first, _band(F.least(F.greatest(down, a["y"] + half), F.col("_page.bottom")), level))
+    known = level.isNotNull() & first.isNotNull() & last.isNotNull() & a["y"].isNotNull()
+    # One row without a level carries the whole start row; the rows that look around are slim.
+    none = F.lit(None).cast("long")
+    return (
         starts.select(*KEY, "region_id", slim.alias("s"), F.struct(*[c for c in starts.columns if c not in KEY]).alias("a"))
         .join(pages, own_page, "left")
-        .withColumn("_band", F.explode(bands))
-        .withColumn("a", F.when(F.col("_band").isNull(), F.col("a")))
-        .drop("_page", *[f"_page_{k}" for k in KEY])
+        .withColumn("_level", F.explode(F.concat(F.array(F.lit(None).cast("int")), F.coalesce("_levels", F.array().cast("array<int>")))))
+        .withColumn("a", F.when(level.isNull(), F.col("a")))
+        .withColumn("_band", F.explode(F.when(known, F.sequence(first, last)).when(level.isNull(), F.array(none)).otherwise(F.array().cast("array<long>"))))
+        .select(*KEY, "region_id", "s", "a", "_level", "_band")
+    )
+
+
+def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sideways: bool = True) -> DataFrame:
+    """Add ``below`` (ordered chain), and with ``sideways`` also ``right`` and ``masked_right``.
+
+    Every row of ``starts`` has a ``region_id`` and a ``start`` region to look from; a
+    NULL start keeps the row and finds nothing.  ``right`` is the leftmost non-label
+    region on the same line; for a secret label helper text is no candidate, and
+    ``masked_right`` is the first masked one.
+    """
+    a, n = F.col("s"), F.col("n")
+    left = probes_of(starts, regions, limit, sideways)
+    own = _level(F.col("height"))
+    right = regions.select(
+        F.col("session_id").alias("_s"), F.col("frame_id").alias("_f"), own.alias("_l"), _band(F.col("y"), own).alias("_b"), own_item().alias("n")
     )
-    right = regions.select(*KEY, band(F.col("y")).alias("_band"), own_item().alias("n"))
     is_below = (n["y"] >= a["y"] + a["height"] * 0.5) & (
         F.abs(n["x"] - a["x"]) <= F.greatest(F.lit(MIN_X_SLACK), a["height"] * 2)
     )
@@ -121,9 +176,10 @@ def neighbours(starts: DataFrame, regions: DataFrame, limit: int = CHAIN, sidewa
     )
     pairs = (
         left.join(
-            right.withColumnsRenamed({"session_id": "_s", "frame_id": "_f", "_band": "_b"}),
+            right,
             F.col("session_id").eqNullSafe(F.col("_s"))
             & F.col("frame_id").eqNullSafe(F.col("_f"))
+            & (F.col("_level") == F.col("_l"))
             & (F.col("_band") == F.col("_b"))
             & (n["region_id"] != a["region_id"])
             & (is_below | beside),

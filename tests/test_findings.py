@@ -204,3 +204,46 @@ def test_one_bad_region_withholds_a_frame_with_null_keys(spark):
     rows = [(None, 1, 0, "a", 1, 1, 5, 5, 0.9), (None, 1, 1, "b", 1, 1, 0, 5, 0.9), (None, 2, 0, "c", 1, 1, 5, 5, 0.9), (1, None, 0, "d", 1, 1, 5, 5, 0.9)]
     kept = D.fail_closed(D.region_scan(spark.createDataFrame(rows, SCHEMA)))
     assert {r.text for r in kept.collect()} == {"c", "d"}
+
+
+def plain_neighbours(start, frame):
+    """What ``neighbours`` finds for a region that is no secret, by looking at every other region of its frame."""
+    n, _, x, y, w, h = start
+    others = [r for r in frame if r[0] != n]
+    gap, edge, chain = max(36, h * 2.8), y + h, []
+    for r in sorted((r for r in others if r[3] >= y + h * 0.5 and abs(r[2] - x) <= max(32, 2 * h)), key=lambda r: (r[3], r[2], r[0]))[:5]:
+        if r[3] - edge > gap or r[1].endswith(":"):
+            break
+        chain.append(r[0])
+        edge = r[3] + r[5]
+    beside = [r for r in others if r[2] >= x + w and abs(r[3] - y) <= max(h, r[5]) * 0.5 and r[2] - x - w <= 240 and not r[1].endswith(":")]
+    return chain, min(((r[2], r[3], r[0]) for r in beside), default=(None,))[-1]
+
+
+@pytest.mark.parametrize("height", [2000, 60_000, 1_000_000])
+def test_neighbours_of_low_and_tall_regions(spark, height):
+    draw = random.Random(height)
+    tall = [18, 40, 256, 257, 300, 512, 513, 1024, 5000, height // 2, height]
+    rows = []
+    for f in range(6):
+        for n in range(150):
+            h = draw.choice(tall) if n % 25 == 0 else draw.choice((18, 18, 40, 256)) if n % 5 == 0 else 18
+            text = "Name:" if draw.random() < 0.2 else f"w{n}"
+            rows.append((None if f == 5 else 1, f, n, text, draw.randrange(0, 900, 30), draw.randrange(-300, height // (1 if f % 2 else 20)), 60, h, 0.9))
+    frames = spark.createDataFrame(rows, SCHEMA)
+    near = G.neighbours(G.anchors_of(G.clean(frames)), G.clean(frames)).select("frame_id", "region_id", "below.region_id", "right.region_id")
+    got = {(f, n): (below, right) for f, n, below, right in near.collect()}
+    of = lambda f: [(r[2], r[3], *r[4:8]) for r in rows if r[1] == f]
+    assert got == {(r[1], r[2]): plain_neighbours((r[2], r[3], *r[4:8]), of(r[1])) for r in rows if r[3] == "Name:"}
+    assert any(right is not None for _, right in got.values()) and any(len(below) > 2 for below, _ in got.values())
+
+
+def test_a_huge_region_costs_its_frame_little(spark):
+    def probes(*more):
+        low = [(1, 1, n, "Name:" if n % 2 else "x", 40 * (n % 25), 1000 + n * 20, 30, 18, 0.9) for n in range(4000)]
+        cleaned = G.clean(spark.createDataFrame([*low, *more], SCHEMA))
+        return G.probes_of(G.anchors_of(cleaned), cleaned).count()
+
+    plain = probes()
+    assert probes((1, 1, 9999, "page", 0, 0, 900, 1_000_000, 0.9)) < 2 * plain
+    assert probes((1, 1, 9999, "page", 0, 40_000, 900, 1_000_000, 0.9)) < 4 * plain
