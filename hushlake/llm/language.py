@@ -17,7 +17,10 @@ from hushlake.plans.storage import materialize
 
 WIDTH = 4096  # hashed n-grams
 PER_LANGUAGE = 400  # labelled documents of each language that a model is fitted on, at most
-CENTROIDS = 4  # of each language
+CENTROIDS = 4  # of each language, at most
+LEAST_TEXTS = 0.05  # share of a language's drawn texts that each of its centroids has at least
+MAX_LANGUAGES = 1000  # distinct labels; more of them fail, as a model of 16 KB a centroid is held whole
+SEED = 42
 LEAST_SHARE = 0.25  # of a centroid's first percentile of own similarities, below which a text is rejected
 SPREAD = 16
 SLAB = 1 << 20  # bytes looked at together
@@ -72,18 +75,37 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return weights / np.where(norms > 0, norms, 1)
 
 
+def _spread(vectors: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    """Starts drawn one by one, each with a probability that grows with the distance to those before it."""
+    picked = [int(draw.integers(len(vectors)))]
+    for _ in range(k - 1):
+        apart = np.clip(1 - (vectors @ vectors[picked].T).max(axis=1).astype(float), 0, None)
+        apart[apart < 1e-6] = 0  # repeats of a start
+        if not apart.any():
+            break
+        picked.append(int(draw.choice(len(vectors), p=apart / apart.sum())))
+    return vectors[picked]
+
+
 def _clusters(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out starts; centroids of length 1 and each vector's similarity to its own."""
-    picked = [0]
-    for _ in range(min(k, len(vectors)) - 1):
-        picked.append(int((vectors @ vectors[picked].T).max(axis=1).argmin()))
-    centroids = vectors[picked]
-    for _ in range(12):
-        own = (vectors @ centroids.T).argmax(axis=1)
-        sums = np.stack([vectors[own == c].sum(axis=0) for c in range(len(centroids))])
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids)
-    return centroids, vectors @ centroids.T
+    """Spherical k-means from seeded, spread-out starts; centroids of length 1 and each vector's similarity to all of them.
+
+    A cluster of under ``LEAST_TEXTS`` of the vectors says little of a language: its centroid goes, and its vectors join
+    the nearest of the others.
+    """
+    centroids = _spread(vectors, k, np.random.default_rng(SEED))
+    while True:
+        for _ in range(12):
+            own = (vectors @ centroids.T).argmax(axis=1)
+            sums = np.stack([vectors[own == c].sum(axis=0) for c in range(len(centroids))])
+            norms = np.linalg.norm(sums, axis=1, keepdims=True)
+            centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids)
+        likeness = vectors @ centroids.T
+        sizes = np.bincount(likeness.argmax(axis=1), minlength=len(centroids))
+        smallest = int(sizes.argmin())
+        if len(centroids) == 1 or sizes[smallest] >= LEAST_TEXTS * len(vectors):
+            return centroids, likeness
+        centroids = np.delete(centroids, smallest, axis=0)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -95,7 +117,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Centroids from at most ``per_language`` labelled texts of each language, drawn by a hash of the doc_id.
 
     Drawn texts without a letter and rows without text or ``lang`` are not learned from; of rows that repeat a doc_id the
-    smallest text is. The counts of a drawn
+    smallest text is. More than ``MAX_LANGUAGES`` distinct labels raise ``ValueError``. The counts of a drawn
     text and the clusters of a language are made in tasks; the driver gets document frequencies and centroids only.
     """
     keys = docs.select(docs["lang"].alias("label"), F.xxhash64(docs["doc_id"]).alias("draw"), "doc_id", "text")
@@ -105,8 +127,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for by in (("label", "deal"), ("label",)):
         place = F.row_number().over(Window.partitionBy(*by).orderBy("draw"))
         last = last.withColumn("place", place).filter(F.col("place") <= per_language)
-    last = last.groupBy("label").agg(F.max("draw").alias("last"))  # a row for each language, as the model has
-    drawn = keys.join(F.broadcast(last), "label").filter((F.col("draw") <= F.col("last")) & F.col("text").rlike(r"\p{L}"))
+    last = materialize(last.groupBy("label").agg(F.max("draw").alias("last")), "last")
+    if last.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct values of lang")
+    drawn = keys.join(F.broadcast(last), "label")  # at most MAX_LANGUAGES rows
+    drawn = drawn.filter((F.col("draw") <= F.col("last")) & F.col("text").rlike(r"\p{L}"))
     chosen = drawn.groupBy("label", "draw").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +150,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 rows, has = rows + 1, has + (np.frombuffer(blob.as_py(), np.float32) > 0)
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([has.tobytes()], pa.binary())], ["n", "has"])
 
-    parts = sample.repartition(1).mapInArrow(seen, "n long, has binary").collect()
+    # a sum a task, at most SPREAD of them
+    parts = sample.coalesce(SPREAD).mapInArrow(seen, "n long, has binary").collect()
     rows = sum(p["n"] for p in parts)
     has = sum((np.frombuffer(p["has"], np.int64) for p in parts), np.zeros(WIDTH, np.int64))
     idf = (np.log((1 + rows) / (1 + has)) + 1).astype(np.float32)
@@ -134,7 +160,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         counts = np.stack([np.frombuffer(b, np.float32) for b in sorted(group["grams"])])
         centroids, likeness = _clusters(_vectors(counts, idf), CENTROIDS)
         own = likeness.argmax(axis=1)
-        used = np.unique(own)  # a centroid without texts goes
+        used = np.unique(own)
         floors = [LEAST_SHARE * np.quantile(likeness[own == c, c], 0.01) for c in used]
         blobs = [centroids[c].astype(np.float32).tobytes() for c in used]
         return pd.DataFrame({"label": key[0], "centroid": blobs, "floor": floors})
@@ -190,5 +216,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose text is not rejected."""
+    """Rows of ``docs`` whose text is not rejected: null, letterless and far texts go, repeated rows are judged alike.
+
+    All columns stay, whatever their names.
+    """
     return docs.filter(~predictor(fit(docs))(docs["text"])["rejected"])

@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from hushlake.llm.language import drop_unidentified, fit, gram_counts, identify, predictor
 from hushlake.sources.tables import table
 from tests.llm.conftest import documents
@@ -43,6 +45,13 @@ def test_far_texts_are_rejected(spark):
     assert drop_unidentified(docs).count() == 60
 
 
+def test_too_many_labels_fail(spark, monkeypatch):
+    monkeypatch.setattr("hushlake.llm.language.MAX_LANGUAGES", 1)
+    docs = documents(spark, [(n, f"text {n}", "en" if n % 2 else "de") for n in range(40)])
+    with pytest.raises(ValueError, match="distinct values"):
+        fit(docs)
+
+
 def test_no_labels(spark):
     docs = documents(spark, [(1, "some text", None)])
     assert identify(docs).first().lang_pred == "und"
@@ -58,3 +67,64 @@ def test_counts_do_not_depend_on_neighbours_or_slabs(monkeypatch):
     monkeypatch.setattr("hushlake.llm.language.SLAB", 7)
     assert (gram_counts(pa.array(texts)) == whole).all()
     assert callable(predictor)
+
+
+def test_every_centroid_has_its_share_of_texts():
+    import numpy as np
+
+    from hushlake.llm.language import LEAST_TEXTS, _clusters
+
+    draw = np.random.default_rng(1)
+    middles = np.eye(3, 40)
+    vectors = np.concatenate([m + draw.normal(0, 0.05, (60, 40)) for m in middles] + [np.eye(40)[30:33]])  # three outliers
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    centroids, likeness = _clusters(vectors, 4)
+    sizes = np.bincount(likeness.argmax(axis=1), minlength=len(centroids))
+    assert 1 < len(centroids) <= 4 and sizes.min() >= LEAST_TEXTS * len(vectors)
+    again, _ = _clusters(vectors, 4)
+    assert (again == centroids).all()
+    assert len(_clusters(np.repeat(vectors[:1], 5, axis=0), 4)[0]) == 1
+
+
+def plain_model(rows):
+    """Idf, and the drawn texts of each language, from the rule: rows are (doc_id, text, lang), with distinct ids."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    learned = [(i, t, lang) for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 5]
+    counts = {i: gram_counts(pa.array([t], pa.string()))[0] for i, t, _ in learned}
+    seen = sum((c > 0).astype(int) for c in counts.values())
+    idf = [math.log((1 + len(learned)) / (1 + int(n))) + 1 for n in seen]
+    vectors = {}
+    for i, _, lang in learned:
+        weights = [math.log1p(float(n)) * w for n, w in zip(counts[i], idf, strict=True)]
+        norm = math.sqrt(sum(w * w for w in weights))
+        vectors.setdefault(lang, []).append(np.array(weights) / norm)
+    return idf, vectors
+
+
+def test_model_and_prediction_against_the_plain_formulas(spark, sf_dir):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = table(spark, sf_dir, "documents").limit(120)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    docs = documents(spark, rows)
+    model = fit(docs)
+    idf, vectors = plain_model(rows)
+    assert np.allclose(model.idf, idf, atol=1e-5) and set(model.langs) == set(vectors)
+    for lang in vectors:  # every centroid is the direction of the sum of the texts nearest to it
+        own = model.centroids[[name == lang for name in model.langs]]
+        nearest = [int(np.argmax(own @ v)) for v in vectors[lang]]
+        for c, centroid in enumerate(own):
+            total = sum(v for v, n in zip(vectors[lang], nearest, strict=True) if n == c)
+            assert np.allclose(centroid, total / np.linalg.norm(total), atol=1e-3)
+    said = {r.doc_id: r for r in identify(docs, model).collect()}
+    for i, text, _ in rows:
+        weights = np.log1p(gram_counts(pa.array([text], pa.string()))[0]) * idf
+        likeness = model.centroids @ weights / max(np.linalg.norm(weights), 1e-12)
+        best = int(np.argmax(likeness))
+        assert abs(said[i].score - np.clip(likeness[best], 0, 1)) < 1e-4
+        assert said[i].lang_pred == model.langs[best] and said[i].rejected == (likeness[best] < model.floors[best])
