@@ -419,3 +419,33 @@ def protected_sink(spark, sf):
     folder = write_protected(protect_frames(D.classify_frames(cards), frames, 1200, 900), spark)
     out = read_protected(spark, folder)
     return out.select("session_id", "frame_id", F.col("count").alias("masks"), F.size("manifest").alias("manifest_size"), "status")
+
+
+@query(
+    "frame_layout",
+    CARD_FOUND
+    + """, seen AS (SELECT session_id, frame_id, count(*) AS regions FROM cards GROUP BY 1, 2),
+    raw AS (SELECT session_id, frame_id, count(*) AS raw, count(*) FILTER (pick = 1) AS kept, count(DISTINCT kind) AS kinds FROM findings GROUP BY 1, 2)
+    SELECT session_id, frame_id, regions, coalesce(raw, 0) AS raw, coalesce(kept, 0) AS kept, coalesce(kinds, 0) AS kinds
+    FROM seen LEFT JOIN raw USING (session_id, frame_id)""",
+)
+def frame_layout(spark, sf):
+    """Regions and findings laid out by frame once; folding, counting and joining them moves no rows."""
+    from hushlake.sources.layout import lay_out
+
+    regions = lay_out(X.contact_cards(spark, sf))
+    cleaned = G.clean(regions)
+    found = lay_out(D.line_findings(cleaned).unionByName(D.label_findings(cleaned)))
+    return frame_counts(regions, found)
+
+
+def frame_counts(regions, found):
+    """Regions, raw findings, kept findings and kinds of every frame; rows without a session or a frame are of none."""
+    key = ["session_id", "frame_id"]
+    one = F.count(F.lit(1))
+    regions, found = (r.filter("session_id is not null and frame_id is not null") for r in (regions, found))
+    raw = found.groupBy(*key).agg(one.alias("raw"))
+    kept = D.finding_dedup(found).groupBy(*key, "kind").agg(one.alias("n"))
+    kept = kept.groupBy(*key).agg(F.sum("n").alias("kept"), one.alias("kinds"))
+    out = regions.groupBy(*key).agg(one.alias("regions")).join(raw, key, "left").join(kept, key, "left")
+    return out.select(*key, "regions", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "kept", "kinds")])
