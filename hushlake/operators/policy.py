@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import gates as G
 from hushlake.functions import patterns as P
 from hushlake.operators.contains import present_values
+from hushlake.operators.joins import dealt
 
 
 def destination_gate(fields: DataFrame, authorized: DataFrame) -> DataFrame:
@@ -39,4 +40,4 @@ def private_url_block(urls: DataFrame, vault: DataFrame) -> DataFrame:
         .when(P.pattern_scrub(url) != url, "pattern")
         .otherwise("ok")
     )
-    return urls.join(hit, ["session_id", "url_id"], "left").withColumn("reason", reason).drop("_known")
+    return urls.join(dealt(hit), ["session_id", "url_id"], "left").withColumn("reason", reason).drop("_known")
