@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import boxes as B
 from hushlake.functions import patterns as P
+from hushlake.operators.joins import dealt
 from hushlake.operators.ordered import ordered
 from hushlake.plans.storage import materialize, work_dir
 
@@ -39,7 +40,7 @@ def protect_frames(
     numbered = ordered(first, ["session_id", "kind"], ["_at"], chunk, number="_n")
     token = F.concat(F.lit("["), "kind", F.lit("_"), F.col("_n").cast("string"), F.lit("]"))
     tokens = numbered.select("session_id", "kind", "value", token.alias("token"))
-    joined = checked.join(tokens, ["session_id", "kind", "value"], "left")
+    joined = checked.join(dealt(tokens), ["session_id", "kind", "value"], "left")
     clip = B.round_clip(frame_width, frame_height)
     ok = F.bool_and(F.col("_reason") == "ok")
     mask = F.struct("order", "token", "kind", clip.alias("box"))
@@ -54,7 +55,7 @@ def protect_frames(
     manifest = F.array_distinct(
         F.transform("_m", lambda m: F.struct(m["token"].alias("token"), m["kind"].alias("kind"), P.kind_title(m["kind"]).alias("label")))
     )
-    seen = frames.select("session_id", "frame_id").distinct().join(per_frame, ["session_id", "frame_id"], "left")
+    seen = frames.select("session_id", "frame_id").distinct().join(dealt(per_frame), ["session_id", "frame_id"], "left")
     per_frame = seen.withColumn("_ok", F.coalesce("_ok", F.lit(True))).withColumn("_m", F.coalesce("_m", F.array()))
     return per_frame.select(
         "frame_id",
