@@ -98,14 +98,10 @@ def _cells(value: F.Column) -> F.Column:
     return F.array(*cells)
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, bits, component_id`` for every row of ``docs``.
+def _fingerprint_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, text_hash, bits`` of ``docs``, and their fingerprints ``bits, first, class``.
 
-    ``bits`` is the fingerprint as a signed long, ``component_id`` the smallest doc_id reachable over links of at most
-    three differing bits. Equal fingerprints are folded before anything is compared, so a group of copies is one row.
-    Two fingerprints can only link if they share a cell; in each cell the distance table to the reference fingerprints
-    discards pairs and the rest is verified, which finds every link. Null and empty texts have fingerprint 0 and link
-    like others; rows that repeat a doc_id count each; a null doc_id never names a component unless all ids are null.
+    ``first`` is the smallest doc_id of a fingerprint, ``class`` the smallest fingerprint reachable over links of at most three differing bits.
     """
     marked = materialize(
         docs.select("doc_id", text_hash(docs["text"]).alias("text_hash"), fingerprints(docs["text"]).alias("bits")), "prints"
@@ -116,20 +112,45 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     classes = distinct.join(grown, distinct["bits"] == grown["node"], "left").select(
         "bits", "first", F.coalesce("component", "bits").alias("class")
     )
-    classes = materialize(classes, "classes")
+    return marked, materialize(classes, "classes")
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, bits, component_id`` for every row of ``docs``.
+
+    ``bits`` is the fingerprint as a signed long, ``component_id`` the smallest doc_id reachable over links of at most
+    three differing bits. Equal fingerprints are folded before anything is compared, so a group of copies is one row.
+    Two fingerprints can only link if they share a cell; in each cell the distance table to the reference fingerprints
+    discards pairs and the rest is verified, which finds every link. Null and empty texts have fingerprint 0 and link
+    like others; rows that repeat a doc_id count each; a null doc_id never names a component unless all ids are null.
+    """
+    marked, classes = _fingerprint_classes(docs)
     named = classes.groupBy("class").agg(F.min("first").alias("component_id"))
     ids = classes.join(named, "class").select("bits", "component_id")
     return marked.join(ids, "bits").select("doc_id", "text_hash", "bits", "component_id")
 
 
+def near_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, class`` for every row of ``docs``: components over the links of fingerprints and those of :func:`near_copies`."""
+    marked, prints = _fingerprint_classes(docs)
+    copies = materialize(near_copies(docs), "copies")
+    # A text is in one class of each kind. The classes of texts of one fingerprint class become one.
+    own = marked.join(prints.withColumnRenamed("class", "print"), "bits").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "print").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    pairs = materialize(copies.distinct().join(own, same).select("print", "class").distinct(), "pairs")
+    low = pairs.groupBy("print").agg(F.min("class").alias("low"))
+    grown = components(pairs.join(low, "print").select(F.col("class").alias("a"), F.col("low").alias("b")))
+    return copies.join(grown, copies["class"] == grown["node"], "left").select("doc_id", "text_hash", F.coalesce("component", "class").alias("class"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of every class of :func:`near_copies`: the smallest doc_id (nulls last; of its rows, the
+    """``docs`` with one row of every class of :func:`near_classes`: the smallest doc_id (nulls last; of its rows, the
     smallest text). Rows of one doc_id that are in different classes are told apart.
 
-    Three bits, which the components above are linked by, miss most edited copies; here every link is a verified Jaccard
-    similarity.
+    Texts are linked by their fingerprints, as in the components above. Three bits miss most edited copies, so texts of a
+    verified Jaccard similarity are linked too.
     """
-    found = materialize(near_copies(docs), "classes")
+    found = materialize(near_classes(docs), "classes")
     first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"))
     heads = found.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).drop("first")
     sizes = heads.groupBy("class").agg(F.count("*").alias("n"))

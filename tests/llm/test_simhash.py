@@ -90,3 +90,13 @@ def test_short_texts():
 def test_many_copies_are_one_row(spark):
     docs = documents(spark, [(n, "the same text of five words and more") for n in range(300)])
     assert {r.component_id for r in simhash_components(docs).collect()} == {0}
+
+
+def test_texts_of_near_fingerprints_go_whatever_their_jaccard_similarity(spark):
+    often = "one two three " * 200
+    rows = [(1, often + "four five six seven eight"), (2, often + "nine ten eleven twelve"), (3, "some other text of seven plain words"), (4, None), (5, ""), (6, "the last text")]
+    rows += [(None, often + "nine ten eleven twelve")] * 2
+    docs = documents(spark, rows)
+    ids = {r.doc_id: r.component_id for r in simhash_components(docs).collect()}
+    assert ids[1] == ids[2] == 1 and ids[3] == 3
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [1, 3, 4, 6]
