@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,3 +159,49 @@ def test_a_worker_that_forgets_encodes_alike(tokenizer, monkeypatch):
         for ids, text in zip(encoder.encode([t.encode() for t in texts]), texts, strict=True):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         assert len(encoder._number) == len(encoder._counts) <= 10 + 2 * 10
+
+
+def test_a_piece_is_looked_up_once_a_call(tokenizer):
+    """However often it stands in the texts."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    encoder, text = token_ids.PieceEncoder(TOKENIZER), "The cat, the cât\tand THE cat. " * 500
+    encoder._number = Counted()
+    got = encoder.encode([text.encode(), b"", b" and\n"])
+    assert encoder._number.asked <= 7  # the cat, cât and cat. and what stands before or after a blank at an end
+    assert [ids.tolist() for ids in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", " and\n")]
+
+
+def test_words_of_letters_do_not_go_through_lines(tokenizer, monkeypatch):
+    encoder, lines = token_ids.PieceEncoder(TOKENIZER), []
+    library = encoder._tokenizer
+
+    class Spy:
+        def encode(self, line, **options):
+            lines.append(line)
+            return library.encode(line, **options)
+
+    monkeypatch.setattr(encoder, "_tokenizer", Spy())
+    text = " ".join([*words(5, 300), "x" * 3000, "don't", "42nd", "é", "<|endoftext|>", "A<|startoftext|>b"])
+    assert encoder.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(" ".join(lines).split()) == sorted(["don't", "42nd", "é", "<|endoftext|>", "A<|startoftext|>b"])
+
+
+def test_texts_are_encoded_a_chunk_of_bytes_at_a_time(tokenizer, monkeypatch):
+    """Nulls, texts longer than a chunk, and a batch that is cut out of a longer one."""
+    monkeypatch.setattr(token_ids, "CHUNK", 100)
+    encoder, sizes = token_ids.piece_encoder(TOKENIZER), []
+    encode = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda texts: sizes.append([len(t) for t in texts]) or encode(texts))
+    texts = [None, "", *(" ".join(words(k, k)) for k in range(60)), None, "ÀB " * 400, "Ab cd\x00", b"\xff\xfe Ab".decode("utf-8", "replace"), None]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(len(texts) - 1), None]), "text": pa.array(texts, pa.string())})
+    for batch in (rows, rows.slice(20), rows.slice(0, 0)):
+        got = [(i, ids.tolist()) for i, ids in token_ids.encoded(iter([batch]), TOKENIZER)]
+        assert got == [(r["doc_id"], tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in batch.to_pylist()]
+    assert max(sum(s) - max(s, default=0) for s in sizes) <= 100 < max(map(sum, sizes))
