@@ -112,14 +112,19 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Scalar, np.ndarray]]:
-    """``doc_id`` and ids of every row of ``doc_id, text``; null texts have none."""
-    encoder = piece_encoder(path)
+def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of neighbouring rows of ``doc_id, text``, no more than ``CHUNK`` and one text at a time; null texts are empty."""
     for batch in batches:
         column = batch.column("text").cast(pa.large_binary())
         doc_ids = batch.column("doc_id").to_pylist()
         ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy())
-        cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(ends)]  # no more than CHUNK and one text
+        cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(ends)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            texts = column[a:b].fill_null(b"").to_pylist()
-            yield from zip(doc_ids[a:b], encoder.encode(texts), strict=True)
+            yield doc_ids[a:b], column[a:b].fill_null(b"").to_pylist()
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Scalar, np.ndarray]]:
+    """``doc_id`` and ids of every row of ``doc_id, text``; null texts have none."""
+    encoder = piece_encoder(path)
+    for doc_ids, texts in text_chunks(batches):
+        yield from zip(doc_ids, encoder.encode(texts), strict=True)
