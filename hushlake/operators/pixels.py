@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.operators.masks import MASK_RGB, aligned
+from hushlake.operators.masks import MASK_RGB, SHIFT, aligned, word_of
+from hushlake.plans.storage import materialize
+
+HALF = 1 << SHIFT  # places of a word, half the bits of a long
 
 
 def inside(x: Column, y: Column, box: dict) -> Column:
@@ -53,9 +56,42 @@ def mask_independence(first: DataFrame, second: DataFrame) -> DataFrame:
 
     The captures differ below the masks only, so any masked pixel that is not the same in both, or is missing from one,
     shows something of it.
+
+    A word of 32 places is one row of bit maps, the first capture in the low half and the second in the high one: which places there are,
+    which are covered, and which colours are the mask's or above it. They tell all pixels apart but those that are of another
+    colour than the mask's in both captures and on the same side of it. Frames with such a pixel below a mask are compared colour by colour.
     """
     wanted = ["frame_id", "x", "y", "rgb", "covered"]
-    both = aligned(first.select(*wanted), second.select(*wanted), ["frame_id", "x", "y"])
+    first, second = first.select(*wanted), second.select(*wanted)
+    bit = lambda half: F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(F.col("x"), F.lit(0)).cast("int").bitwiseAND(HALF - 1) + half)
+    side = lambda df, half: df.select("frame_id", "y", word_of(F.col("x")).alias("word"), "rgb", "covered", bit(half).alias("bit"))
+    none = F.lit(0).cast("long")
+    bits = lambda condition: F.coalesce(F.bit_or(F.when(condition, F.col("bit")).otherwise(none)), none)
+    words = side(first, 0).unionByName(side(second, HALF)).groupBy("frame_id", "y", "word").agg(
+        F.bit_or("bit").alias("there"), bits(F.col("covered")).alias("over"),
+        bits(F.col("rgb") > MASK_RGB).alias("above"), bits(F.col("rgb") == MASK_RGB).alias("mask"),
+    )
+    # of colours at one place the highest counts, as in ``aligned``
+    words = words.withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not("above")))
+    low = lambda c: F.col(c).bitwiseAND((1 << HALF) - 1)
+    high = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(HALF))
+    apart = lambda c: low(c).bitwiseXOR(high(c))
+    over = low("over").bitwiseOR(high("over"))
+    differs = apart("there").bitwiseOR(apart("above")).bitwiseOR(apart("mask"))
+    alike = F.bitwise_not(differs.bitwiseOR(low("mask")))
+    counted = lambda c: F.coalesce(F.sum(F.bit_count(c)), F.lit(0)).cast("long")
+    frames = words.groupBy("frame_id").agg(
+        counted(over).alias("masked"), counted(over.bitwiseAND(differs)).alias("dependent"), counted(over.bitwiseAND(alike)).alias("alike")
+    )
+    frames = materialize(frames, "frames")
+    told = frames.filter("alike = 0").select("frame_id", "masked", "dependent")
+    rest = frames.filter("alike > 0").select("frame_id")
+    return told if rest.isEmpty() else told.unionByName(_independence(first, second, rest))
+
+
+def _independence(first: DataFrame, second: DataFrame, frames: DataFrame) -> DataFrame:
+    """The same for some frames, by the colours themselves."""
+    both = aligned(first, second, ["frame_id", "x", "y"], frames=frames)
     covered = F.coalesce(F.col("a_covered"), F.lit(False)) | F.coalesce(F.col("b_covered"), F.lit(False))
     differs = ~F.col("in_a") | ~F.col("in_b") | ~F.col("a_rgb").eqNullSafe(F.col("b_rgb"))
     return both.groupBy("frame_id").agg(

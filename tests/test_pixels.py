@@ -132,3 +132,51 @@ def test_detector_errors_are_generic(spark):
     frames = spark.createDataFrame([(1, 1, b"ok"), (1, 2, b"bad"), (1, 3, b"")], "session_id long, frame_id long, png binary")
     got = {r.frame_id: (r.status, r.text) for r in run_detector(frames, recognize).collect()}
     assert got == {1: ("ok", "ok"), 2: ("error", None), 3: ("ok", None)}
+
+
+CAPTURE = "frame_id long, x int, y int, rgb int, covered boolean"
+
+
+def independence(first, second):
+    """Masked and dependent pixels by a plain loop; of rows at one place the highest of each column counts."""
+    sides = []
+    for rows in (first, second):
+        at = {}
+        for f, x, y, rgb, covered in rows:
+            old = at.get((f, x, y), (None, False))
+            at[f, x, y] = (rgb if old[0] is None else old[0] if rgb is None else max(rgb, old[0]), bool(covered) or old[1])
+        sides.append(at)
+    out = {place[0]: [0, 0] for side in sides for place in side}
+    for place in {*sides[0], *sides[1]}:
+        a, b = (side.get(place) for side in sides)
+        if a and a[1] or b and b[1]:
+            out[place[0]][0] += 1
+            out[place[0]][1] += not a or not b or a[0] != b[0]
+    return {f: tuple(n) for f, n in out.items()}
+
+
+@pytest.mark.parametrize("colours", [(M.MASK_RGB,), (M.MASK_RGB, M.MASK_RGB + 1, 0, None), (1, 2, 0xFFFFFF, 0xFFFFFE, None)])
+def test_independence_equals_a_plain_loop(spark, colours):
+    rng = random.Random(len(colours))
+    capture = lambda: [(f, x, y, rng.choice(colours), rng.choice([True, True, False, None])) for f in (1, 2, None) for x in (*range(-3, 70), None) for y in (0, 1, None) for _ in range(rng.choice([0, 1, 1, 1, 2]))]
+    first, second = capture() + [(7, 0, 0, 5, False)], capture() + [(8, 0, 0, 5, False)]
+    got = Z.mask_independence(spark.createDataFrame(first, CAPTURE), spark.createDataFrame(second, CAPTURE))
+    assert {r.frame_id: (r.masked, r.dependent) for r in got.collect()} == independence(first, second)
+
+
+def test_only_frames_of_alike_colours_are_compared_pixel_by_pixel(spark, monkeypatch):
+    seen = []
+    compare = Z.aligned
+
+    def aligned(first, second, place, *more, frames=None):
+        seen.extend([None] if frames is None else [r.frame_id for r in frames.collect()])
+        return compare(first, second, place, *more, frames=frames)
+
+    monkeypatch.setattr(Z, "aligned", aligned)
+    masked = [(f, x, 0, M.MASK_RGB, True) for f in (1, 2) for x in range(40)] + [(1, 9, 1, 0, False)]
+    leak = [(*r[:3], 0 if r[1] == 5 else r[3], r[4]) for r in masked]
+    frame = lambda rows: spark.createDataFrame(rows, CAPTURE)
+    counts = lambda a, b: {r.frame_id: (r.masked, r.dependent) for r in Z.mask_independence(frame(a), frame(b)).collect()}
+    assert counts(masked, leak) == {1: (40, 1), 2: (40, 1)} and not seen
+    other = [(*r[:3], 1 if r[0] == 2 and r[1] == 5 else r[3], r[4]) for r in masked]
+    assert counts(other, leak) == {1: (40, 1), 2: (40, 1)} and seen == [2]
