@@ -2,7 +2,7 @@
 
 import random
 
-from hushlake.operators.contains import present_values
+from hushlake.operators.contains import FEW, candidate_values, present_values
 from hushlake.operators.vault import full_scrub, resolve_tokens, vault_build, vault_scrub
 
 
@@ -88,3 +88,21 @@ def test_scrub_random_texts(spark):
 
     got = {r.text_id: r.scrubbed for r in vault_scrub(texts_of(spark, *texts), vault).collect()}
     assert got == {n: brute(t) for n, t in enumerate(texts)}
+
+
+def test_values_of_few_travel_as_lists_and_no_text_is_cut_into_grams(spark):
+    texts = [(s, i, f"call Ann-{s} or Bob-{i} now") for s in (1, 2, None) for i in (0, 1, None)] + [(1, 0, "Ann-1 again"), (1, 5, None)]
+    values = [(s, f"{name}-{n}") for s in (1, 2, None) for name in ("Ann", "Bob") for n in range(3)] + [(1, ""), (1, None)]
+    frame = lambda rows, what: spark.createDataFrame(rows, f"k int, id int, {what} string")
+    named = spark.createDataFrame(values, "k int, value string")
+    got = present_values(frame(texts, "text"), named, ["k"], ["id"])
+    assert "_gram" not in got._jdf.queryExecution().toString()
+    want = sorted((k, i, v) for k, i, t in texts for kk, v in values if None not in (k, i, t, v) and v and k == kk and v in t)
+    assert sorted(map(tuple, got.collect())) == want
+    many = named.unionByName(spark.range(FEW + 1).selectExpr("2 AS k", "concat('Bob-', id) AS value")).distinct()
+    got = present_values(frame(texts, "text"), many, ["k"], ["id"])
+    assert "_gram" in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == want
+    found = candidate_values(frame(texts, "text"), many, ["k"], ["id"]).collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} >= set(want)
+    assert present_values(frame(texts, "text"), named.filter("value = ''"), ["k"], ["id"]).count() == 0
